@@ -84,13 +84,18 @@ def glob_match(text: Column | str, pattern: str) -> Column:
     return F.lit(True) if pattern == "*" else col(text).rlike(glob_to_regex(pattern))
 
 
+def fixed(num: Column, digits: int) -> Column:
+    """Fixed-point text rounded on the exact binary value (printf in the JVM rounds its decimal form)."""
+    return F.regexp_replace(F.format_number(num.cast("double"), digits), ",", "")
+
+
 def format_number(num: Column, precision: int = 2) -> Column:
     out, scaled = None, num.cast("double")
     for unit in ("", "K", "M", "B", "T"):
-        text = F.format_string(f"%.{precision}f{unit}", scaled)
+        text = F.concat(fixed(scaled, precision), F.lit(unit))
         out = F.when(F.abs(scaled) < 1000.0, text) if out is None else out.when(F.abs(scaled) < 1000.0, text)
         scaled = scaled / 1000.0
-    return out.otherwise(F.format_string(f"%.{precision}fT", scaled))
+    return out.otherwise(F.concat(fixed(scaled, precision), F.lit("T")))
 
 
 def format_time(seconds: Column) -> Column:
@@ -99,7 +104,7 @@ def format_time(seconds: Column) -> Column:
     m = F.floor(s / 60)
     sec = F.floor(s - m * 60)
     return (
-        F.when(s < 60, F.format_string("%.1fs", s))
+        F.when(s < 60, F.concat(fixed(s, 1), F.lit("s")))
         .when(s < 3600, F.format_string("%dm %ds", m, sec))
         .otherwise(F.format_string("%dh %dm %ds", h, m - h * 60, sec))
     )

@@ -24,12 +24,12 @@ class Rule:
     for_seconds: int = 0
 
 
-# The standard rules; messages are printf formats of the (scaled) value.
+# The standard rules; messages are SQL expressions over it.
 DEFAULT_RULES = [
     Rule("high_latency", "latency_p99", "value > 1000", "warning", "concat('High latency detected: ', cast(round(value, 2) as string), 'ms')", 120),
-    Rule("high_error_rate", "error_rate", "value > 0.05", "error", "concat('Error rate above threshold: ', format_string('%.1f', bround(value * 100, 1)), '%')", 60),
-    Rule("quality_degradation", "quality_score", "value < 0.7", "warning", "concat('Response quality below threshold: ', format_string('%.2f', bround(value, 2)))", 300),
-    Rule("high_gpu_memory", "gpu_memory_utilization", "value > 0.9", "warning", "concat('GPU memory usage high: ', format_string('%.1f', bround(value * 100, 1)), '%')", 0),
+    Rule("high_error_rate", "error_rate", "value > 0.05", "error", "concat('Error rate above threshold: ', format_number(value * 100, 1), '%')", 60),
+    Rule("quality_degradation", "quality_score", "value < 0.7", "warning", "concat('Response quality below threshold: ', format_number(value, 2))", 300),
+    Rule("high_gpu_memory", "gpu_memory_utilization", "value > 0.9", "warning", "concat('GPU memory usage high: ', format_number(value * 100, 1), '%')", 0),
 ]
 
 
