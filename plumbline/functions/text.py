@@ -108,3 +108,8 @@ def format_time(seconds: Column) -> Column:
         .when(s < 3600, F.format_string("%dm %ds", m, sec))
         .otherwise(F.format_string("%dh %dm %ds", h, m - h * 60, sec))
     )
+
+
+def collapse_ends(text: Column) -> Column:
+    """Python's str.strip(): Unicode whitespace off both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
