@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body`. Lambdas of array functions would otherwise
+    evaluate an outer expression again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column | str) -> Column:
     return F.filter(F.split(col(text), WS), lambda w: w != "")
 
