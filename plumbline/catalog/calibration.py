@@ -286,7 +286,7 @@ def _(spark, d):
 
 @query("coreset_diversity", W("vectors", "SELECT a.vec_id, min(list_distance(a.v, b.v)) AS diversity FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id GROUP BY 1"))
 def _(spark, d):
-    return AL.coreset_diversity(B.vectors(spark, d), "vec_id", "v", start=1.0)
+    return AL.coreset_diversity(B.vectors(spark, d), "vec_id", "v")
 
 
 @query("pairs_within_eps", W("vectors", "SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS dist FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE list_distance(a.v, b.v) <= 1.15e0"))
@@ -308,7 +308,7 @@ def _(spark, d):
 s AS (SELECT item, {ENT.format(p='probs')} AS u, dv FROM predictions JOIN dv USING (item)) SELECT item, 0.6e0*u/(SELECT max(u) FROM s) + 0.4e0*dv/(SELECT max(dv) FROM s) AS score FROM s ORDER BY score DESC, item LIMIT 50"""),
 )
 def _(spark, d):
-    div = AL.coreset_diversity(B.vectors(spark, d), "vec_id", "v", start=1.0).withColumnRenamed("vec_id", "item")
+    div = AL.coreset_diversity(B.vectors(spark, d), "vec_id", "v").withColumnRenamed("vec_id", "item")
     return AL.hybrid_select(B.predictions(spark, d), "item", "probs", div, 50)
 
 

@@ -9,6 +9,7 @@ from plumbline.operators import dedup as DD
 from plumbline.operators import formatting as FM
 from plumbline.operators import splitting as SP
 from plumbline.operators import validation as VA
+from plumbline.plans.runtime import spread
 
 W = B.with_ctes
 
@@ -36,7 +37,11 @@ def refusal_sql(c: str, phrases) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), '{sq(p)}')" for p in phrases) + ")"
 
 
-docs = lambda spark, d: B.table(spark, d, "documents")
+
+
+def docs(spark, d):
+    return spread(B.table(spark, d, "documents"))
+
 
 
 @query("clean_text", f"SELECT doc_id, md5({clean_sql('text')}) AS digest, length({clean_sql('text')}) AS n FROM documents")
@@ -52,7 +57,7 @@ def _(spark, d):
 
 @query("strip_html_clean", f"SELECT page_id, md5({html_sql('html')}) AS digest, length({html_sql('html')}) AS n FROM pages")
 def _(spark, d):
-    p = B.table(spark, d, "pages").select("page_id", C.strip_html("html").alias("c"))
+    p = spread(B.table(spark, d, "pages")).select("page_id", C.strip_html("html").alias("c"))
     return p.select("page_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("n"))
 
 
@@ -68,10 +73,10 @@ def _(spark, d):
 
 @query(
     "content_filter",
-    f"""SELECT doc_id FROM documents WHERE len({words_sql('text')}) >= 3 AND length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / length(text) <= 0.3e0 AND NOT regexp_matches(text, '[A-Za-z0-9._-]+@')""",
+    f"""SELECT doc_id FROM documents WHERE len({words_sql('text')}) >= 3 AND length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / length(text) <= 0.3e0 AND NOT regexp_matches(text, '@[a-z]+[.]')""",
 )
 def _(spark, d):
-    return docs(spark, d).where(C.content_ok("text", blocked=[r"[A-Za-z0-9._-]+@"])).select("doc_id")
+    return docs(spark, d).where(C.content_ok("text", blocked=["@[a-z]+[.]"])).select("doc_id")
 
 
 _REASON = f"""CASE WHEN coalesce(instruction,'') = '' OR coalesce(output,'') = '' THEN 'missing_fields'

@@ -7,8 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.split() and \s work on Unicode whitespace, hence (?U).
-WS = r"(?U)\s+"
+# Fixed value: the characters Python's str.split() and \s take as whitespace. Spelled out because
+# Java's \s is ASCII only and its Unicode mode both differs (U+001C..U+001F) and is slow.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{SPACE}]+"
+INK = f"[^{SPACE}]"
 
 
 def col(c: Column | str) -> Column:
@@ -55,11 +58,15 @@ def count_phrases(text: Column, phrases: Sequence[str]) -> Column:
 
 def ngrams(ws: Column, n: int) -> Column:
     """Consecutive n-grams joined by a space; zipped shifts keep it linear in the word count."""
-    span = F.greatest(F.size(ws) - (n - 1), F.lit(0))
-    out = F.slice(ws, 1, span)
-    for i in range(2, n + 1):
-        out = F.zip_with(out, F.slice(ws, i, span), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+
+    def build(w: Column) -> Column:
+        span = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        out = F.slice(w, F.lit(1), span)
+        for i in range(2, n + 1):
+            out = F.zip_with(out, F.slice(w, F.lit(i), span), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return let(ws, build)
 
 
 def collapse_space(text: Column) -> Column:
@@ -118,4 +125,4 @@ def format_time(seconds: Column) -> Column:
 
 def collapse_ends(text: Column) -> Column:
     """Python's str.strip(): Unicode whitespace off both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{WS}|{WS}$", "")

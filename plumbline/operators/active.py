@@ -39,8 +39,8 @@ def cluster_diversity(pool: DataFrame, row_id: str, vec: str, k: int = 10, seed:
     return d.withColumn("__m", top).select(row_id, F.coalesce(F.try_divide("dist", "__m"), F.lit(0.0)).alias("diversity"))
 
 
-def coreset_diversity(pool: DataFrame, row_id: str, vec: str, **options) -> DataFrame:
-    return nearest_other(pool, row_id, vec, **options).select(row_id, F.col("dist").alias("diversity"))
+def coreset_diversity(pool: DataFrame, row_id: str, vec: str) -> DataFrame:
+    return nearest_other(pool, row_id, vec).select(row_id, F.col("dist").alias("diversity"))
 
 
 def hybrid_select(

@@ -89,7 +89,7 @@ def alert_lifecycle(fired: DataFrame, keys: Sequence[str], seconds: str) -> Data
 def fingerprint(name: Column, labels: Column) -> Column:
     """md5 of name and the sorted label pairs written as a list of pairs, 16 hex digits."""
     pair = lambda e: F.concat(F.lit("('"), e["key"], F.lit("', '"), e["value"], F.lit("')"))
-    pairs = F.transform(F.array_sort(F.map_entries(labels)), pair)
+    pairs = F.transform(F.sort_array(F.map_entries(labels)), pair)
     text = F.concat(name, F.lit("|["), F.array_join(pairs, ", "), F.lit("]"))
     return F.substring(F.md5(text), 1, 16)
 

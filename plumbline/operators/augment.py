@@ -97,7 +97,7 @@ def synonym(row_id: Column, text: Column, copy: int | Column = 0, ratio: float =
 
     def limited(ws: Column) -> Column:
         draws = F.transform(ws, lambda w, i: F.when(F.array_contains(known, _bare(w)), draw(i)))
-        lowest = F.slice(F.array_sort(F.array_compact(draws)), 1, _share(F.size(ws), ratio))
+        lowest = F.slice(F.sort_array(F.array_compact(draws)), 1, _share(F.size(ws), ratio))
         return F.struct(ws.alias("ws"), F.try_element_at(lowest, F.lit(-1)).alias("limit"))
 
     def replaced(s: Column) -> Column:
@@ -120,7 +120,7 @@ def insert_fillers(row_id: Column, text: Column, copy: int | Column = 0, ratio:
                 F.element_at(fill, pick(row_id, "insword", len(FILLERS), _salted(j, copy)) + 1).alias("w"),
             ),
         )
-        return _join(F.transform(F.array_sort(F.concat(own, extra)), lambda x: x["w"]))
+        return _join(F.transform(F.sort_array(F.concat(own, extra)), lambda x: x["w"]))
 
     return X.let(_counted(text), build)
 

@@ -14,7 +14,7 @@ def _class_moments(samples: DataFrame, item: str, axis: str, variance) -> DataFr
     """Mean and variance per (item, class) over the axis, gathered back to arrays per item."""
     e = samples.select(item, axis, F.posexplode("probs").alias("k", "p"))
     m = e.groupBy(item, "k").agg(F.avg("p").alias("m"), variance("p").alias("v"), F.count(F.lit(1)).alias("n"))
-    cells = F.array_sort(F.collect_list(F.struct("k", "m", "v")))
+    cells = F.sort_array(F.collect_list(F.struct("k", "m", "v")))
     g = m.groupBy(item).agg(cells.alias("c"), F.max("n").alias("members"))
     return g.select(
         item, "members", F.transform("c", lambda s: s["m"]).alias("mean_probs"), F.transform("c", lambda s: s["v"]).alias("variances")
@@ -126,7 +126,7 @@ def conformal_threshold(scores: DataFrame, score: str, row_id: str, alpha: float
 def conformal_set(rows: DataFrame, probs: str, threshold: Column) -> DataFrame:
     """Classes by falling probability until their sum reaches the threshold."""
     idx = F.transform(F.col(probs), lambda p, i: F.struct((-p).alias("np"), i.alias("i")))
-    d = rows.withColumns({"__t": threshold, "__s": F.array_sort(idx)})
+    d = rows.withColumns({"__t": threshold, "__s": F.sort_array(idx)})
     seed = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
     step = lambda a, s: F.when(a["sum"] >= F.col("__t"), a).otherwise(
         F.struct((a["sum"] - s["np"]).alias("sum"), (a["k"] + 1).alias("k"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from plumbline.functions import text as X
 
 # Patterns removed from text.
-URL = r"(?U)https?://\S+|www\.\S+"
+URL = f"https?://{X.INK}+|www\\.{X.INK}+"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 TAG = r"<[^>]+>"
 # Phrases that mark an output as a refusal.
@@ -35,17 +35,19 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """NFC has no built-in. Only text holding a character NFC may change crosses to Python."""
-    return F.coalesce(_nfc(F.when(text.rlike(MAY_CHANGE), text)), text)
+    suspect = (F.octet_length(text) > F.length(text)) & text.rlike(MAY_CHANGE)
+    return F.coalesce(_nfc(F.when(suspect, text)), text)
 
 
 def clean_text(
     text: Column | str, urls: bool = True, emails: bool = True, spaces: bool = True, max_length: int | None = 2048
 ) -> Column:
     t = nfc(F.coalesce(X.col(text), F.lit("")))
+    # a plain substring test spares most rows the pattern
     if urls:
-        t = F.regexp_replace(t, URL, "")
+        t = F.when(t.contains("http") | t.contains("www."), F.regexp_replace(t, URL, "")).otherwise(t)
     if emails:
-        t = F.regexp_replace(t, EMAIL, "")
+        t = F.when(t.contains("@"), F.regexp_replace(t, EMAIL, "")).otherwise(t)
     if spaces:
         t = X.collapse_space(t)
     return F.substring(t, 1, max_length) if max_length else t
@@ -86,7 +88,7 @@ def filter_examples(
 
 
 def special_ratio(text: Column) -> Column:
-    special = F.length(F.regexp_replace(text, r"(?U)[\p{L}\p{N}\s]", ""))
+    special = F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{X.SPACE}]+", ""))
     return F.coalesce(F.try_divide(special, F.length(text)), F.lit(0.0))
 
 

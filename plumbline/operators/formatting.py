@@ -53,9 +53,9 @@ def format_sharegpt(turns: DataFrame, key: str, order: str, role: str, text: str
     """
     label = F.when(F.col(role).isin("human", "user"), "Human: ").when(F.col(role).isin("gpt", "assistant"), "Assistant: ")
     t = turns.select(key, order, F.concat(label, F.col(text)).alias("__p"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(order, "__p"))))
+    listed = F.sort_array(F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(order, "__p"))))
     body = F.array_join(F.transform(listed, lambda s: s["__p"]), "\n\n")
-    return t.groupBy(key).agg(F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("formatted"))
+    return t.groupBy(key).agg(X.collapse_ends(body).alias("formatted"))
 
 
 def hashed_token(w: Column, vocab: int) -> Column:

@@ -117,7 +117,7 @@ def judge_ensemble(long: DataFrame, weights: dict[str, float]) -> DataFrame:
     w = F.lit(0.0)
     for j, x in weights.items():
         w = F.when(F.col("judge") == j, F.lit(x / total)).otherwise(w)
-    notes = F.array_sort(F.collect_list(F.when(F.col("feedback").isNotNull(), F.struct("judge_no", "feedback"))))
+    notes = F.sort_array(F.collect_list(F.when(F.col("feedback").isNotNull(), F.struct("judge_no", "feedback"))))
     return long.groupBy("item", "criterion").agg(
         F.sum(F.col("score") * w).alias("score"),
         F.array_join(F.transform(notes, lambda s: s["feedback"]), " | ").alias("feedback"),
@@ -131,7 +131,7 @@ def ensemble_overall(results: DataFrame, weights: dict[str, float]) -> DataFrame
     for j, x in weights.items():
         w = F.when(F.col("judge") == j, F.lit(x / total)).otherwise(w)
     said = F.when(F.col("reasoning") != "", F.struct("judge_no", F.concat("judge", F.lit(": "), "reasoning").alias("t")))
-    parts = F.array_sort(F.collect_list(said))
+    parts = F.sort_array(F.collect_list(said))
     return results.groupBy("item").agg(
         F.sum(F.col("overall") * w).alias("overall"), F.array_join(F.transform(parts, lambda s: s["t"]), " | ").alias("reasoning")
     )

@@ -34,7 +34,7 @@ def tagged_grams(ws: Column, orders: list[int]) -> Column:
     def tag(n: int):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
 
-    return F.flatten(F.array(*[F.transform(X.ngrams(ws, n), tag(n)) for n in orders]))
+    return X.let(ws, lambda w: F.flatten(F.array(*[F.transform(X.ngrams(w, n), tag(n)) for n in orders])))
 
 
 def gram_matches(df: DataFrame, row_id: str, pred: Column, refs: Column, orders: list[int]) -> DataFrame:
@@ -110,7 +110,7 @@ def stem_tokens(df: DataFrame, text: str, row_id: str, stemmer: Callable[[str],
         return s.map(stemmer)
 
     stems = t.select("tok").distinct().withColumn("stem", stem("tok"))
-    j = t.join(stems, "tok").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("l"))
+    j = t.join(stems, "tok").groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("l"))
     out = j.select(row_id, F.array_join(F.transform("l", lambda s: s["stem"]), " ").alias(text))
     return df.drop(text).join(out, row_id, "left").fillna("", [text])
 

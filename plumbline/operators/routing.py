@@ -45,7 +45,7 @@ def name_of(index: Column, names: Sequence[str] = ADAPTERS) -> Column:
 
 def routing_decision(rows: DataFrame, weights: str, complexity: str, names: Sequence[str] = ADAPTERS, threshold: float = 0.1) -> DataFrame:
     w = F.col(weights)
-    ranked = F.array_sort(F.transform(w, lambda x, i: F.struct((-x).alias("nw"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(w, lambda x, i: F.struct((-x).alias("nw"), i.alias("i"))))
     selected = F.transform(F.filter(ranked, lambda s: -s["nw"] > threshold), lambda s: name_of(s["i"], names))
     all_names = F.array(*[F.lit(n) for n in names])
     return rows.withColumns(
@@ -63,7 +63,7 @@ def route_fallback(rows: DataFrame, batch: str, weights: str, confidence: str, m
     if top_k is None:
         other = F.transform(w, lambda x: F.lit(1.0) / F.size(w))
     else:
-        order = F.array_sort(F.transform(w, lambda x, i: F.struct((-x).alias("nw"), i.alias("i"))))
+        order = F.sort_array(F.transform(w, lambda x, i: F.struct((-x).alias("nw"), i.alias("i"))))
         best = F.transform(F.slice(order, 1, top_k), lambda s: s["i"])
         other = F.transform(w, lambda x, i: F.when(F.array_contains(F.col("__best"), i), 1.0 / top_k).otherwise(0.0))
         rows = rows.withColumn("__best", best)
@@ -86,7 +86,7 @@ def route_ensemble(outputs: DataFrame, item: str, router: str, weights: str, log
             share = F.when(F.col(router) == name, math.exp(v) / z).otherwise(share)
         value = F.sum(F.col("w") * share)
     per = e.groupBy(item, "k").agg(value.alias("w"))
-    cells = F.array_sort(F.collect_list(F.struct("k", "w")))
+    cells = F.sort_array(F.collect_list(F.struct("k", "w")))
     return per.groupBy(item).agg(F.transform(cells, lambda s: s["w"]).alias("weights"))
 
 

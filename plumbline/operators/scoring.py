@@ -98,7 +98,7 @@ def specificity_score(response: Column) -> Column:
 
 
 def filled_pieces(text: Column, pattern: str) -> Column:
-    return F.size(F.filter(F.split(text, pattern), lambda s: s.rlike(r"(?U)\S")))
+    return F.size(F.filter(F.split(text, pattern), lambda s: s.rlike(X.INK)))
 
 
 def structure_score(response: Column) -> Column:
@@ -239,7 +239,7 @@ def self_eval(
 # --- failure patterns
 
 
-def density_clusters(df: DataFrame, row_id: str, vec: str, eps: float = 0.3, min_points: int = 5, pivots: int = 3) -> DataFrame:
+def density_clusters(df: DataFrame, row_id: str, vec: str, eps: float = 0.3, min_points: int = 5) -> DataFrame:
     """(row_id, cluster): DBSCAN; the cluster is its smallest core id, noise is dropped.
 
     Copies of one vector are merged into a weighted point first, so a large group of copies
@@ -248,7 +248,7 @@ def density_clusters(df: DataFrame, row_id: str, vec: str, eps: float = 0.3, min
     sig = df.select(row_id, vec).withColumn("__sig", F.md5(F.array_join(F.col(vec), ",")))
     owner = sig.groupBy("__sig").agg(F.min(row_id).alias("p"), F.count(F.lit(1)).alias("w"))
     pts = checkpointed(first_per_key(sig, [F.col("__sig")], [row_id]).join(owner, "__sig").select("p", vec, "w"))
-    near = checkpointed(pairs_within(pts, "p", vec, eps, pivots).select("a", "b"))
+    near = checkpointed(pairs_within(pts, "p", vec, eps).select("a", "b"))
     both = near.union(near.select("b", "a"))
     weights = pts.select(F.col("p").alias("b"), "w")
     reach = both.join(weights, "b").groupBy(F.col("a").alias("p")).agg(F.sum("w").alias("nw"))
@@ -268,10 +268,10 @@ def density_clusters(df: DataFrame, row_id: str, vec: str, eps: float = 0.3, min
 
 
 def failure_clusters(
-    failures: DataFrame, row_id: str, vec: str, eps: float = 0.3, min_points: int = 5, pivots: int = 3
+    failures: DataFrame, row_id: str, vec: str, eps: float = 0.3, min_points: int = 5
 ) -> DataFrame:
     """Size, most common adapter and failure type, mean score and severity per cluster."""
-    c = density_clusters(failures, row_id, vec, eps, min_points, pivots).join(failures, row_id)
+    c = density_clusters(failures, row_id, vec, eps, min_points).join(failures, row_id)
 
     def mode(field: str) -> DataFrame:
         n = c.groupBy("cluster", field).agg(F.count(F.lit(1)).alias("n"))

@@ -153,7 +153,7 @@ def perturb_compose(df: DataFrame, row_id: str, field: str, k: int = 1, copy: st
     """Apply k distinct perturbations in keyed order: those with the smallest draws."""
     c = F.col(copy) if copy else F.lit(0)
     draws = [F.struct(uniform(F.col(row_id), f"order-{n}", c).alias("u"), F.lit(n).alias("n")) for n in PERTURBATIONS]
-    order = F.transform(F.slice(F.array_sort(F.array(*draws)), 1, k), lambda s: s["n"])
+    order = F.transform(F.slice(F.sort_array(F.array(*draws)), 1, k), lambda s: s["n"])
     d = df.withColumn("applied", order)
     for i in range(k):
         text = F.col(field)
@@ -237,7 +237,7 @@ def parse_generated(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 def synthetic_score(instr: Column, out: Column) -> Column:
     """Score in tenths: lengths 2 + 2, overlap of two content words 3, informative 3."""
     overlap = X.word_overlap(instr, out, STOP_WORDS) >= 2
-    sentence = F.size(F.filter(F.split(out, r"\."), lambda s: s.rlike(r"(?U)\S"))) >= 1
+    sentence = F.size(F.filter(F.split(out, r"\."), lambda s: s.rlike(X.INK))) >= 1
     informative = ~X.any_phrase(F.lower(out), GENERIC) & sentence
     n, m = F.length(instr), F.length(out)
     one = lambda c, v: F.when(c, v).otherwise(0)

@@ -18,7 +18,7 @@ def seconds(ts: Column | str) -> Column:
 
 
 def series_key(name: Column, labels: Column) -> Column:
-    parts = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    parts = F.transform(F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.concat(name, F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
 
@@ -131,7 +131,7 @@ def grafana_series(points: DataFrame, interval: float) -> DataFrame:
     """Per target the [value, ts_ms] pairs as JSON text; lists are built after downsampling."""
     p = downsample(points, ["name"], interval)
     pair = F.concat(F.lit("["), F.format_string("%.4f", F.col("value")), F.lit(","), (F.col("bucket") * 1000).cast("string"), F.lit("]"))
-    listed = F.array_sort(F.collect_list(F.struct("bucket", pair.alias("p"))))
+    listed = F.sort_array(F.collect_list(F.struct("bucket", pair.alias("p"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["p"]), ","), F.lit("]"))
     return p.groupBy(F.col("name").alias("target")).agg(text.alias("datapoints"))
 

@@ -82,9 +82,14 @@ def schema_verdict(df: DataFrame, errors: Column) -> DataFrame:
 
 def ngram_repetition(text: Column | str, n: int = 3) -> Column:
     """1 - distinct/total of lower-cased word n-grams; 0 below five words."""
-    grams = X.ngrams(X.words(F.lower(X.col(text))), n)
-    ratio = 1.0 - F.try_divide(F.size(F.array_distinct(grams)), F.size(grams))
-    return F.when(X.word_count(text) < 5, 0.0).otherwise(F.coalesce(ratio, F.lit(0.0)))
+
+    def of_grams(g: Column) -> Column:
+        return F.coalesce(1.0 - F.try_divide(F.size(F.array_distinct(g)), F.size(g)), F.lit(0.0))
+
+    def of_words(ws: Column) -> Column:
+        return F.when(F.size(ws) < 5, 0.0).otherwise(X.let(X.ngrams(ws, n), of_grams))
+
+    return X.let(X.words(F.lower(X.col(text))), of_words)
 
 
 def text_quality(df: DataFrame, text: str, low: int = 10, high: int = 50000, limit: float = 0.3) -> DataFrame:
@@ -128,7 +133,7 @@ def dataset_verdict(
     )
     dup = duplicate_ratio(df, cols)
     shown = e.where(F.size("__e") > 0).orderBy(row_id).limit(10)
-    shown = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(row_id, F.element_at("__e", 1).alias("m")))),
+    shown = shown.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(row_id, F.element_at("__e", 1).alias("m")))),
                                               lambda s: F.concat(s[row_id].cast("string"), F.lit(": "), s["m"])), "; ").alias("t"))
     r = base.select("*", dup.select("duplicates").scalar().alias("duplicates"), shown.scalar().alias("first_errors"))
     warn = F.coalesce(F.try_divide("duplicates", "total"), F.lit(0.0)) > 0.05

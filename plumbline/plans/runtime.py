@@ -29,3 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the checkpoint root, for stream sinks and stream checkpoints."""
     return f"{_checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the cluster has cores, before row-wise
+    heavy work. Large inputs have more splits than cores and are left alone. Planning only, no job."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

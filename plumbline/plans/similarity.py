@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
 from plumbline.plans.ordering import first_per_key
@@ -29,14 +34,17 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     near copies collapses in linear work.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t"))
-    signed = base.withColumn("sig", F.md5(F.array_join(F.array_sort("t"), "\u0001")))
+    # the sets are read several times below, the text they come from only here
+    signed = checkpointed(base.withColumn("sig", F.md5(F.array_join(F.sort_array("t"), "\u0001"))))
     owner = signed.groupBy("sig").agg(F.min("id").alias("rep"))
     reps = checkpointed(
         first_per_key(signed, [F.col("sig")], ["id"]).select("id", "t", F.size("t").alias("n")).where("n > 0")
     )
-    tok = reps.select("id", "n", F.explode("t").alias("tok"))
+    # rows meet on 64-bit token hashes and are verified on the tokens; one spare prefix place
+    # (the + 2 below) covers two tokens of a row sharing a hash
+    tok = reps.select("id", "n", F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("tok"))
     freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 2
     rare = (
         tok.join(freq, "tok")
         .where("f > 1")
@@ -99,71 +107,144 @@ def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.where(fits & (jaccard(F.col("ta"), F.col("tb")) > F.lit(threshold))).select("a", "b")
 
 
-def _pivot_cells(pts: DataFrame, radius: float, pivots: int) -> tuple[DataFrame, list[str]]:
-    """Distances to a few fixed rows, cut into rings one radius wide."""
-    chosen = pts.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).select("v").collect()
-    cells = []
-    for i, row in enumerate(chosen):
-        p = F.array(*[F.lit(float(x)) for x in row["v"]])
-        pts = pts.withColumn(f"c{i}", F.floor(V.l2(F.col("v"), p) / F.lit(float(radius))))
-        cells.append(f"c{i}")
-    return pts, cells
+# --- distance joins
+
+BLOCK = 4096
+MAX_PIVOTS = 256
+
+
+def _matrix(col) -> np.ndarray:
+    return np.array(col.tolist(), dtype="float64")
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by one matrix product."""
+    sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row-wise distances without the cancellation of the matrix form."""
+    return np.sqrt(((x - y) ** 2).sum(1))
+
+
+def _pivots(pts: DataFrame) -> np.ndarray:
+    """A bounded, layout-independent choice of rows: the smallest id hashes."""
+    n = pts.count()
+    k = max(1, min(MAX_PIVOTS, n, 4 + n // 256))
+    chosen = pts.orderBy(F.md5(F.col("id").cast("string")), "id").limit(k).collect()
+    return np.array([r["v"] for r in chosen], dtype="float64")
+
+
+def _in_cells(pts: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Cell (nearest pivot), distance to it, and distance to the nearest pivot that is another point."""
+
+    @F.pandas_udf(T._parse_datatype_string("cell int, d double, ub double"))
+    def assign(v: pd.Series) -> pd.DataFrame:
+        d = _distances(_matrix(v), pivots)
+        cell = d.argmin(1)
+        other = np.where(d <= 1e-6, np.inf, d).min(1) if len(d) else np.zeros(0)
+        return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell], "ub": other})
+
+    return pts.withColumn("__c", assign("v")).select("id", "v", "__c.cell", "__c.d", "__c.ub")
 
 
-def pairs_within(df: DataFrame, row_id: str, vec: str, radius: float, pivots: int = 3) -> DataFrame:
-    """All pairs (a < b) of rows at Euclidean distance <= radius, with the distance.
+def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kernel, schema: str) -> DataFrame:
+    """Bring each query row (id, v, reach) together with every member it can have within reach.
 
-    By the triangle inequality two such rows lie in the same or adjacent rings around every
-    pivot; the join is an equi-join on rings.
+    Members lie in the cell of their nearest pivot. A cell is visited only if its pivot is at
+    most reach + cell radius away (triangle inequality). Cells are cut into blocks of about
+    BLOCK members and the visits of a cell into groups of about BLOCK rows, so both sides of a
+    task stay bounded however many rows share a cell. Pairs live only inside a numpy block.
     """
-    pts = df.select(F.col(row_id).alias("id"), V.as_double(F.col(vec)).alias("v"))
-    left, cells = _pivot_cells(pts, radius, pivots)
-    right = left
-    for c in cells:
-        right = right.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    b = right.select(F.col("id").alias("b"), F.col("v").alias("vb"), *cells)
-    a = left.select(F.col("id").alias("a"), F.col("v").alias("va"), *cells)
-    joined = a.join(b, cells).where("a < b")
-    return joined.withColumn("dist", V.l2(F.col("va"), F.col("vb"))).where(F.col("dist") <= radius).select("a", "b", "dist")
-
-
-def nearest_other(df: DataFrame, row_id: str, vec: str, start: float = 0.5, pivots: int = 3) -> DataFrame:
-    """(row_id, neighbour, dist) to the nearest other row, exact.
-
-    Copies of one vector are answered at once (distance 0). The rest search within a radius
-    that doubles for rows still without a neighbour; only those rows are searched again.
+    shape = placed.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
+    radius = np.full(len(pivots), -np.inf)
+    blocks = np.zeros(len(pivots), dtype="int64")
+    for row in shape:
+        radius[row["cell"]] = row["r"]
+        blocks[row["cell"]] = -(-row["n"] // BLOCK)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def cells(v: pd.Series, reach: pd.Series) -> pd.Series:
+        d = _distances(_matrix(v), pivots)
+        near = d - radius[None, :] <= reach.to_numpy()[:, None] + 1e-6
+        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+
+    visits = queries.withColumn("cell", F.explode(cells("v", "reach")))
+    counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
+    groups = np.ones(len(pivots), dtype="int64")
+    for row in counted:
+        groups[row["cell"]] = -(-row["n"] // BLOCK)
+    n_blocks = F.element_at(F.lit(blocks), F.col("cell") + 1)
+    n_groups = F.element_at(F.lit(groups), F.col("cell") + 1)
+    own = F.xxhash64("id")
+    first = F.lit(0).cast("bigint")
+    # both sides may come from one table, so every column gets a name of its own
+    members = placed.select(
+        F.col("id").alias("mid"), F.col("v").alias("mv"), F.col("cell").alias("mc"), F.pmod(own, n_blocks).alias("mb"),
+        F.explode(F.sequence(first, n_groups - 1)).alias("mp"),
+    )
+    asked = visits.select(
+        F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("cell").alias("qc"),
+        F.explode(F.sequence(first, n_blocks - 1)).alias("qb"), F.pmod(own, n_groups).alias("qp"),
+    )
+    return asked.groupBy("qc", "qb", "qp").cogroup(members.groupBy("mc", "mb", "mp")).applyInPandas(kernel, schema)
+
+
+def pairs_within(df: DataFrame, row_id: str, vec: str, radius: float) -> DataFrame:
+    """All pairs (a < b) of rows at Euclidean distance <= radius, with the distance."""
+    pts = df.select(F.col(row_id).cast("bigint").alias("id"), V.as_double(F.col(vec)).alias("v"))
+    pivots = _pivots(pts)
+    placed = _in_cells(pts, pivots)
+
+    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
+        if q.empty or m.empty:
+            return empty
+        x, y = _matrix(q["qv"]), _matrix(m["mv"])
+        ids, other = q["qid"].to_numpy(), m["mid"].to_numpy()
+        i, j = np.nonzero((_distances(x, y) <= radius + 1e-6) & (ids[:, None] < other[None, :]))
+        dist = _exact(x[i], y[j])
+        ok = dist <= radius
+        return pd.DataFrame({"a": ids[i][ok], "b": other[j][ok], "dist": dist[ok]})
+
+    queries = pts.withColumn("reach", F.lit(float(radius)))
+    return _block_join(placed, queries, pivots, kernel, "a bigint, b bigint, dist double")
+
+
+def nearest_other(df: DataFrame, row_id: str, vec: str) -> DataFrame:
+    """(row_id, neighbour, dist) to the nearest other row, exact; ties go to the smaller id.
+
+    Copies of one vector are answered at once (distance 0) and stand for one point. A row's
+    search reach is its distance to the nearest pivot, itself a row, so one visit suffices.
     """
-    pts = df.select(F.col(row_id).alias("id"), V.as_double(F.col(vec)).alias("v"))
+    pts = df.select(F.col(row_id).cast("bigint").alias("id"), V.as_double(F.col(vec)).alias("v"))
     sets = pts.withColumn("sig", F.md5(F.array_join("v", ",")))
-    copies = sets.groupBy("sig").agg(
-        F.min("id").alias("first"), F.count(F.lit(1)).alias("k"), F.max("id").alias("second")
-    )
+    copies = sets.groupBy("sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"), F.max("id").alias("last"))
     twins = sets.join(copies.where("k > 1"), "sig")
-    done = [
-        twins.select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("neighbour"), F.lit(0.0).alias("dist"))
-    ]
-    pool = checkpointed(first_per_key(sets, [F.col("sig")], ["id"]).select("id", "v"))
-    lone = sets.join(copies.where("k = 1").select("sig"), "sig", "left_semi").select("id")
-    todo, radius = checkpointed(lone), start
-    total = pool.count()
-    while total > 1 and not todo.isEmpty():
-        left, cells = _pivot_cells(pool, radius, pivots)
-        right = left
-        for c in cells:
-            right = right.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-        a = left.join(todo, "id", "left_semi").select(F.col("id").alias("a"), F.col("v").alias("va"), *cells)
-        b = right.select(F.col("id").alias("b"), F.col("v").alias("vb"), *cells)
-        near = a.join(b, cells).where("a <> b").withColumn("dist", V.l2(F.col("va"), F.col("vb")))
-        best = near.where(F.col("dist") <= radius).groupBy(F.col("a").alias("id")).agg(
-            F.min(F.struct("dist", "b")).alias("m")
-        )
-        best = checkpointed(best.select("id", F.col("m.b").alias("neighbour"), F.col("m.dist").alias("dist")))
-        done.append(best)
-        todo = checkpointed(todo.join(best, "id", "left_anti"))
-        radius *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
+    twin = F.when(F.col("id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    answered = twins.select("id", twin.alias("neighbour"), F.lit(0.0).alias("dist"))
+    pool = checkpointed(sets.join(copies, "sig").where("id = first").select("id", "v", "k"))
+    pivots = _pivots(pool)
+    placed = _in_cells(pool.select("id", "v"), pivots)
+    lone = placed.join(pool.where("k = 1").select("id"), "id", "left_semi")
+
+    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if q.empty:
+            return pd.DataFrame({"id": [], "neighbour": [], "dist": []})
+        out = {"id": q["qid"].to_numpy(dtype="int64"), "neighbour": np.zeros(len(q), dtype="int64"), "dist": np.full(len(q), np.inf)}
+        if len(m):
+            x, y = _matrix(q["qv"]), _matrix(m["mv"])
+            ids, other = out["id"], m["mid"].to_numpy()
+            d = _distances(x, y)
+            d[ids[:, None] == other[None, :]] = np.inf
+            order = np.argsort(other, kind="stable")
+            best = order[d[:, order].argmin(1)]
+            out["neighbour"], out["dist"] = other[best], _exact(x, y[best])
+            out["dist"][np.isinf(d[np.arange(len(q)), best])] = np.inf
+        return pd.DataFrame(out)
+
+    found = _block_join(placed, lone.select("id", "v", F.col("ub").alias("reach")), pivots, kernel, "id bigint, neighbour bigint, dist double")
+    best = found.where(F.col("dist") < float("inf")).groupBy("id").agg(F.min(F.struct("dist", "neighbour")).alias("m"))
+    out = answered.union(best.select("id", "m.neighbour", "m.dist"))
     return out.withColumnRenamed("id", row_id)
-
-
