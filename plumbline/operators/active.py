@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators.calibration import _class_moments
 from plumbline.plans.ordering import first_per_key, ranked
+from plumbline.plans.runtime import checkpointed
 from plumbline.plans.similarity import nearest_other
 
 
@@ -30,8 +31,9 @@ def select_uncertain(pool: DataFrame, row_id: str, probs: str, n: int, strategy:
 
 def cluster_diversity(pool: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
     """Distance to the own cluster centre over the largest such distance."""
-    n = pool.count()
-    feats = pool.select(row_id, vec, array_to_vector(F.col(vec)).alias("features"))
+    # the training rounds and the scoring read the same pinned rows
+    feats = checkpointed(pool.select(row_id, vec, array_to_vector(F.col(vec)).alias("features")))
+    n = feats.count()
     model = KMeans(k=max(2, min(k, n)), seed=seed).fit(feats)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     d = model.transform(feats).select(row_id, V.l2(F.col(vec), F.element_at(centres, F.col("prediction") + 1)).alias("dist"))
