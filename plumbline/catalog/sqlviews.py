@@ -8,10 +8,16 @@ from plumbline.operators import sqlviews as S
 
 W = B.with_ctes
 
+# averages over whole tenths and thousandths, rounded half up in integers: no floating-point ties
+_T = "sum(round(latency_ms*10)::BIGINT)"
+AVG0 = f"((2*{_T} + 10*count(*)) // (20*count(*)))::BIGINT"
+AVG2 = f"((20*{_T} + count(*)) // (2*count(*)))/100e0"
+AVG3 = "((2*sum(round(overall_score*1000)::BIGINT) + count(overall_score)) // (2*count(overall_score)))/1000e0"
+
 
 @query(
     "daily_metrics",
-    W("requests", """SELECT strftime(ts,'%Y-%m-%d') AS date, user_id, count(*) AS total_requests, count(*) FILTER (WHERE cached) AS cached_requests, round(avg(latency_ms))::BIGINT AS avg_latency_ms,
+    W("requests", f"""SELECT strftime(ts,'%Y-%m-%d') AS date, user_id, count(*) AS total_requests, count(*) FILTER (WHERE cached) AS cached_requests, {AVG0} AS avg_latency_ms,
  sum(tokens_out)::BIGINT AS total_tokens, count(*) FILTER (WHERE NOT success) AS error_count FROM requests GROUP BY 1, 2"""),
 )
 def _(spark, d):
@@ -27,8 +33,8 @@ def _(spark, d):
     return S.request_summary(B.requests(spark, d), B.evaluations(spark, d), B.users(spark, d))
 
 
-_PERF = """SELECT adapter, count(*) AS total_requests, round(avg(latency_ms))::BIGINT AS avg_latency, round(avg(overall_score),3) AS avg_quality,
- count(*) FILTER (WHERE is_failure) AS failures, count(*) FILTER (WHERE cached) AS cache_hits FROM requests LEFT JOIN {e} USING (request_id) GROUP BY adapter"""
+_PERF = f"""SELECT adapter, count(*) AS total_requests, {AVG0} AS avg_latency, {AVG3} AS avg_quality,
+ count(*) FILTER (WHERE is_failure) AS failures, count(*) FILTER (WHERE cached) AS cache_hits FROM requests LEFT JOIN {{e}} USING (request_id) GROUP BY adapter"""
 
 
 @query("adapter_performance", W("requests evaluations", _PERF.format(e="evaluations")))
@@ -46,8 +52,8 @@ def _(spark, d):
 
 @query(
     "adapter_daily_rollup",
-    W("requests evaluations", """, e AS (SELECT request_id, sum(overall_score) AS s, count(*) AS c FROM evaluations GROUP BY 1)
-SELECT adapter, strftime(ts,'%Y-%m-%d') AS date, count(*) AS total_requests, round(avg(latency_ms),2) AS avg_latency_ms, round(sum(s)/sum(c),3) AS avg_quality_score,
+    W("requests evaluations", f""", e AS (SELECT request_id, sum(round(overall_score*1000)::BIGINT) AS s, count(*) AS c FROM evaluations GROUP BY 1)
+SELECT adapter, strftime(ts,'%Y-%m-%d') AS date, count(*) AS total_requests, {AVG2} AS avg_latency_ms, ((2*sum(s) + sum(c)) // (2*sum(c)))/1000e0 AS avg_quality_score,
  count(*) FILTER (WHERE NOT success) AS failure_count, count(*) FILTER (WHERE cached) AS cache_hits FROM requests LEFT JOIN e USING (request_id) GROUP BY 1, 2"""),
 )
 def _(spark, d):

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from plumbline.plans.ordering import first_per_key, ranked, top_n_per_group
 
 
+def rounded_avg(c: str, digits: int) -> Column:
+    """Average in exact decimals, rounded half up as a database NUMERIC would; sums of doubles
+    depend on row order and can land on either side of a tie."""
+    return F.round(F.avg(F.col(c).cast("decimal(18,6)")), digits).cast("double")
+
+
 def daily_metrics(requests: DataFrame) -> DataFrame:
     return requests.groupBy(F.to_date("ts").alias("date"), "user_id").agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if("cached").alias("cached_requests"),
-        F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
+        rounded_avg("latency_ms", 0).cast("bigint").alias("avg_latency_ms"),
         F.sum("tokens_out").alias("total_tokens"),
         F.count_if(~F.col("success")).alias("error_count"),
     )
@@ -40,8 +46,8 @@ def adapter_performance(requests: DataFrame, evaluations: DataFrame, one_per_req
     e = evaluations.select("request_id", "overall_score", "is_failure")
     return requests.join(e, "request_id", "left").groupBy("adapter").agg(
         F.count(F.lit(1)).alias("total_requests"),
-        F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency"),
-        F.round(F.avg("overall_score"), 3).alias("avg_quality"),
+        rounded_avg("latency_ms", 0).cast("bigint").alias("avg_latency"),
+        rounded_avg("overall_score", 3).alias("avg_quality"),
         F.count_if("is_failure").alias("failures"),
         F.count_if("cached").alias("cache_hits"),
     )
@@ -49,11 +55,11 @@ def adapter_performance(requests: DataFrame, evaluations: DataFrame, one_per_req
 
 def adapter_daily_rollup(requests: DataFrame, evaluations: DataFrame) -> DataFrame:
     # scores are reduced to one row per request first, so counts are not multiplied
-    e = evaluations.groupBy("request_id").agg(F.sum("overall_score").alias("s"), F.count("overall_score").alias("c"))
+    e = evaluations.groupBy("request_id").agg(F.sum(F.col("overall_score").cast("decimal(18,6)")).alias("s"), F.count("overall_score").alias("c"))
     return requests.join(e, "request_id", "left").groupBy("adapter", F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).alias("total_requests"),
-        F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(F.sum("s") / F.sum("c"), 3).alias("avg_quality_score"),
+        rounded_avg("latency_ms", 2).alias("avg_latency_ms"),
+        F.round(F.sum("s") / F.sum("c"), 3).cast("double").alias("avg_quality_score"),
         F.count_if(~F.col("success")).alias("failure_count"),
         F.count_if("cached").alias("cache_hits"),
     )
