@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query(
     "grafana_series",
-    W("metrics", """, p AS (SELECT name, (floor(epoch(ts)/86400)*86400)::BIGINT AS b, avg(value) AS v FROM metrics GROUP BY 1, 2)
+    W("metrics", """, p AS (SELECT name, (floor(epoch(ts)/86400)*86400)::BIGINT AS b, ((200*sum(round(value*100)::BIGINT) + count(*)) // (2*count(*)))/10000e0 AS v FROM metrics GROUP BY 1, 2)
 SELECT name AS target, '[' || string_agg('[' || printf('%.4f', v) || ',' || b*1000 || ']', ',' ORDER BY b) || ']' AS datapoints FROM p GROUP BY name"""),
 )
 def _(spark, d):

@@ -129,8 +129,11 @@ def complexity_distribution(rows: DataFrame) -> DataFrame:
 
 def grafana_series(points: DataFrame, interval: float) -> DataFrame:
     """Per target the [value, ts_ms] pairs as JSON text; lists are built after downsampling."""
-    p = downsample(points, ["name"], interval)
-    pair = F.concat(F.lit("["), F.format_string("%.4f", F.col("value")), F.lit(","), (F.col("bucket") * 1000).cast("string"), F.lit("]"))
+    b = F.floor(seconds("ts") / F.lit(float(interval))) * F.lit(int(interval))
+    # printed numbers are averaged in exact decimals, so a tie does not depend on row order
+    mean = F.round(F.avg(F.col("value").cast("decimal(18,6)")), 4)
+    p = points.groupBy("name", b.alias("bucket")).agg(mean.alias("value"))
+    pair = F.concat(F.lit("["), F.col("value").cast("string"), F.lit(","), (F.col("bucket") * 1000).cast("string"), F.lit("]"))
     listed = F.sort_array(F.collect_list(F.struct("bucket", pair.alias("p"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["p"]), ","), F.lit("]"))
     return p.groupBy(F.col("name").alias("target")).agg(text.alias("datapoints"))
