@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query(
     "alert_dedup_window",
-    W("metrics", _ALERTS + """, RECURSIVE_PLACEHOLDER""").replace(", RECURSIVE_PLACEHOLDER", """, n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY sec, seq) AS rn FROM al),
+    W("metrics", _ALERTS + """, n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY sec, seq) AS rn FROM al),
 w AS (SELECT seq, fingerprint, rn, sec, sec AS last_sent, true AS sent FROM n WHERE rn = 1
  UNION ALL SELECT n.seq, n.fingerprint, n.rn, n.sec, CASE WHEN n.sec - w.last_sent < 14400 THEN w.last_sent ELSE n.sec END, n.sec - w.last_sent >= 14400 FROM w JOIN n ON n.fingerprint = w.fingerprint AND n.rn = w.rn + 1)
 SELECT seq, fingerprint, sent FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),

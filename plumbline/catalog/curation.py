@@ -262,7 +262,7 @@ def _(spark, d):
 
 @query(
     "tokenize_pad",
-    f""", RPL""".replace(", RPL", "") + f"""WITH i AS (SELECT doc_id, list_transform({words_sql('text')}[1:128], lambda w: ('0x'||substr(md5(w),1,8))::BIGINT % 31999 + 1) AS ids FROM documents)
+    f"""WITH i AS (SELECT doc_id, list_transform({words_sql('text')}[1:128], lambda w: ('0x'||substr(md5(w),1,8))::BIGINT % 31999 + 1) AS ids FROM documents)
 SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(128-len(ids)), lambda x: 0)), ' ') AS ids, len(ids) AS mask_sum FROM i""",
 )
 def _(spark, d):

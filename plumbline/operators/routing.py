@@ -77,7 +77,6 @@ def route_ensemble(outputs: DataFrame, item: str, router: str, weights: str, log
 
     e = outputs.select(item, router, F.posexplode(weights).alias("k", "w"))
     if logits is None:
-        share = F.lit(None).cast("double")
         value = F.avg("w")
     else:
         z = sum(math.exp(v) for v in logits.values())
