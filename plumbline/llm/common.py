@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.plans.runtime import scratch_path
 
@@ -43,7 +44,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, max_bytes: int = 4 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, max_bytes: int = 4 << 20) -> DataFrame:
     """Apply `fn` to Arrow batches, each cut to about `max_bytes` so that a task's memory doesn't follow batch sizes.
 
     A single row beyond `max_bytes` forms a batch of its own.

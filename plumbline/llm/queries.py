@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +69,45 @@ def _(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "repeats", "taken")
+
+
+@query("op4_toxicity")
+def _(spark, d):
+    from plumbline.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").where(crc_mod("doc_id", 4) != 2).select("doc_id", "toxic")
+    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), own AS (
+  SELECT h, min(doc_id) AS low FROM win GROUP BY h
+), hit AS (
+  SELECT win.doc_id, list(win.i) AS starts FROM win JOIN own USING (h) WHERE win.doc_id > own.low GROUP BY win.doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT doc_id, unnest(starts) AS i FROM hit)) GROUP BY doc_id
+), word AS (
+  SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d
+), kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t FROM word
+  LEFT JOIN (SELECT doc_id, unnest(p) AS i FROM gone) g ON g.doc_id = word.doc_id AND g.i = word.i
+  WHERE g.i IS NULL GROUP BY word.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
+def _(spark, d):
+    from plumbline.llm.substrings import normal_text, remove_repeats
+
+    out = remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(normal_text(F.col("text")), 256).alias("kept_sha256"))
