@@ -111,3 +111,40 @@ def _(spark, d):
 
     out = remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(normal_text(F.col("text")), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT md5(string_agg(h, '' ORDER BY h)) AS f, doc_id FROM s GROUP BY doc_id
+), head AS (
+  SELECT f, min(doc_id) AS doc_id FROM sets GROUP BY f
+), hs AS (
+  SELECT s.* FROM s JOIN head USING (doc_id)
+), e AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM hs a JOIN hs b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2) p
+  JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)
+  UNION SELECT head.doc_id, sets.doc_id FROM sets JOIN head USING (f) WHERE sets.doc_id > head.doc_id
+), both_ways AS (
+  SELECT x, y FROM e UNION SELECT y, x FROM e
+), reach AS (
+  SELECT x AS doc_id, x AS r FROM both_ways UNION SELECT b.y, reach.r FROM reach JOIN both_ways b ON b.x = reach.doc_id
+), c AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+@query("op5_jaccard_join", OP5_SQL)
+def _(spark, d):
+    from plumbline.llm.jaccard import similar_groups
+
+    return similar_groups(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
