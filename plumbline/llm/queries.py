@@ -148,3 +148,49 @@ def _(spark, d):
     from plumbline.llm.jaccard import similar_groups
 
     return similar_groups(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _template_sql(table_name: str, key: str) -> str:
+    from plumbline.llm.decontaminate import DROPPED, SPACE, UNITS
+
+    quoted = "'" + DROPPED.replace("'", "''") + "'"
+    space = " || ".join(f"chr({ord(c)})" for c in SPACE)
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return f"""
+  SELECT {key}, list_transform(range(1, len(w) + 1), lambda i: struct_pack(core := rtrim(w[i], '.,!?:'), prev := CASE WHEN i > 1 THEN w[i - 1] END)) AS w
+  FROM (SELECT {key}, list_filter(string_split(translate(coalesce(text, ''), {space} || {quoted}, '     '), ' '), lambda x: x <> '') AS w FROM {table_name})
+), {table_name}_k AS (
+  SELECT {key}, list_transform(w, lambda x: struct_pack(core := x.core, kind := CASE
+    WHEN x.core >= '0' AND x.core <= '9~' THEN '<1>'
+    WHEN lower(x.core) IN ({units}) AND x.prev >= '0' AND x.prev <= '9~' THEN '<2>'
+    WHEN lower(x.core) <> x.core AND x.prev IS NOT NULL AND right(x.prev, 1) NOT IN ('.', '!', '?', ':') AND regexp_full_match(x.core, '\\p{{Lu}}\\p{{Ll}}+') THEN '<3>' END)) AS w FROM {table_name}_w
+), {table_name}_t AS (
+  SELECT {key}, list_transform(w, lambda x: coalesce(x.kind, lower(x.core))) AS t, list_transform(w, lambda x: CASE WHEN x.kind IS NULL THEN NULL ELSE x.core END) AS v FROM {table_name}_k
+), {table_name}_x AS (
+  SELECT {key}, t[i:i + n - 1] AS t, list_filter(v[i:i + n - 1], lambda x: x IS NOT NULL) AS f, n
+  FROM (SELECT {key}, t, v, n, unnest(range(1, greatest(len(t) - n + 2, 1))) AS i FROM {table_name}_t, {table_name}_n)
+), {table_name}_p AS (
+  SELECT DISTINCT {key}, n, array_to_string(t, ' ') AS t, CASE WHEN len(f) > 1 THEN list_transform(f, lambda x: list_position(f, x)) ELSE [] END AS p
+  FROM {table_name}_x WHERE n - len(f) >= least(6, n)
+)"""
+
+
+OP10_SQL = f"""
+WITH benchmark_w AS ({_template_sql("benchmark", "item_id").replace("FROM benchmark_t, benchmark_n", "FROM (SELECT *, least(len(t), 10) AS n FROM benchmark_t WHERE len(t) > 0)")},
+documents_n AS (SELECT DISTINCT n FROM benchmark_p),
+documents_w AS ({_template_sql("documents", "doc_id")},
+m AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item
+  FROM documents_p d JOIN benchmark_p b ON d.n = b.n AND d.t = b.t AND d.p = b.p GROUP BY doc_id
+)
+SELECT documents.doc_id, m.doc_id IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, first_item
+FROM documents LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op10_decontaminate", OP10_SQL)
+def _(spark, d):
+    from plumbline.llm.decontaminate import flag_contaminated
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return flag_contaminated(docs, table(spark, d, "benchmark")).select("doc_id", "contaminated", "n_items", "first_item")
