@@ -4,7 +4,7 @@ SCHEMA = "doc_id long, text string, n_items string, h int"
 ITEMS = [
     (1, "A train leaves at 8 and covers 120 km before 8 trucks from Paris and 3 from Rome meet it near the old bridge."),
     (2, "Which river flows slowly through seven quiet valleys?"),
-    (3, None), (4, ""), (5, "12 34 56"),
+    (6, "At 5 the old clerk counts 5 boxes and then 7 bags before lunch."), (3, None), (4, ""), (5, "12 34 56"),
 ]
 
 
@@ -21,11 +21,12 @@ def test_slots_and_windows(spark):
     got = flags(spark, [
         filler + ITEMS[0][1] + filler,
         "A train leaves at 9 and covers 75 miles before 9 trucks from Lyon and 4 from Bonn meet it near the old bridge.",
-        "A train leaves at 9 and covers 75 miles before 7 trucks from Lyon.",  # 8 and 8 became 9 and 7
+        "At 6 the old clerk counts 9 boxes and then",  # 5 and 5 became 6 and 9
         filler, "which RIVER flows, slowly through seven quiet valleys", "seven quiet valleys", None, "", "12 34 56",
         filler * 400 + ITEMS[1][1], filler * 400 + ITEMS[1][1],
+        "At 6 the old clerk counts 6 boxes and then",
     ])
-    assert [got[i][0] for i in range(11)] == [True, True, False, False, True, False, False, False, False, True, True]
+    assert [got[i][0] for i in range(12)] == [True, True, False, False, True, False, False, False, False, True, True, True]
     assert got[0][1:] == (1, 1) and got[4][1:] == (1, 2) and got[3][1:] == (0, None)
 
 
