@@ -194,3 +194,53 @@ def _(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     return flag_contaminated(docs, table(spark, d, "benchmark")).select("doc_id", "contaminated", "n_items", "first_item")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT x AS vec_id, x AS r FROM l UNION SELECT l.y, reach.r FROM reach JOIN l ON l.x = reach.vec_id
+), c AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x
+)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
+@query("op1_embedding_dedup", OP1_SQL)
+def _(spark, d):
+    from plumbline.llm.embeddings import similar_vectors
+
+    out = similar_vectors(table(spark, d, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '###|</turn>')) + 9) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op8_chat_format", OP8_SQL)
+def _(spark, d):
+    from plumbline.llm.chat import format_chats, read_back, records_from_turns
+
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return read_back(format_chats(records_from_turns(rows)), "conv_id")

@@ -17,7 +17,7 @@ def flags(spark, texts):
 
 
 def test_slots_and_windows(spark):
-    filler = "nothing of interest stands here, only many common words in a row that say little " * 3
+    filler = "nothing of interest stands here, only many common words in a row that say little. " * 3
     got = flags(spark, [
         filler + ITEMS[0][1] + filler,
         "A train leaves at 9 and covers 75 miles before 9 trucks from Lyon and 4 from Bonn meet it near the old bridge.",
