@@ -244,3 +244,21 @@ def _(spark, d):
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").union(more)
     return read_back(format_chats(records_from_turns(rows)), "conv_id")
+
+
+@query("op7_language_id")
+def _(spark, d):
+    from plumbline.llm.langid import fit_languages, predict_languages
+
+    docs = table(spark, d, "documents")
+    model = fit_languages(docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    out = predict_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_html_text")
+def _(spark, d):
+    from plumbline.llm.html import extract_text
+
+    out = extract_text(table(spark, d, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
