@@ -198,7 +198,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 class Tree:
     """Decision tree: the split with the lowest weighted Gini impurity, halfway between values, until nodes are pure."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
         self.value, self.split = bool(y.mean() >= 0.5), None
         if depth == 0 or y.min() == y.max():
             return
@@ -223,7 +223,13 @@ class Tree:
 
 
 def train(table: str = LABELLED) -> Tree:
+    """Where ancestors or own links decide a labelled block, it holds beside any neighbours, so it is repeated with those of
+    all rows. Blocks without such signs, on pages without a body element, are learnt with their own neighbours."""
     rows = np.array([line.split() for line in table.split("\n") if line.strip()], float)
+    decided = rows[:, [0, 1, 2, 4]].any(1) | (rows[:, 6] >= 0.5)
+    more = np.repeat(rows[decided], len(rows), axis=0)
+    more[:, 7:11] = np.tile(rows[:, 7:11], (decided.sum(), 1))
+    rows = np.vstack([np.repeat(rows[~decided], len(rows), axis=0), more])  # every labelled block has one weight
     return Tree(rows[:, :-1], rows[:, -1])
 
 
