@@ -98,6 +98,15 @@ LABELLED = """
 0 0 0 0 0  16 0.0   9 0.0   4 0.0  1
 0 0 0 0 0   8 0.0  45 0.0  50 0.0  1
 0 0 0 0 0   5 0.0  60 0.0  40 0.0  1
+0 0 0 0 0  24 0.0   3 1.0   3 0.0  1
+0 0 0 0 0  22 0.0   3 0.0   3 1.0  1
+0 0 0 0 0  30 0.0   6 0.5   6 1.0  1
+0 0 0 0 0  24 0.1  60 0.0  60 0.0  1
+0 0 0 0 0  18 0.0   2 0.0   5 0.0  1
+0 0 0 0 0  17 0.0   2 1.0   2 1.0  1
+0 0 0 0 0   3 0.0  24 0.0  24 0.0  1
+0 0 0 0 0   2 0.0  24 0.0   3 1.0  0
+0 0 0 0 0   2 0.0   3 1.0  24 0.0  0
 0 0 0 1 0   6 0.0   3 1.0  50 0.0  1
 0 0 0 1 0   3 0.0  60 0.0  50 0.0  1
 0 0 0 1 0   2 0.0  50 0.0   2 1.0  0
