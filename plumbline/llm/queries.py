@@ -262,3 +262,10 @@ def _(spark, d):
 
     out = extract_text(table(spark, d, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op3_katz_score")
+def _(spark, d):
+    from plumbline.llm.katz import katz_scores
+
+    return katz_scores(table(spark, d, "documents"), crc_mod("doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
