@@ -5,12 +5,13 @@ Words become tokens: literals (lower case, no punctuation) or typed slots for nu
 numbers or names has the windows of the original. Slots must be filled consistently: equal values in the benchmark stand
 for equal values in the document and different ones for different ones. That is, both windows have the same pattern of
 first occurrences, which the join compares. Windows with few literals say nothing and are left out.
+
+Of every benchmark window one pair of neighbouring literals, the longest, is its key. A text without any of these pairs
+can't match, so windows are built only for the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +29,54 @@ UNITS = (
 _NUMBER, _UNIT, _NAME = 1, 2, 3  # tokens below 4 are slots; literals are hashes
 
 
-def tokens(text: Column) -> tuple[Column, Callable[[], Column]]:
-    """The words, to be named __words, and a maker of array<struct<t, v>>: token and, for slots, a hash of the value."""
+def words_of(text: Column) -> Column:
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE + DROPPED, " " * len(SPACE))
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
+def _core(word: Column) -> Column:
+    return F.rtrim(word, F.lit(TAIL))
+
+
+def _pair(first: Column, second: Column) -> Column:
+    return F.xxhash64(F.lower(_core(first)), F.lower(_core(second)))
+
+
+def tokens(words: Column) -> Column:
+    """array<struct<t, v>>: token and, for slots, a hash of the value (0 for literals)."""
 
     def one(w: Column, i: Column) -> Column:
-        core = F.rtrim(w, F.lit(TAIL))
+        core = _core(w)
         low = F.lower(core)
-        before = F.get(words_col, i - 1)
-        digit = core.between("0", "9~")
+        before = F.get(words, i - 1)
         after_number = before.between("0", "9~")
         inner = before.isNotNull() & ~F.substring(before, -1, 1).isin(*".!?:")
         kind = (
-            F.when(digit, _NUMBER).when(low.isin(*UNITS) & F.coalesce(after_number, F.lit(False)), _UNIT)
+            F.when(core.between("0", "9~"), _NUMBER).when(low.isin(*UNITS) & F.coalesce(after_number, F.lit(False)), _UNIT)
             .when((low != core) & F.coalesce(inner, F.lit(False)) & core.rlike(r"^\p{Lu}\p{Ll}+$"), _NAME)
         )
         return F.struct(F.coalesce(kind.cast("bigint"), F.xxhash64(low)).alias("t"), F.when(kind.isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(core)).alias("v"))
 
-    words_col = F.col("__words")
-    return words, lambda: F.transform(words_col, one)
+    return F.transform(words, one)
+
+
+def pair_keys(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(key): for every window the hash of its longest pair of neighbouring literals.
+
+    With at least LITERALS literals among at most ten tokens two of them are neighbours; a window of one token has none
+    and gives a null key, which stands for any text.
+    """
+    rows = df.select(words_of(F.col(text_col)).alias("__words")).select("__words", tokens(F.col("__words")).alias("__tok"))
+    literal = lambda i: F.get("__tok.v", i) == 0
+    both = lambda i: F.struct(
+        F.when(literal(i) & literal(i + 1), F.length(F.get("__words", i)) + F.length(F.get("__words", i + 1))).otherwise(-1).alias("long"), _pair(F.get("__words", i), F.get("__words", i + 1)).alias("key")
+    )
+    n = F.size("__words")
+    rows = rows.where(n > 0).select(F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), both)).alias("pairs"), n.alias("n"))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - (width - 1), F.lit(1)))
+    best = F.transform(starts, lambda i: F.array_max(F.slice("pairs", i, F.lit(width - 1))))
+    best = rows.select(F.explode(best).alias("x"))
+    return best.where("x is null or x.long > 0").select(F.col("x.key").alias("key")).distinct()
 
 
 def windows(df: DataFrame, text_col: str, lengths: list[int], keep: list[str], whole: bool = False) -> DataFrame:
@@ -55,8 +84,7 @@ def windows(df: DataFrame, text_col: str, lengths: list[int], keep: list[str], w
 
     whole: a text shorter than the largest length gives one window, all of its tokens.
     """
-    words, make = tokens(F.col(text_col))
-    rows = df.select(*keep, words.alias("__words")).select(*keep, make().alias("__tok"))
+    rows = df.select(*keep, words_of(F.col(text_col)).alias("__words")).select(*keep, tokens(F.col("__words")).alias("__tok"))
     rows = rows.select(*keep, F.col("__tok.t").alias("t"), F.col("__tok.v").alias("v"), F.exists("__tok.v", lambda x: x != 0).alias("slots"))
     n = F.size("t")
 
@@ -88,6 +116,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     bench = stored(bench.withColumnRenamed(item_col, "__item"), "benchmark-windows")
     lengths = sorted(r.width for r in bench.select("width").distinct().collect())  # at most `width` values
     texts = docs.where(F.col(text_col).isNotNull()).select(*_key(F.col(text_col)), F.col(text_col).alias("__text"))
+    keys = stored(pair_keys(benchmark.where(F.col(item_text).isNotNull()), item_text, width), "benchmark-keys")
+    if keys.where("key is null").limit(1).count() == 0:
+        words = F.col("__words")
+        rows = texts.select("__k1", "__k2", words_of(F.col("__text")).alias("__words")).where(F.size(words) > 1)
+        rows = rows.select("__k1", "__k2", F.explode(F.arrays_zip(F.slice(words, F.lit(1), F.size(words) - 1).alias("a"), F.slice(words, F.lit(2), F.size(words) - 1).alias("b"))).alias("x"))
+        rows = rows.select("__k1", "__k2", _pair(F.col("x.a"), F.col("x.b")).alias("key"))
+        some = rows.join(broadcast_if_small(keys, max_broadcast_windows), "key", "left_semi").select("__k1", "__k2").distinct()
+        texts = texts.join(broadcast_if_small(stored(some, "benchmark-candidates"), max_broadcast_windows), ["__k1", "__k2"], "left_semi")
     hits = None
     for w in lengths:
         mine = windows(texts, "__text", [w], ["__k1", "__k2"]).drop("width")
