@@ -45,7 +45,7 @@ def _(spark, d):
     """The quantile plan for groups too large for one buffer, forced on."""
     from plumbline.plans.ordering import group_quantiles
 
-    return group_quantiles(B.requests(spark, d), ["adapter"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, group_rows=0)
+    return group_quantiles(B.requests(spark, d), ["adapter"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query(

@@ -58,7 +58,7 @@ def _(spark, d):
 @query("metric_percentiles_located", W("metrics", f"SELECT {_NEARS} FROM metrics"))
 def _(spark, d):
     """One giant metric: ranks located through value buckets."""
-    return T.metric_percentiles(B.metrics(spark, d), [], [50, 90, 95, 99], group_rows=0)
+    return T.metric_percentiles(B.metrics(spark, d), [], [50, 90, 95, 99])
 
 
 @query("metric_rate", W("metrics", "SELECT name, (arg_max(value, ts) - arg_min(value, ts)) / (epoch(max(ts)) - epoch(min(ts))) AS rate FROM metrics GROUP BY name"))

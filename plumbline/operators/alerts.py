@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.folds import fold_rows, reset_segments
-from plumbline.plans.ordering import prefix_sums, top_n_per_group
+from plumbline.plans.ordering import null_safe_join, prefix_sums, top_n_per_group
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def rule_for_duration(evaluated: DataFrame, keys: Sequence[str], seconds: str) -
         evaluated, [seconds], {"island": F.coalesce((~F.col("met")).cast("bigint"), F.lit(1))}, ["rule", *keys]
     )
     starts = numbered.where("met").groupBy("rule", *keys, "island").agg(F.min(seconds).alias("pending_since"))
-    out = numbered.join(starts, ["rule", *keys, "island"], "left")
+    out = null_safe_join(numbered, starts, ["rule", *keys, "island"], "left")
     since = F.when(F.col("met"), F.col("pending_since"))
     return out.withColumn("pending_since", since).withColumn(
         "firing", F.coalesce(F.col("met") & (F.col(seconds) - since >= F.col("for_seconds")), F.lit(False))

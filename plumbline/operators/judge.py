@@ -86,9 +86,9 @@ def judge_cache_reuse(rows: DataFrame, cache: DataFrame, key: str) -> tuple[Data
 
 
 def score_rows(
-    df: DataFrame, fn: Callable[[str, str], float], query: str, response: str, parallel: int = 5, retries: int = 3
+    df: DataFrame, fn: Callable[[str, str], float], query: str, response: str, parallel: int | None = None, retries: int = 3
 ) -> DataFrame:
-    """Score through a user function on at most `parallel` tasks at a time; after failed retries
+    """Score through a user function; `parallel` bounds the tasks if the judged service needs it. After failed retries
     the row gets 0.5 and is marked as a fallback."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,8 @@ def score_rows(
             yield pdf.assign(judge_score=scores, judge_model=marks)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(parallel).mapInPandas(run, f"{fields}, judge_score double, judge_model string")
+    spread = df if parallel is None else df.repartition(parallel)
+    return spread.mapInPandas(run, f"{fields}, judge_score double, judge_model string")
 
 
 def judge_ensemble(long: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.keyed import uniform
-from plumbline.plans.ordering import group_quantiles, ranked, rolling_rows
+from plumbline.plans.ordering import group_quantiles, null_safe_join, ranked, rolling_rows
 
 # Histogram bounds in seconds.
 LATENCY_BOUNDS = ["0.01", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0"]
@@ -152,7 +152,7 @@ def bench_summary(runs: DataFrame, keys: Sequence[str], value: str = "latency_ms
     ]
     near = group_quantiles(runs, keys, value, {"p95_ms": 0.95, "p99_ms": 0.99}, aggs, method="nearest", **quantile_args)
     med = group_quantiles(runs, keys, value, {"median_ms": 0.5}, **quantile_args)
-    return near.join(med, list(keys))
+    return null_safe_join(near, med, list(keys))
 
 
 def system_eval_latency(requests: DataFrame, **quantile_args) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.keyed import pick
-from plumbline.plans.ordering import assign_splits, hash_order, ranked, top_n_per_group
+from plumbline.plans.ordering import assign_splits, hash_order, null_safe_join, ranked, top_n_per_group
 
 # Difficulty order; unknown counts as medium.
 DIFFICULTY = {"easy": 0, "medium": 1, "hard": 2}
@@ -41,7 +41,7 @@ def balance_dataset(df: DataFrame, group: str, row_id: str, target: int | None =
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     goal = F.lit(target) if target is not None else counts.agg(F.min("__n")).scalar()
     sized = counts.withColumn("__goal", goal)
-    kept = r.join(sized, group).where(F.col("__rank") <= F.col("__goal"))
+    kept = null_safe_join(r, sized, [group]).where(F.col("__rank") <= F.col("__goal"))
     need = sized.where("__n < __goal").withColumn("__need", F.col("__goal") - F.col("__n"))
     outer = need.withColumn("__o", F.explode(F.sequence(F.lit(0), F.floor((F.col("__need") - 1) / spread))))
     outer = outer.repartition(F.col(group), F.col("__o"))
@@ -50,7 +50,8 @@ def balance_dataset(df: DataFrame, group: str, row_id: str, target: int | None =
         group, "__n", (F.col("__o") * spread + F.col("__i")).alias("draw")
     )
     draws = draws.withColumn("__rank", (pick(F.col(group), "balance", F.col("__n"), F.col("draw"), seed) + 1).cast("bigint"))
-    extra = draws.select(group, "__rank", "draw").join(r, [group, "__rank"])
+    extra = draws.select(group, "__rank", "draw")
+    extra = null_safe_join(extra, r, [group, "__rank"])
     cols = df.columns
     return kept.select(*cols, F.lit(0).cast("bigint").alias("draw")).unionByName(extra.select(*cols, F.col("draw").cast("bigint")))
 

@@ -89,7 +89,7 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], phi: float) -> D
 
     The windows run over one histogram: as many rows as it has bounds.
     """
-    le = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.try_to_number(F.col("le"), F.lit("999999.99999")).cast("double"))
+    le = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").try_cast("double"))
     w = Window.partitionBy(*keys).orderBy("bound")
     b = buckets.withColumn("bound", le)
     b = b.select(

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from plumbline.plans.ordering import null_safe_join
+
 
 def reset_segments(
     df: DataFrame,
@@ -44,7 +46,7 @@ def reset_segments(
     runs = occupied.withColumn("__new", fresh.cast("int")).select(
         *keys, "__slot", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name)
     )
-    return df.withColumn("__slot", slot).join(runs, [*keys, "__slot"]).drop("__slot")
+    return null_safe_join(df.withColumn("__slot", slot), runs, [*keys, "__slot"]).drop("__slot")
 
 
 def fold_rows(
@@ -63,6 +65,7 @@ def fold_rows(
             rows = []
             for row in pdf.itertuples(index=False, name="Row"):
                 key = tuple(getattr(row, g) if not g.startswith("_") else row[pdf.columns.get_loc(g)] for g in group)
+                key = tuple(None if v != v else v for v in key)  # nulls of one key are one key
                 if key != current:
                     current, state = key, start()
                 state, out = step(state, row)
@@ -138,8 +141,8 @@ def _affine_level(df, keys, pos, a, b, out, block, top):
         heads = blocks.select(*keys, "__blk", F.col("__s.a").alias("__a"), F.col("__s.b").alias("__b"))
         nxt = _affine_level(heads, keys, "__blk", "__a", "__b", "__carry", block, top // block)
         nxt = nxt.select(*keys, (F.col("__blk") - 1).alias("__blk"), "__carry")
-        carried = blocks.join(nxt, [*keys, "__blk"], "left").fillna(0.0, ["__carry"])
+        carried = null_safe_join(blocks, nxt, [*keys, "__blk"], "left").fillna(0.0, ["__carry"])
     vals = carried.select(*keys, "__carry", F.explode("__s.done").alias("__d")).select(
         *keys, F.col("__d.p").alias(pos), (F.col("__d.a") + F.col("__d.b") * F.col("__carry")).alias(out)
     )
-    return df.join(vals, [*keys, pos])
+    return null_safe_join(df, vals, [*keys, pos])

@@ -44,17 +44,18 @@ def ranked(df: DataFrame, order: Sequence, keys: Sequence[str] = (), name: str =
     )
     if keys:
         starts = out.groupBy(*keys).agg((F.min(name) - 1).alias("__start"))
-        out = _null_safe_join(out, starts, keys).withColumn(name, F.col(name) - F.col("__start"))
+        out = null_safe_join(out, starts, keys).withColumn(name, F.col(name) - F.col("__start"))
     return out.drop(_POS, _PART, "__off", "__start")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the left side's keys stay."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = None
     for k in keys:
         one = left[k].eqNullSafe(r[f"__r_{k}"])
         cond = one if cond is None else cond & one
-    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def prefix_sums(df: DataFrame, order: Sequence, sums: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +75,7 @@ def prefix_sums(df: DataFrame, order: Sequence, sums: Mapping[str, Column], keys
         *group, *[F.coalesce(F.sum(f"__t_{n}").over(prior), F.lit(0)).alias(f"__o_{n}") for n in sums]
     )
     out = s.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__i_{n}") for n in sums])
-    out = _null_safe_join(out, shift, group)
+    out = null_safe_join(out, shift, group)
     return out.select(*df.columns, *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])
 
 
@@ -173,12 +174,12 @@ def assign_splits(
         .where((F.col("__c.pos") > F.col("__before")) & (F.col("__c.pos") <= F.col("__before") + F.col("__n")))
         .select(*keys, "__pre", "__c.cut", (F.col("__c.pos") - F.col("__before")).alias("__want"))
     )
-    near = h.select(*keys, pre.alias("__pre"), "__h").join(goal, [*keys, "__pre"])
+    near = null_safe_join(h.select(*keys, pre.alias("__pre"), "__h"), goal, [*keys, "__pre"])
     rn = F.row_number().over(Window.partitionBy(*keys, "__pre", "cut").orderBy("__h"))
     hits = near.withColumn("__rn", rn).where("__rn = __want")
     edges = [F.max(F.when(F.col("cut") == i, F.col("__h"))).alias(f"e{i}") for i in range(len(fractions))]
     if keys:
-        h = h.join(hits.groupBy(*keys).agg(F.struct(*edges).alias("__e")), list(keys), "left")
+        h = null_safe_join(h, hits.groupBy(*keys).agg(F.struct(*edges).alias("__e")), list(keys), "left")
     else:
         h = h.withColumn("__e", hits.agg(F.struct(*edges).alias("e")).scalar())
     label = None
@@ -195,38 +196,23 @@ def group_quantiles(
     probs: Mapping[str, float],
     aggs: Sequence[Column] = (),
     method: str = "linear",
-    group_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Exact quantiles per key next to other aggregates.
+    """Exact quantiles per key next to other aggregates; a group without values keeps its row, with nulls.
 
-    `linear` interpolates between neighbours, `nearest` takes sorted[min(int(n*p), n-1)].
-    Built-in percentile keeps a group's distinct values in one buffer, so it is used only when
-    a count proves that no group has more than `group_rows` rows; else ranks are located
-    through value buckets.
+    `linear` interpolates between neighbours and gives doubles, `nearest` takes sorted[min(int(n*p), n-1)] and keeps the
+    column's type. Ranks are located through value buckets, so no group has to fit one buffer.
     """
     k = list(keys)
-    biggest = df.groupBy(*k).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest <= group_rows:
-        if method == "linear":
-            qs = [F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()]
-        else:
-            vals = F.sort_array(F.collect_list(value))
-            qs = [
-                F.try_element_at(
-                    vals, F.least(F.floor(F.count(value) * F.lit(p)), F.count(value) - 1).cast("int") + 1
-                ).alias(n)
-                for n, p in probs.items()
-            ]
-        return df.groupBy(*k).agg(*aggs, *qs)
     located = _located_quantiles(df, k, value, probs, method)
-    if not aggs:
-        return located
+    if method != "linear":
+        kind = df.schema[value].dataType
+        located = located.select(*k, *[F.col(c).cast(kind).alias(c) for c in probs])
     if not k:
         row = F.struct(*[F.col(c) for c in probs]).alias("q")
-        return (
-            df.agg(*aggs).withColumn("__q", located.select(row).scalar()).select("*", "__q.*").drop("__q")
-        )
-    return _null_safe_join(df.groupBy(*k).agg(*aggs), located, k)
+        every = df.agg(*(aggs or [F.lit(None).alias("__none")]))
+        return every.withColumn("__q", located.select(row).scalar()).select("*", "__q.*").drop("__q", "__none")
+    groups = df.groupBy(*k).agg(*aggs) if aggs else df.select(*k).distinct()
+    return null_safe_join(groups, located, k, "left")
 
 
 def _located_quantiles(df, keys, value, probs, method, buckets: int = 512) -> DataFrame:
@@ -239,7 +225,7 @@ def _located_quantiles(df, keys, value, probs, method, buckets: int = 512) -> Da
     )
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = counts.groupBy(*k).agg(F.percentile_approx("__v", grid, 20000).alias("__edges"))
-    placed = _null_safe_join(counts, edges, k)
+    placed = null_safe_join(counts, edges, k)
     placed = placed.withColumn(
         "__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))
     ).drop("__edges")

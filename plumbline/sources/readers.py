@@ -26,9 +26,9 @@ def detect_format(spark: SparkSession, path: str) -> str:
     return next((v for k, v in SUFFIXES.items() if last.endswith(k)), "json")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, keep_bad: bool = False) -> DataFrame:
-    """One object per line; blank lines are skipped, broken lines dropped or kept as text."""
-    r = spark.read.option("mode", "PERMISSIVE" if keep_bad else "DROPMALFORMED")
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, keep_bad: bool = False, drop_bad: bool = False) -> DataFrame:
+    """One object per line; blank lines are skipped. A broken line stops the read, or is kept as text, or dropped."""
+    r = spark.read.option("mode", "PERMISSIVE" if keep_bad else "DROPMALFORMED" if drop_bad else "FAILFAST")
     if keep_bad:
         s = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         schema = T.StructType([*s.fields, T.StructField(BAD_RECORD, T.StringType())])
@@ -78,7 +78,9 @@ def load(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
         raise FileNotFoundError(f"{path}: no such path, and hub downloads are not supported")
     if schema is None:
         raise ValueError(f"a schema is needed to read {fmt}")
-    return {"jsonl": read_jsonl, "json": read_json, "csv": read_csv}[fmt](spark, path, schema)
+    if fmt == "jsonl":  # loading by format goes on past broken lines; read_jsonl itself stops
+        return read_jsonl(spark, path, schema, drop_bad=True)
+    return {"json": read_json, "csv": read_csv}[fmt](spark, path, schema)
 
 
 def object_inventory(spark: SparkSession, path: str, prefix: str = "", max_results: int | None = None, checksum: bool = True) -> DataFrame:

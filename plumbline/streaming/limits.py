@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.plans.folds import fold_rows, fold_stream, reset_segments
+from plumbline.plans.ordering import null_safe_join
 
 ORDER = ["sec", "seq"]
 # Requests per 60 seconds and tokens per minute of each tier.
@@ -83,7 +84,7 @@ def sliding_window_limit(events: DataFrame, keys: Sequence[str], limit: str, win
     cut = reset_segments(per, keys, "slot", precision)
     quota = fold_rows(cut, keys, ["slot"], window_start, window_quota_step(precision), "before long, granted long")
     rank = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(*ORDER))
-    out = e.withColumn("__r", rank).join(quota.select(*keys, "slot", "before", "granted"), [*keys, "slot"])
+    out = null_safe_join(e.withColumn("__r", rank), quota.select(*keys, "slot", "before", "granted"), [*keys, "slot"])
     ok = F.col("__r") <= F.col("granted")
     left = F.when(ok, F.col(limit) - F.col("before") - F.col("__r")).otherwise(0)
     return out.withColumns({"allowed": ok, "remaining": left.cast("bigint")}).drop("slot", "__r", "before", "granted")

@@ -226,3 +226,13 @@ def test_constants():
     assert A.DEFAULT_RULES[0].for_seconds == 120 and [r.metric for r in A.DEFAULT_RULES] == ["latency_p99", "error_rate", "quality_score", "gpu_memory_utilization"]
     assert sum(S.METRIC_WEIGHTS.values()) == pytest.approx(1.0)
     assert len(AU.SYNONYMS) == 14 and len(AU.FILLERS) == 10 and len(S.TOXIC) == 9 and len(Y.EDGE_CASES) == 8
+
+
+def test_bounds_above_a_million_and_null_groups(spark):
+    from plumbline.operators.splitting import balance_dataset
+    from plumbline.operators.timeseries import histogram_quantile
+
+    b = spark.createDataFrame([("s", "1000000", 5), ("s", "2000000.0", 9), ("s", "+Inf", 10)], "k string, le string, cumulative_count long")
+    assert histogram_quantile(b, ["k"], 0.5).first().quantile == 1_000_000
+    rows = spark.range(30).selectExpr("id", "if(id < 20, null, 'x') g")
+    assert {r.g: r["count"] for r in balance_dataset(rows, "g", "id").groupBy("g").count().collect()} == {None: 10, "x": 10}

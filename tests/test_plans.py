@@ -68,13 +68,13 @@ def test_top_n_and_first_per_key(spark):
 def test_quantiles_located_equal_built_in(spark, method):
     rows, df = skewed(spark)
     probs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.95, "e": 1.0}
-    got = {r["k"]: r for r in O.group_quantiles(df, ["k"], "v", probs, method=method, group_rows=0).collect()}
+    got = {r["k"]: r for r in O.group_quantiles(df, ["k"], "v", probs, method=method).collect()}
     for key in {r[1] for r in rows}:
         v = sorted(r[2] for r in rows if r[1] == key)
         for n, p in probs.items():
             want = np.percentile(v, p * 100) if method == "linear" else v[min(int(len(v) * p), len(v) - 1)]
             assert got[key][n] == pytest.approx(want)
-    whole = O.group_quantiles(df, [], "v", {"m": 0.5}, [F.count("v").alias("n")], group_rows=0).first()
+    whole = O.group_quantiles(df, [], "v", {"m": 0.5}, [F.count("v").alias("n")]).first()
     assert whole["m"] == np.median([r[2] for r in rows]) and whole["n"] == len(rows)
 
 
@@ -238,3 +238,13 @@ def test_histogram_interpolation_bounds(spark):
     h = spark.createDataFrame(rows, "k string, le string, cumulative_count long")
     assert histogram_quantile(h, ["k"], 0.75).first()["quantile"] == pytest.approx(0.3)
     assert math.isclose(histogram_quantile(h, ["k"], 0.25).first()["quantile"], 0.05)
+
+
+def test_null_groups_and_types_stay(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, 7)], "k string, v long")
+    near = O.group_quantiles(df, ["k"], "v", {"m": 0.5}, method="nearest")
+    assert dict(near.dtypes)["m"] == "bigint"
+    assert {r.k: r.m for r in near.collect()} == {"a": 2, "b": None, None: 7}
+    rows = spark.range(60).selectExpr("id", "if(id < 50, null, 'x') k")
+    got = O.assign_splits(rows, ["id"], [0.8], ["train", "test"], keys=["k"]).groupBy("k", "split").count().collect()
+    assert {(r.k, r["split"]): r["count"] for r in got} == {(None, "train"): 40, (None, "test"): 10, ("x", "train"): 8, ("x", "test"): 2}

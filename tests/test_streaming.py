@@ -138,3 +138,12 @@ def test_partition_refresh_keeps_other_days(spark, tmp_path):
     refresh_partitions(spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int"), path, "day")
     refresh_partitions(spark.createDataFrame([("d2", 5)], "day string, n int"), path, "day")
     assert sorted((r["day"], r["n"]) for r in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 5)]
+
+
+def test_null_keys_stay(spark):
+    from plumbline.streaming import limits as L
+
+    rows = [(5, 1.0, 1), (None, 1.0, 2), (None, 2.0, 3), (5, 3.0, 4)]
+    e = spark.createDataFrame(rows, "user_id long, sec double, seq long")
+    got = L.sliding_log_limit(e, "user_id", 1, 60.0).collect()
+    assert sorted(r.seq for r in got if r.allowed) == [1, 2] and len(got) == 4
