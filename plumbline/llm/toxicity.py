@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from plumbline.llm.common import map_arrow
+from plumbline.llm.common import map_arrow, stored
 
 ORDERS, BITS, DIM = (3, 4, 5, 6), 17, 8
 
@@ -65,52 +65,64 @@ class ToxicityModel:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
 
 
-def _bags(docs: DataFrame, text_col: str, label_col: str) -> list:
-    """Collect the sample's bags: distinct buckets and their share of the text's n-grams."""
+def _telling(rows: DataFrame, least_z: float) -> np.ndarray:
+    """Buckets whose share of documents differs between the labels by at least `least_z` standard errors."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, owner = subwords(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
+        label = batch.column("label").to_numpy()
+        keys = np.unique(owner.astype(np.int64) << BITS | ids)
+        keys, docs = np.unique(label[keys >> BITS].astype(np.int64) << BITS | keys & (1 << BITS) - 1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys >> BITS), pa.array(keys & (1 << BITS) - 1), pa.array(docs)], names=["label", "bucket", "docs"])
+
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        return np.zeros(0, np.int64)
+    per = map_arrow(rows, count, "label long, bucket long, docs long").groupBy("bucket").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("b")
+    )
+    p = (F.col("a") + F.col("b")) / n
+    z = (F.col("a") / n1 - F.col("b") / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
+    return np.sort(np.array([r.bucket for r in per.where(F.abs(z) > least_z).select("bucket").collect()], np.int64))
+
+
+def _bags(rows: DataFrame, live: np.ndarray) -> list:
+    """Collect the sample's bags: positions of the live buckets a text has and their share of its n-grams."""
 
     def bag(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(text_col).cast(pa.binary()).fill_null(b"").to_pylist()
+        texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
         ids, owner = subwords(texts)
-        keys, counts = np.unique(owner.astype(np.int64) << BITS | ids, return_counts=True)
+        total = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        row = np.full(1 << BITS, -1)
+        row[live] = np.arange(len(live))
+        keep = row[ids] >= 0
+        keys, counts = np.unique(owner[keep].astype(np.int64) << BITS | row[ids[keep]], return_counts=True)
         cuts = np.searchsorted(keys >> BITS, np.arange(len(texts) + 1))
-        out = [(keys[i:j] & (1 << BITS) - 1, counts[i:j]) for i, j in zip(cuts, cuts[1:])]
+        out = [(keys[i:j] & (1 << BITS) - 1, counts[i:j] / n) for i, j, n in zip(cuts, cuts[1:], total)]
         return pa.RecordBatch.from_arrays(
-            [
-                batch.column(label_col).cast(pa.int32()),
-                pa.array([k.astype(np.uint32).tobytes() for k, _ in out], pa.binary()),
-                pa.array([(c / max(c.sum(), 1)).astype(np.float32).tobytes() for _, c in out], pa.binary()),
-            ],
+            [batch.column("label"), pa.array([k.astype(np.uint32).tobytes() for k, _ in out], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in out], pa.binary())],
             names=["label", "ids", "shares"],
         )
 
-    return map_arrow(docs.select(text_col, label_col), bag, "label int, ids binary, shares binary").collect()
+    return map_arrow(rows, bag, "label int, ids binary, shares binary").collect()
 
 
 def train(
-    labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], epochs: int = 20, batch: int = 64, rate: float = 0.05,
-    decay: float = 1e-3, least_z: float = 6.0, seed: int = 7,
+    labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], live: np.ndarray, epochs: int = 20, batch: int = 64,
+    rate: float = 0.05, decay: float = 1e-3, seed: int = 7,
 ) -> ToxicityModel:
     """Embeddings and softmax by Adam on cross-entropy with weight decay.
 
-    Buckets whose share of documents differs between the labels by less than `least_z` standard errors keep a zero
-    embedding; on a small sample they would only be learnt by heart. One class only, or no rows: a constant model.
+    Only the `live` buckets get an embedding; on a small sample the others would only be learnt by heart. One class only,
+    no rows or no live buckets: a constant model.
     """
     n, size, rng = len(bags), 1 << BITS, np.random.default_rng(seed)
     prior = float(labels.mean()) if n else 0.0
     if not 0 < prior < 1:
         return ToxicityModel(np.zeros(size), -40.0 if prior == 0 else 40.0, prior)
-    having = np.zeros((2, size))
-    for (ids, _), y in zip(bags, labels):
-        having[y, ids] += 1
-    n1 = labels.sum()
-    p = having.sum(0) / n
-    z = (having[1] / n1 - having[0] / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / (n - n1)))
-    live = np.flatnonzero(np.abs(z) > least_z)
     if not len(live):
         return ToxicityModel(np.zeros(size), float(np.log(prior / (1 - prior))), prior)
-    row = np.full(size, -1)
-    row[live] = np.arange(len(live))
-    kept = [(row[ids[row[ids] >= 0]], shares[row[ids] >= 0]) for ids, shares in bags]
+    kept = bags
     mean = np.bincount(np.concatenate([i for i, _ in kept]), np.concatenate([s for _, s in kept]), len(live)) / n
     gain = 30.0 / np.sqrt(30.0 * (mean + mean.mean()))  # shares are small numbers, and common n-grams vary more
     params = [rng.normal(0, 0.1, (DIM, len(live))), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
@@ -144,18 +156,20 @@ def train(
     return ToxicityModel(weights, float(bias[1] - bias[0]), prior)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, least_z: float = 6.0) -> ToxicityModel:
     """Train on at most `max_rows` labelled documents, chosen by a hash of their ids, whole texts.
 
-    Rows with a null id or label are not used; several labels of one id count as their maximum. Only the sample's bags
-    come to the driver, a bounded amount.
+    Rows with a null id or label are not used; several labels of one id count as their maximum. Only the buckets
+    that tell the labels apart, and the sample's bags of these, come to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     pick = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))  # at most max_rows rows
-    rows = _bags(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(pick, "__id").select("text", "__label"), "text", "__label")
-    rows = sorted((r.ids, r.shares, r.label) for r in rows)
-    bags = [(np.frombuffer(i, np.uint32), np.frombuffer(s, np.float32)) for i, s, _ in rows]
-    return train(np.array([y > 0 for _, _, y in rows], int), bags)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(pick, "__id")
+    rows = stored(rows.select("text", (F.col("__label") > 0).cast("int").alias("label")), "toxicity-sample")
+    live = _telling(rows, least_z)
+    got = sorted((r.ids, r.shares, r.label) for r in _bags(rows, live))
+    bags = [(np.frombuffer(i, np.uint32), np.frombuffer(s, np.float32)) for i, s, _ in got]
+    return train(np.array([y for _, _, y in got], int), bags, live)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
