@@ -89,10 +89,15 @@ def train(langs: list[str], sets: list[np.ndarray], landmarks: int = 48, ridge:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> LanguageModel:
     """Train on at most `per_language` texts of each language, chosen by a hash of their ids; whole texts.
 
-    Rows without id, language or letters are not used. Only bucket lists of the sample come to the driver.
+    Rows without id, language or letters are not used; of rows that repeat an id and language one is. Only bucket lists
+    of the sample come to the driver.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
     ids = known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).withColumn("__h", F.xxhash64("__id"))
+    sizes = ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    ids = ids.join(broadcast_if_small(sizes, 100_000), "__lang")
+    # a hot language is thinned by the hash before its rows meet; small ones come whole
+    ids = ids.where((F.col("__n") <= 16 * per_language) | (F.pmod(F.col("__h"), F.lit(1 << 30)) < 2.0 * per_language * (1 << 30) / F.col("__n")))
     pick = top_n_per_group(ids, ["__lang"], ["__h", "__id"], per_language, ["__id"]).select("__id", "__lang")
     rows = known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("__lang")).join(broadcast_if_small(pick.distinct(), 1_000_000), ["__id", "__lang"])
 
@@ -102,7 +107,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             [batch.column("__id"), batch.column("__lang"), pa.array([s.astype(np.uint32).tobytes() if s is not None else None for s in sets], pa.binary())], names=["id", "lang", "ids"]
         )
 
-    got = map_arrow(rows.select("__id", "__lang", "text"), bags, StructType([StructField("id", rows.schema["__id"].dataType), StructField("lang", StringType()), *StructType.fromDDL("ids binary")])).where("ids is not null").collect()
+    got = map_arrow(rows.select("__id", "__lang", "text"), bags, StructType([StructField("id", rows.schema["__id"].dataType), StructField("lang", StringType()), *StructType.fromDDL("ids binary")])).where("ids is not null")
+    got = got.groupBy("id", "lang").agg(F.min("ids").alias("ids")).collect()
     got = sorted(got, key=lambda r: (str(r.id), r.lang, bytes(r.ids)))
     return train([r.lang for r in got], [np.frombuffer(r.ids, np.uint32) for r in got])
 
