@@ -68,6 +68,7 @@ def band(a: int) -> int:
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of a set; `frequent` is sorted."""
     a = len(s)
     own, k = band(a), int(allowed(a, 4 * a // 3))
     out = []
@@ -78,7 +79,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             block = s >> np.uint64(64 - m)
             start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             sig = _mix(np.bitwise_xor.reduceat(_mix(s, 3), start) + (block[start] << np.uint64(8)), m)
-        known = np.isin(sig, frequent) if len(frequent) else np.zeros(len(sig), bool)
+        known = frequent[np.minimum(np.searchsorted(frequent, sig), len(frequent) - 1)] == sig if len(frequent) else np.zeros(len(sig), bool)
         rare, rest = np.sort(sig[~known]), np.sort(sig[known])
         if len(rare) > k:
             sure = len(rare) - k
