@@ -8,6 +8,7 @@ from plumbline.catalog.curation import clean_sql, html_sql, refusal_sql, words_s
 from plumbline.catalog.drift import scores
 from plumbline.catalog.registry import query
 from plumbline.operators import cleaning as C
+from plumbline.plans.ordering import ranked
 
 W = B.with_ctes
 
@@ -41,11 +42,17 @@ def _(spark, d):
     return FL.preprocess_batch(twice(spark, d), "id").select("id", "instruction")
 
 
+def with_vectors(samples, vectors):
+    """Rows by id take the vectors by (label, vec_id) in turn, from the first again when all are used."""
+    v = ranked(vectors.select("label", "vec_id", "v"), ["label", "vec_id"], name="__turn").drop("label")
+    s = ranked(samples, ["id"], name="__rank").withColumn("__turn", F.pmod(F.col("__rank") - 1, F.lit(max(v.count(), 1))) + 1)
+    return s.join(v, "__turn").drop("__turn", "__rank")
+
+
 @query("evaluate_and_diagnose")
 def _(spark, d):
     """Each instruction row takes the vector with the number of its position."""
-    s = B.samples(spark, d).withColumn("vec_id", F.pmod("id", F.lit(500)))
-    j = s.join(B.vectors(spark, d).select("vec_id", "v"), "vec_id")
+    j = with_vectors(B.samples(spark, d), B.vectors(spark, d))
     judge = F.col("id") * 7919 % 1000 / 1000.0
     return FL.evaluate_and_diagnose(j, "id", "instruction", "output", "v", eps=1.25, min_points=3, judge=judge)
 

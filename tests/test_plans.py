@@ -248,3 +248,16 @@ def test_null_groups_and_types_stay(spark):
     rows = spark.range(60).selectExpr("id", "if(id < 50, null, 'x') k")
     got = O.assign_splits(rows, ["id"], [0.8], ["train", "test"], keys=["k"]).groupBy("k", "split").count().collect()
     assert {(r.k, r["split"]): r["count"] for r in got} == {(None, "train"): 40, (None, "test"): 10, ("x", "train"): 8, ("x", "test"): 2}
+
+
+def test_rows_take_all_vectors_in_turn(spark):
+    from plumbline.catalog.flows import with_vectors
+
+    ids = [conv * 1000 + turn for conv in range(40) for turn in (1, 3, 5)]
+    vecs = [7 * i + 600 for i in range(50)]
+    samples = spark.createDataFrame([(i,) for i in reversed(ids)], "id long")
+    vectors = spark.createDataFrame([(i, [float(i)], i % 3) for i in reversed(vecs)], "vec_id long, v array<double>, label int")
+    vecs.sort(key=lambda i: (i % 3, i))
+    got = {r.id: (r.vec_id, r.v) for r in with_vectors(samples, vectors).collect()}
+    assert got == {i: (vecs[k % 50], [float(vecs[k % 50])]) for k, i in enumerate(sorted(ids))}
+    assert with_vectors(samples, vectors.limit(0)).count() == 0
