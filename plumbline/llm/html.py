@@ -18,13 +18,17 @@ from pyspark.sql.types import StringType, StructField, StructType
 from plumbline.llm.common import map_arrow
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_NAMES = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORDS = re.compile(r"[a-z]+")
 #: HTML element groups and words used in class, id and role attributes.
-RAW = set("script style noscript template textarea select svg iframe title object canvas math xmp".split())
+RAW = set("script style noscript template textarea select svg iframe title object canvas annotation annotation-xml xmp".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
+MATH = set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = set("nav header footer aside form menu dialog button fieldset head".split())
 BODY = set("article main".split())
@@ -115,13 +119,13 @@ LABELLED = """
 
 def _open(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
     """What an element adds to its blocks: chrome tag, chrome words, body, heading."""
-    words, gone = set(), False
+    words, gone, hide = set(), False, r"display\s*:\s*none|visibility\s*:\s*hidden"
     if attrs and attrs.strip("/ "):
-        for m in _NAMES.finditer(attrs):
+        for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" or key == "style":
-                gone |= key == "hidden" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-            else:
+            if key in ("hidden", "style", "aria-hidden"):
+                gone |= key == "hidden" or (value.strip() == "true" if key == "aria-hidden" else bool(re.search(hide, value)))
+            elif key in ("class", "id", "role", "aria-label"):
                 words |= set(_WORDS.findall(value))
     chrome = gone or (bool(words & CHROME_WORDS) and name not in ("html", "body"))
     return name in CHROME, chrome, name in BODY or (bool(words & BODY_WORDS) and name not in ("html", "body")), name in HEADINGS
@@ -173,6 +177,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 at = end.end() if end else n
             parts.append(" ")
             continue
+        if name in MATH:
+            parts.append(" ")
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = not m[1]
@@ -195,11 +202,11 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             own = _open(name, m[3])
             flags = (flags[0] or own[0], flags[1] or own[1], flags[2] or own[2], own[3])
     close()
-    paged = float(any(f[2] for _, f, _, _ in found))
+    paged = any(f[2] and not (f[0] or f[1]) for _, f, _, _ in found)  # a menu named "main" is no body element
     size = [0.0, *(float(w) for *_, w, _ in found), 0.0]
     link = [0.0, *(x for *_, x in found), 0.0]
     return [
-        (text, [*map(float, f), paged, size[i], link[i], size[i - 1], link[i - 1], size[i + 1], link[i + 1]])
+        (text, [float(f[0]), float(f[1]), float(f[2] and paged), float(f[3]), float(paged), size[i], link[i], size[i - 1], link[i - 1], size[i + 1], link[i + 1]])
         for i, (text, f, _, _) in enumerate(found, 1)
     ]
 

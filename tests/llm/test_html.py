@@ -57,3 +57,21 @@ def test_tree_fits_its_table():
 
     rows = np.array([x.split() for x in LABELLED.split("\n") if x.strip()], float)
     assert all(TREE(list(r[:-1])) == bool(r[-1]) for r in rows)
+
+
+def test_menus_named_main_do_not_hide_the_article():
+    for menu in ('<ul class="main-nav"><li><a href=/a>One</a><li>Two words</ul>', '<div class="sidebar content"><p>Some box text</p></div>', "<nav id=main><h2>Menu</h2><a href=/>x</a></nav>", '<div class="comment post"><p>Me too</div>'):
+        page = f"<body>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div>{menu}</body>"
+        assert main_text(page, TREE) == f"{PROSE}\n{PROSE}", menu
+
+
+def test_attribute_names_are_taken_whole():
+    for attr in ('aria-hidden="false"', "data-hidden=1", 'data-hidden="true"', 'title="a hidden cave, class=ad"', "data-class=ad", 'data-id="nav"', "x-style='display:none'"):
+        assert main_text(f"<article {attr}><p>{PROSE}</article>", TREE) == PROSE, attr
+    for attr in ('aria-hidden="true"', "aria-hidden=true", "hidden", 'x=1 hidden=""', "style='display: none'", 'CLASS="ad"', "a='b'class=ad"):
+        assert main_text(f"<article><p>{PROSE}<div {attr}><p>{PROSE}</div></article>", TREE) == PROSE, attr
+
+
+def test_math_is_text():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>x=\\frac12</annotation></semantics></math>"
+    assert main_text(f"<article><p>{PROSE} Here {math} holds.</article>", TREE) == f"{PROSE} Here x = 1 2 holds."
