@@ -45,6 +45,16 @@ def docs(spark, d):
 
 
 @query("clean_text", f"SELECT doc_id, md5({clean_sql('text')}) AS digest, length({clean_sql('text')}) AS n FROM documents")
+def _(spark, d):
+    c = docs(spark, d).select("doc_id", C.clean_text("text", max_length=2048).alias("c"))
+    return c.select("doc_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("n"))
+
+
+# the SQL above holds the first 2,048 characters; whole texts have a query of their own
+_WHOLE = clean_sql("text", 1 << 30)
+
+
+@query("clean_text_whole", f"SELECT doc_id, md5({_WHOLE}) AS digest, length({_WHOLE}) AS n FROM documents")
 def _(spark, d):
     c = docs(spark, d).select("doc_id", C.clean_text("text").alias("c"))
     return c.select("doc_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("n"))
@@ -266,6 +276,21 @@ def _(spark, d):
 SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(128-len(ids)), lambda x: 0)), ' ') AS ids, len(ids) AS mask_sum FROM i""",
 )
 def _(spark, d):
-    t = FM.tokenize_pad(docs(spark, d).select("doc_id", "text"), "text")
+    return _ids(FM.tokenize_pad(docs(spark, d).select("doc_id", "text"), "text", truncate=True), "doc_id")
+
+
+def _ids(t, *keys):
     total = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint")
-    return t.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"), total.alias("mask_sum"))
+    return t.select(*keys, F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"), total.alias("mask_sum"))
+
+
+@query(
+    "tokenize_pieces",
+    f"""WITH w AS (SELECT doc_id, {words_sql('text')} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(greatest((len(ws) + 127) // 128, 1)))::INT AS piece FROM w),
+i AS (SELECT doc_id, piece, list_transform(ws[piece*128+1:piece*128+128], lambda w: ('0x'||substr(md5(w),1,8))::BIGINT % 31999 + 1) AS ids FROM p)
+SELECT doc_id, piece, array_to_string(list_concat(ids, list_transform(range(128-len(ids)), lambda x: 0)), ' ') AS ids, len(ids) AS mask_sum FROM i""",
+)
+def _(spark, d):
+    """All words of a text, in pieces of 128."""
+    return _ids(FM.tokenize_pad(docs(spark, d).select("doc_id", "text"), "text"), "doc_id", "piece")

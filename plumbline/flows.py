@@ -27,12 +27,13 @@ def curate(df: DataFrame, row_id: str, validation: float = 0.1, global_dedup: bo
 
 def preprocess_batch(
     df: DataFrame, row_id: str, clean: bool = True, keep_valid: bool = True, dedupe: bool = True,
-    fields: Sequence[str] = ("instruction", "output"),
+    fields: Sequence[str] = ("instruction", "output"), max_length: int | None = None,
 ) -> DataFrame:
+    """Texts stay whole, of any length; with `max_length` they are cut to it, or, if not cleaned, longer ones are dropped."""
     if clean:
-        df = C.clean_example(df)
+        df = C.clean_example(df, max_length=max_length)
     if keep_valid:
-        df = C.filter_examples(df)
+        df = C.filter_examples(df, max_length=max_length)
     return DD.dedup_exact(df, fields, [row_id]) if dedupe else df
 
 

@@ -40,7 +40,7 @@ def nfc(text: Column) -> Column:
 
 
 def clean_text(
-    text: Column | str, urls: bool = True, emails: bool = True, spaces: bool = True, max_length: int | None = 2048
+    text: Column | str, urls: bool = True, emails: bool = True, spaces: bool = True, max_length: int | None = None
 ) -> Column:
     t = nfc(F.coalesce(X.col(text), F.lit("")))
     # a plain substring test spares most rows the pattern

@@ -64,18 +64,26 @@ def hashed_token(w: Column, vocab: int) -> Column:
 
 
 def tokenize_pad(
-    df: DataFrame, text: str, max_length: int = 128, vocab: int = 32000, tokenizer: Callable[[Column], Column] | None = None
+    df: DataFrame, text: str, max_length: int = 128, vocab: int = 32000, tokenizer: Callable[[Column], Column] | None = None,
+    truncate: bool = False,
 ) -> DataFrame:
-    """Truncated and padded input ids, labels (a copy) and attention mask.
+    """Padded input ids, labels (a copy) and attention mask, one row for each piece of `max_length` ids.
 
+    `piece` counts the consecutive pieces of a text from 0; an empty text gives one piece of padding. `truncate` keeps
+    only the first piece, without the column.
     `tokenizer` maps a text column to ARRAY<INT>; the default hashes words. A trained tokenizer
     goes in as a pandas_udf column.
     """
     if tokenizer is None:
-        ids = F.transform(F.slice(X.words(text), 1, max_length), lambda w: hashed_token(w, vocab))
+        words = X.words(text)
+        ids = F.transform(F.slice(words, 1, max_length) if truncate else words, lambda w: hashed_token(w, vocab))
     else:
-        ids = F.slice(tokenizer(F.col(text)), 1, max_length)
+        ids = F.slice(tokenizer(F.col(text)), 1, max_length) if truncate else tokenizer(F.col(text))
     d = df.withColumn("__ids", ids)
+    if not truncate:
+        last = F.greatest(F.ceil(F.size("__ids") / max_length) - 1, F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("__ids", i * max_length + 1, max_length))
+        d = d.select("*", F.posexplode(parts).alias("piece", "__part")).withColumn("__ids", F.col("__part")).drop("__part")
     pad = F.array_repeat(F.lit(0), F.lit(max_length) - F.size("__ids"))
     mask = F.concat(F.array_repeat(F.lit(1), F.size("__ids")), pad)
     full = F.concat("__ids", pad)

@@ -236,3 +236,19 @@ def test_bounds_above_a_million_and_null_groups(spark):
     assert histogram_quantile(b, ["k"], 0.5).first().quantile == 1_000_000
     rows = spark.range(30).selectExpr("id", "if(id < 20, null, 'x') g")
     assert {r.g: r["count"] for r in balance_dataset(rows, "g", "id").groupBy("g").count().collect()} == {None: 10, "x": 10}
+
+
+def test_long_texts_stay_whole(spark):
+    from plumbline import flows
+    from plumbline.operators import formatting as FM
+
+    long = " ".join(f"w{i}" for i in range(1000))
+    df = spark.createDataFrame([(1, long + " a", long + " a"), (2, long + " b", long + " b"), (3, "", None)], "id long, instruction string, output string")
+    got = {r.id: r for r in C.clean_example(df).collect()}
+    assert got[1].output == long + " a" and got[3].output == ""
+    assert sorted(r.id for r in flows.preprocess_batch(df, "id").collect()) == [1, 2]
+    assert [len(r.output) for r in flows.preprocess_batch(df, "id", max_length=2048).collect()] == [2048]
+    rows = FM.tokenize_pad(df, "output").orderBy("id", "piece").collect()
+    assert [(r.id, r.piece, sum(r.attention_mask or [])) for r in rows] == [(i, p, 128 if p < 7 else 105) for i in (1, 2) for p in range(8)] + [(3, 0, 0)]
+    assert all(len(r.input_ids) == 128 for r in rows[:16])
+    assert len({x for r in rows[:8] for x in r.input_ids if x}) > 950 and rows[7].input_ids[104] != rows[15].input_ids[104]
