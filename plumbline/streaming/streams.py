@@ -83,7 +83,7 @@ def token_budget(requests: DataFrame, tiers: DataFrame, limits: Mapping[str, int
 
 
 def quality_start() -> dict:
-    return {"base": [0.0, 0], "last": []}
+    return {"base": [0.0, 0], "last": [], "rows": 0}
 
 
 def quality_step(baseline_rows: int, window: int, min_rows: int, threshold: float):
@@ -97,14 +97,16 @@ def quality_step(baseline_rows: int, window: int, min_rows: int, threshold: floa
         degradation = round(total / n - sum(last) / len(last), 9)
         # the baseline is known once its rows have been seen
         alert = n >= baseline_rows and len(last) >= min_rows and degradation > threshold
-        return {"base": [total, n], "last": last}, (degradation, alert)
+        rows = st["rows"] + 1
+        return {"base": [total, n], "last": last, "rows": rows}, (degradation, alert, rows)
 
     return step
 
 
 def stream_quality(scores: DataFrame, key: str = "adapter", baseline_rows: int = 500, window: int = 500, min_rows: int = 50, threshold: float = 0.1) -> DataFrame:
+    """`rows` counts the rows of a key so far, from 1; before the baseline is complete there is no alert."""
     step = quality_step(baseline_rows, window, min_rows, threshold)
-    return fold_stream(scores, [key], ORDER, quality_start, step, "degradation double, alert boolean")
+    return fold_stream(scores, [key], ORDER, quality_start, step, "degradation double, alert boolean, rows bigint")
 
 
 def drift_start() -> dict:

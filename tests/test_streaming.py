@@ -147,3 +147,27 @@ def test_null_keys_stay(spark):
     e = spark.createDataFrame(rows, "user_id long, sec double, seq long")
     got = L.sliding_log_limit(e, "user_id", 1, 60.0).collect()
     assert sorted(r.seq for r in got if r.allowed) == [1, 2] and len(got) == 4
+
+
+def test_quality_counts_rows_of_uneven_keys(spark, rows, tmp_path):
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(files(spark, rows, tmp_path))
+    s = S.stream_quality(src.withColumn("score", F.col("success").cast("double")), "key", 50, 50, 50, 0.01)
+    got = {r.seq: r.rows for r in S.run_to_files(s, "quality").collect()}
+    seen = {}
+    for seq, key, *_ in rows:
+        seen[key] = seen.get(key, 0) + 1
+        assert got[seq] == seen[key]
+
+
+def test_stream_quality_query_starts_at_row_50_of_uneven_adapters(spark, monkeypatch):
+    from plumbline.catalog import streaming as Q
+    from plumbline.catalog.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    some = lambda r: r.where("adapter <> 'code' or request_id % 3 = 0")
+    stream, batch = Q.request_stream, Q.B.requests
+    monkeypatch.setattr(Q, "request_stream", lambda s, d: some(stream(s, d)))
+    monkeypatch.setattr(Q.B, "requests", lambda s, d: some(batch(s, d)))
+    want = {r.adapter: r["count"] - 49 for r in some(batch(spark, sf)).groupBy("adapter").count().collect()}
+    got = {r.adapter: r["count"] for r in QUERIES["stream_quality"](spark, sf).groupBy("adapter").count().collect()}
+    assert got == {a: n for a, n in want.items() if n > 0} and len(got) > 1
