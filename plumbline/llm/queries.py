@@ -269,3 +269,66 @@ def _(spark, d):
     from plumbline.llm.katz import katz_scores
 
     return katz_scores(table(spark, d, "documents"), crc_mod("doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_token_alignment")
+def _(spark, d):
+    from plumbline.llm.align import align_tokens, link_scores, pair_counts, vocabularies
+    from plumbline.llm.common import stored
+
+    aligned = align_tokens(table(spark, d, "documents"), *vocabularies())
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = stored(aligned.withColumn("groups_sha256", sha).drop("groups"), "aligned")
+    out = link_scores(aligned, stored(pair_counts(aligned), "aligned-counts"))
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    near = """SELECT id, v, m.cluster, m.distance FROM (SELECT k.id, any_value(k.v) AS v, min(struct_pack(
+    distance := CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT), cluster := c.cluster)) AS m FROM k, c{r} c GROUP BY k.id)"""
+    steps = "".join(
+        f"""), a{r} AS (
+  {near.format(r=r)}
+), c{r + 1} AS (
+  SELECT c{r}.cluster, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r}) GROUP BY cluster, i
+    ) GROUP BY cluster) n USING (cluster)
+"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH k AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || id)) - 1 AS INT) AS cluster, v FROM k QUALIFY cluster < 16
+{steps}), a AS (
+  {near.format(r=rounds)}
+)
+SELECT id AS vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
+@query("op12_centroid_clusters", _centroid_sql())
+def _(spark, d):
+    from plumbline.llm.centroids import assign_clusters, cluster_inertia, fit_centroids, integer_vectors, per_cluster
+
+    rows = integer_vectors(table(spark, d, "embeddings"))
+    centroids = fit_centroids(rows)
+    per = cluster_inertia(rows, centroids)
+    out = assign_clusters(rows, centroids)
+    sha = {i: ",".join(map(str, c)) for i, c in enumerate(centroids)}
+    return out.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", per_cluster(per, "bigint").alias("cluster_inertia"), F.lit(str(sum(per.values()))).try_cast("bigint").alias("inertia"),
+        F.sha2(per_cluster(sha, "string").cast("binary"), 256).alias("centroid_sha256"),
+    )
+
+
+@query("op13_nearest_neighbours")
+def _(spark, d):
+    from plumbline.llm.neighbours import nearest_by_inner_product
+
+    out = nearest_by_inner_product(table(spark, d, "embeddings"), "id % 20 = 0", k=20)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
