@@ -11,8 +11,9 @@ number, are sent to the tasks that score the texts; rarer ones are joined by a s
 
 from __future__ import annotations
 
-import hashlib
+import json
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,16 @@ def _byte_of() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE from the JSON text of a `tokenizers` file."""
+    """A byte-level BPE from the JSON text of a `tokenizers` file.
+
+    Texts of characters up to Cyrillic, whose Unicode classes no version of the tables disputes, are encoded by `tiktoken`
+    with the ranks of the same file, at a third of the time; all others by `tokenizers`. A file whose entries are not in
+    the order of their merges, or that cuts words by another rule, is left to `tokenizers` altogether.
+    """
+
+    #: Fixed: the word rule of byte-level BPE files.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    _beyond = re.compile("[^\x00-\u052f]")
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,9 +56,31 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for entry, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.quick = self._ranked(json.loads(spec), byte)
+
+    def _ranked(self, spec: dict, byte: dict[str, int]):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+        ranks = [model["vocab"].get(x + y) for x, y in merges]
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        if not plain or model.get("ignore_merges") or None in ranks or any(x >= y for x, y in zip(ranks, ranks[1:])):
+            return None
+        import tiktoken
+
+        extra = {x["content"] for x in spec.get("added_tokens", ())}
+        own = {self.bytes[i]: i for entry, i in model["vocab"].items() if entry not in extra}
+        return tiktoken.Encoding("own", pat_str=self.WORDS, mergeable_ranks=own, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list:
+        out, rest = [None] * len(texts), []
+        for i, t in enumerate(texts):
+            if self.quick is not None and not self._beyond.search(t):
+                out[i] = self.quick.encode_ordinary(" " + t)
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tool.encode_batch_fast([" " + texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = e.ids
+        return out
 
 
 class Pieces:
@@ -65,47 +97,60 @@ class Pieces:
         return self.tool.encode(texts, num_threads=1)
 
 
-def _upward(ea: np.ndarray, eb: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Least common end in [start, stop) per interval, -1 if none; `stop` is itself a common end."""
-    out, at, x = np.full(len(start), -1), np.arange(len(start)), start
+def _upward(ea: np.ndarray, eb: np.ndarray, i: np.ndarray, i1: np.ndarray, j1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in both lists of the least common end from ea[i] on, before the interval's own end at i1 - 1 and j1 - 1; -1 if none."""
+    out_i, out_j, at = np.full(len(i), -1, i.dtype), np.full(len(i), -1, i.dtype), np.arange(len(i))
     while len(at):
-        a = ea[np.searchsorted(ea, x)]
-        b = eb[np.searchsorted(eb, a)]
-        inside = b < stop[at]
-        hit = inside & (a == b)
-        out[at[hit]] = a[hit]
+        x = ea[i]
+        j = np.searchsorted(eb, x)
+        inside = j < j1[at] - 1
+        hit = inside & (eb[j] == x)
+        out_i[at[hit]], out_j[at[hit]] = i[hit], j[hit]
         go = inside & ~hit
-        at, x = at[go], b[go]
-    return out
+        at, i = at[go], np.searchsorted(ea, eb[j[go]])
+        inside = i < i1[at] - 1
+        at, i = at[inside], i[inside]
+    return out_i, out_j
 
 
-def _downward(ea: np.ndarray, eb: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Greatest common end in (stop, start] per interval, -1 if none; `stop` is a common end or the beginning."""
-    out, at, x = np.full(len(start), -1), np.arange(len(start)), start
-    ea, eb = np.concatenate(([0], ea)), np.concatenate(([0], eb))
+def _downward(ea: np.ndarray, eb: np.ndarray, i: np.ndarray, i0: np.ndarray, j0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the greatest common end from ea[i] downwards, not before the positions i0 and j0."""
+    out_i, out_j, at = np.full(len(i), -1, i.dtype), np.full(len(i), -1, i.dtype), np.arange(len(i))
     while len(at):
-        a = ea[np.searchsorted(ea, x, "right") - 1]
-        b = eb[np.searchsorted(eb, a, "right") - 1]
-        inside = b > stop[at]
-        hit = inside & (a == b)
-        out[at[hit]] = a[hit]
+        x = ea[i]
+        j = np.searchsorted(eb, x, "right") - 1
+        inside = j >= j0[at]
+        hit = inside & (eb[j] == x)
+        out_i[at[hit]], out_j[at[hit]] = i[hit], j[hit]
         go = inside & ~hit
-        at, x = at[go], b[go]
-    return out
+        at, i = at[go], np.searchsorted(ea, eb[j[go]], "right") - 1
+        inside = i >= i0[at]
+        at, i = at[inside], i[inside]
+    return out_i, out_j
 
 
-def shared_cuts(ea: np.ndarray, eb: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Ends of all groups, sorted: the intervals (lo, hi] are halved at common ends until none holds one inside."""
-    cuts = [hi]
-    while len(lo):
-        mid = (lo + hi) >> 1
-        cut = _upward(ea, eb, mid + 1, hi)
-        miss = np.flatnonzero(cut < 0)
-        cut[miss] = _downward(ea, eb, mid[miss], lo[miss])
-        has = cut >= 0
-        cuts.append(cut[has])
-        lo, hi = np.concatenate((lo[has], cut[has])), np.concatenate((cut[has], hi[has]))
-    return np.sort(np.concatenate(cuts))
+def shared_cuts(ea: np.ndarray, eb: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """Ends of all groups, sorted. Text t has the token ends ea[a_at[t]:a_at[t + 1]] and those of eb alike, with equal last ends.
+
+    An interval is a run of tokens of both sides between two cuts. A side with one token has no end inside, so it is a leaf;
+    all others are halved at a common end, or leaves if they hold none. Intervals stay in order, which keeps lookups local.
+    """
+    some = a_at[1:] > a_at[:-1]
+    i0, i1, j0, j1 = a_at[:-1][some], a_at[1:][some], b_at[:-1][some], b_at[1:][some]
+    cuts = [ea[i1 - 1]]
+    while True:
+        open_ = (i1 - i0 > 1) & (j1 - j0 > 1)
+        i0, i1, j0, j1 = i0[open_], i1[open_], j0[open_], j1[open_]
+        if not len(i0):
+            return np.sort(np.concatenate(cuts))
+        mid = (i0 + i1 - 1) >> 1
+        ci, cj = _upward(ea, eb, mid, i1, j1)
+        miss = np.flatnonzero((ci < 0) & (mid > i0))
+        ci[miss], cj[miss] = _downward(ea, eb, mid[miss] - 1, i0[miss], j0[miss])
+        has = ci >= 0
+        ci, cj = ci[has], cj[has]
+        cuts.append(ea[ci])
+        i0, i1, j0, j1 = (np.stack(x, 1).ravel() for x in ((i0[has], ci + 1), (ci + 1, i1[has]), (j0[has], cj + 1), (cj + 1, j1[has])))
 
 
 @dataclass
@@ -123,15 +168,20 @@ class Aligned:
     link_at: np.ndarray
 
 
-def align(a_ids: list[list[int]], b_ids: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Aligned:
-    """Align two tokenizations of the same texts; both sides of a text have the same number of bytes."""
-    a, b = (np.fromiter((i for ids in side for i in ids), np.int64) for side in (a_ids, b_ids))
+def _flat(side: list) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in side]])
+
+
+def align(a_ids: list, b_ids: list, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Aligned:
+    """Align two tokenizations of the same texts, lists or arrays of ids; both sides of a text have the same number of bytes."""
+    a, b = _flat(a_ids), _flat(b_ids)
     ea, eb = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
     a_at, b_at = (np.concatenate(([0], np.cumsum([len(x) for x in side], dtype=np.int64))) for side in (a_ids, b_ids))
     text_at = np.concatenate(([0], ea))[a_at]
-    some = text_at[1:] > text_at[:-1]
-    cuts = shared_cuts(ea, eb, text_at[:-1][some], text_at[1:][some])
-    ends = np.union1d(ea, eb)  # between two neighbouring ends lies the overlap of exactly one token of either side
+    cuts = shared_cuts(ea, eb, a_at, b_at)
+    ends = np.sort(np.concatenate((ea, eb)))
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
+    # between two neighbouring ends lies the overlap of exactly one token of either side
     pairs = a[np.searchsorted(ea, ends)] * PAIR + b[np.searchsorted(eb, ends)]
     return Aligned(
         a, b, np.searchsorted(cuts, ea), np.searchsorted(cuts, eb), a_at, b_at, np.searchsorted(cuts, text_at, "right"), pairs, np.searchsorted(ends, text_at, "right")
@@ -282,6 +332,3 @@ def vocabularies(folder: str = "/opt/tokenizers", a: str = "byte_bpe_50k.json",
     with open(f"{folder}/{a}", encoding="utf-8") as f, open(f"{folder}/{b}", "rb") as g:
         return f.read(), g.read()
 
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest() if text else ""

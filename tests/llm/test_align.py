@@ -78,13 +78,21 @@ def test_very_long_text():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60))), max_size=5))
 def test_cuts_are_the_common_ends(texts):
-    ends, at = ([], []), [0]
-    for a, b in texts:
-        for side, own in zip(ends, (a, b)):
-            side += [at[-1] + e for e in sorted(own | {61})]
-        at.append(at[-1] + 61)
-    ea, eb, at = (np.array(x, np.int64) for x in (*ends, at))
-    assert A.shared_cuts(ea, eb, at[:-1], at[1:]).tolist() == sorted(set(ea.tolist()) & set(eb.tolist()))
+    ends, at = ([], []), ([0], [0])
+    for n, pair in enumerate(texts):
+        for side, cuts, own in zip(ends, at, pair):
+            side += [61 * n + e for e in sorted(own | {61})]
+            cuts.append(len(side))
+    ea, eb, a_at, b_at = (np.array(x, np.int64) for x in (*ends, *at))
+    assert A.shared_cuts(ea, eb, a_at, b_at).tolist() == sorted(set(ea.tolist()) & set(eb.tolist()))
+
+
+def test_both_encoders_agree(spark, sf):
+    tool = TOOLS[0]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text] + [t for t in TEXTS if t]
+    texts += ["".join(map(chr, range(i, i + 24))) + " x" for i in range(1, 0x530, 24)] + ["a\u00a0\u2003 b", " " * 99 + "y", "it's they'LL 'd"]
+    assert tool.quick is not None
+    assert tool.encode(texts) == [e.ids for e in tool.tool.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 def test_query_digests(spark, sf):
