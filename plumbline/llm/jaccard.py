@@ -13,7 +13,10 @@ Frequent signatures, found on a sample that only affects this order, are used on
 
 Verification first bounds the difference from below by the Hamming distance of bit sketches (about two bits per shingle,
 folded to the same length), then intersects the exact sets. Sets of equal content are merged before. Candidates start
-as a star per signature, one partner per document; what the found components don't explain is compared pair by pair.
+as a star per signature, one partner per document. Signatures that still hold many components are taken up again in
+rounds: their documents are compared with a few members of the largest component there, until a round links nothing, so
+that a group of near copies falls together in linear work, whoever its first leader was. Only what stays apart is
+compared pair by pair, among sets of like size on a common signature.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_arrow, stored
 from plumbline.plans.graphs import connected_components
 
 SHINGLE, SINGLES, MISS = 5, 96, 30.0
+CROWD, REPS = 16, 3  # components that make a signature crowded; members a document is compared with per round
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -162,6 +166,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, base: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("x", "y", "tx", "ty"), exact, "x long, y long")
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows (sig, id, first, comp) of the signatures with more than `CROWD` components."""
+    many = rows.groupBy("sig").agg(F.count_distinct("comp").alias("c")).where(F.col("c") > CROWD).select("sig")
+    return stored(rows.join(many, "sig"), "jaccard-crowded")
+
+
+def _merge_crowds(open_rows: DataFrame, tested: DataFrame, sets: DataFrame, base: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(links, labels, tested): links found by rounds, (first, comp) of the components they unite, pairs compared so far.
+
+    Each round compares a document with members of the component that has most rows on its signatures. Labels only need
+    to unite what is linked, not all of it: a later step closes them.
+    """
+    rows = _crowded(open_rows.select("sig", "id", F.col("comp").alias("first"), "comp"))
+    links, moved, turn = None, None, 0
+    while rows.limit(1).count():
+        turn += 1
+        picks = [F.min_by("id", F.xxhash64("id", F.lit(REPS * turn + j))).alias(f"r{j}") for j in range(REPS)]
+        per = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"), *picks)
+        lead = per.groupBy("sig").agg(F.max_by(F.struct("comp", *[f"r{j}" for j in range(REPS)]), F.struct("n", -F.col("comp"))).alias("lead"))
+        met = rows.join(lead, "sig").where(F.col("comp") != F.col("lead.comp"))
+        met = met.select("id", "comp", F.col("lead.comp").alias("to"), F.explode(F.array_distinct(F.array(*[F.col(f"lead.r{j}") for j in range(REPS)]))).alias("lead"))
+        votes = met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("comp").alias("comp"), F.first("to").alias("to"))
+        best = Window.partitionBy("id").orderBy(F.desc("c"), "lead")
+        star = votes.join(tested.select(F.col("x").alias("id"), F.col("y").alias("lead")), ["id", "lead"], "left_anti")
+        star = star.withColumn("k", F.row_number().over(best)).where(F.col("k") <= REPS)
+        star = stored(star.select(F.col("id").alias("x"), F.col("lead").alias("y"), "comp", "to"), "jaccard-round")
+        tested = stored(tested.union(star.select("x", "y")).union(star.select("y", "x")), "jaccard-tested")
+        found = stored(_verified(star.select("x", "y"), sets, base), "jaccard-found")
+        if not found.limit(1).count():
+            break
+        links = found if links is None else links.union(found)
+        ends = found.join(star, ["x", "y"]).select("comp", "to")
+        low = ends.union(ends.select("to", "comp")).groupBy("comp").agg(F.least(F.min("to"), F.first("comp")).alias("low"))
+        rows = rows.join(stored(low, "jaccard-low"), "comp", "left").select("sig", "id", "first", F.coalesce("low", "comp").alias("comp"))
+        now = rows.select("first", "comp").distinct()
+        moved = stored(now if moved is None else now.union(moved.join(now.select("first"), "first", "left_anti")), "jaccard-labels")
+        rows = _crowded(rows)
+    return links, moved, tested
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """(x, y) of different components on a common signature whose sizes and folded sketches allow a link.
+
+    A set meets, as the smaller one, those of its size class and of the next; classes grow by 4/3, the most that linked
+    sets can differ.
+    """
+    size = F.floor(F.log("n") / F.log(F.lit(4 / 3)) - 1e-9).cast("int")
+    cols = [c for c in rows.columns if c != "sig"]
+    one = rows.select("sig", size.alias("size"), *[F.col(c).alias(f"{c}_x") for c in cols])
+    two = rows.select("sig", F.explode(F.array(size, size - 1)).alias("size"), *[F.col(c).alias(f"{c}_y") for c in cols])
+    apart = sum((F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(8)), F.lit(0))
+    larger = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    alike = larger & (100 * F.col("n_x") >= 75 * F.col("n_y")) & (7 * apart <= F.col("n_x") + F.col("n_y"))
+    met = one.join(two, ["sig", "size"]).where((F.col("comp_x") != F.col("comp_y")) & alike)
+    return met.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per row of `docs`: set size and the smallest id reachable by links.
 
@@ -188,16 +249,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = met.select("sig", "id").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = stored(placed, "jaccard-placed")
     split = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
-    left = placed.join(stored(split, "jaccard-split"), "sig").join(sets.select("id", "n", "fold"), "id")
-    left = stored(left.select("sig", "id", "comp", "n", *[F.col("fold")[i].alias(f"b{i}") for i in range(8)]), "jaccard-open")
-    one, two = (left.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "sig"]) for side in "xy")
-    apart = sum((F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(8)), F.lit(0))
-    alike = (100 * F.least("n_x", "n_y") >= 75 * F.greatest("n_x", "n_y")) & (7 * apart <= F.col("n_x") + F.col("n_y"))
-    open_pairs = one.join(two, "sig").where((F.col("comp_x") < F.col("comp_y")) & alike).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
-    done = star.select(F.col("x").alias("y"), F.col("y").alias("x")).union(star.select("y", "x"))
-    open_pairs = open_pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
+    left = stored(placed.join(stored(split, "jaccard-split"), "sig"), "jaccard-open")
+    done = star.select(F.col("x").alias("y"), F.col("y").alias("x")).select("x", "y").union(star.select("x", "y"))
+    extra, moved, done = _merge_crowds(left, done, small, known)
+    if extra is not None:
+        left = left.withColumnRenamed("comp", "first").join(moved, "first", "left").select("sig", "id", F.coalesce("comp", "first").alias("comp"))
+        links = links.union(extra)
+    left = left.join(sets.select("id", "n", "fold"), "id").select("sig", "id", "comp", "n", *[F.col("fold")[i].alias(f"b{i}") for i in range(8)])
+    open_pairs = _open_pairs(left).join(done, ["x", "y"], "left_anti")
     more = stored(_verified(open_pairs, small, known), "jaccard-more")
-    groups = connected_components(links.union(more.select("x", "y")).union(equal), "x", "y")
+    groups = connected_components(links.union(more).union(equal), "x", "y")
     out = sets.select("id", F.col("n").alias("n_shingles")).join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
@@ -208,5 +269,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay. Rows that repeat the kept id stay too, they are the same document.
     """
     groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone = groups.where("component_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = groups.where("component_id < id").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

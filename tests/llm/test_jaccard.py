@@ -76,3 +76,24 @@ def test_edge_rows_and_empty_table(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "9", "None"]
     assert similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert len(shingles(b"")) == 0
+
+
+def test_one_passage_in_2000_unlike_texts_and_a_loose_family(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(30_000)]
+    passage, body = list(rng.choice(vocab, 70)), list(rng.choice(vocab, 300))
+    rows = [(i, " ".join(passage + list(rng.choice(vocab, int(rng.integers(25, 40)))))) for i in range(2000)]
+    for i in range(2000, 2150):  # pairs of this family lie on both sides of the threshold
+        w = list(body)
+        for at in rng.choice(300, 6, replace=False):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    got = sorted(map(tuple, similar_groups(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()))
+    assert got[:2000] == [(i, len({tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)}), i) for i, t in rows[:2000]]
+    assert got[2000:] == brute(rows[2000:])
+
+
+def test_columns_of_any_name_and_table_of_copies(spark):
+    df = spark.createDataFrame([(i, f"same words in each of these texts {i % 2}", i) for i in range(40)], "doc_id int, text string, __gone int")
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} in ({0, 1}, {0})
