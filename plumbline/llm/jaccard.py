@@ -14,9 +14,9 @@ Frequent signatures, found on a sample that only affects this order, are used on
 Verification first bounds the difference from below by the Hamming distance of bit sketches (about two bits per shingle,
 folded to the same length), then intersects the exact sets. Sets of equal content are merged before. Candidates start
 as a star per signature, one partner per document. Signatures that still hold many components are taken up again in
-rounds: their documents are compared with a few members of the largest component there, until a round links nothing, so
-that a group of near copies falls together in linear work, whoever its first leader was. Only what stays apart is
-compared pair by pair, among sets of like size on a common signature.
+rounds: a document is compared with a few members of the largest component it meets there, as long as this links a fair
+share of them, so that a group of near copies falls together in linear work, whoever its first leader was. Only what
+stays apart is compared pair by pair, among sets of like size on a common signature.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_arrow, stored
 from plumbline.plans.graphs import connected_components
 
 SHINGLE, SINGLES, MISS = 5, 96, 30.0
-CROWD, REPS = 16, 3  # components that make a signature crowded; members a document is compared with per round
+CROWD, REPS, ENOUGH = 16, 4, 16  # components that make a signature crowded; members a document is compared with per round; a round that links fewer than one document in so many is the last
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -82,7 +82,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             block = s >> np.uint64(64 - m)
             start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             sig = _mix(np.bitwise_xor.reduceat(_mix(s, 3), start) + (block[start] << np.uint64(8)), m)
-        known = np.isin(sig, frequent) if len(frequent) else np.zeros(len(sig), bool)
+        known = frequent[np.minimum(np.searchsorted(frequent, sig), len(frequent) - 1)] == sig if len(frequent) else np.zeros(len(sig), bool)
         rare, rest = np.sort(sig[~known]), np.sort(sig[known])
         if len(rare) > k:
             sure = len(rare) - k
@@ -172,38 +172,34 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return stored(rows.join(many, "sig"), "jaccard-crowded")
 
 
-def _merge_crowds(open_rows: DataFrame, tested: DataFrame, sets: DataFrame, base: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """(links, labels, tested): links found by rounds, (first, comp) of the components they unite, pairs compared so far.
+def _merge_crowds(open_rows: DataFrame, sets: DataFrame, base: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(tables of links found by rounds, (first, comp) of the components they unite).
 
-    Each round compares a document with members of the component that has most rows on its signatures. Labels only need
-    to unite what is linked, not all of it: a later step closes them.
+    A document takes the component it meets on most signatures among those that lead one, by rows, and is compared with
+    `REPS` of its members. Labels only need to unite what is linked, not all of it: a later step closes them.
     """
     rows = _crowded(open_rows.select("sig", "id", F.col("comp").alias("first"), "comp"))
-    links, moved, turn = None, None, 0
-    while rows.limit(1).count():
-        turn += 1
-        picks = [F.min_by("id", F.xxhash64("id", F.lit(REPS * turn + j))).alias(f"r{j}") for j in range(REPS)]
-        per = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"), *picks)
-        lead = per.groupBy("sig").agg(F.max_by(F.struct("comp", *[f"r{j}" for j in range(REPS)]), F.struct("n", -F.col("comp"))).alias("lead"))
-        met = rows.join(lead, "sig").where(F.col("comp") != F.col("lead.comp"))
-        met = met.select("id", "comp", F.col("lead.comp").alias("to"), F.explode(F.array_distinct(F.array(*[F.col(f"lead.r{j}") for j in range(REPS)]))).alias("lead"))
-        votes = met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("comp").alias("comp"), F.first("to").alias("to"))
-        best = Window.partitionBy("id").orderBy(F.desc("c"), "lead")
-        star = votes.join(tested.select(F.col("x").alias("id"), F.col("y").alias("lead")), ["id", "lead"], "left_anti")
-        star = star.withColumn("k", F.row_number().over(best)).where(F.col("k") <= REPS)
-        star = stored(star.select(F.col("id").alias("x"), F.col("lead").alias("y"), "comp", "to"), "jaccard-round")
-        tested = stored(tested.union(star.select("x", "y")).union(star.select("y", "x")), "jaccard-tested")
-        found = stored(_verified(star.select("x", "y"), sets, base), "jaccard-found")
-        if not found.limit(1).count():
-            break
-        links = found if links is None else links.union(found)
-        ends = found.join(star, ["x", "y"]).select("comp", "to")
-        low = ends.union(ends.select("to", "comp")).groupBy("comp").agg(F.least(F.min("to"), F.first("comp")).alias("low"))
-        rows = rows.join(stored(low, "jaccard-low"), "comp", "left").select("sig", "id", "first", F.coalesce("low", "comp").alias("comp"))
-        now = rows.select("first", "comp").distinct()
-        moved = stored(now if moved is None else now.union(moved.join(now.select("first"), "first", "left_anti")), "jaccard-labels")
-        rows = _crowded(rows)
-    return links, moved, tested
+    own = stored(sets.join(rows.select("id").distinct(), "id", "left_semi"), "jaccard-crowd-sets")
+    links, moved, more = [], None, rows.limit(1).count() > 0
+    while more:
+        picks = [F.min_by("id", F.xxhash64("id", F.lit(REPS * len(links) + j))) for j in range(REPS)]
+        per = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"), F.array(*picks).alias("reps"))
+        lead = per.groupBy("sig").agg(F.max_by(F.struct(F.col("comp").alias("to"), "reps"), F.struct("n", -F.col("comp"))).alias("lead")).select("sig", "lead.*")
+        met = rows.join(lead, "sig").where("comp <> to").groupBy("id", "comp", "to").agg(F.count(F.lit(1)).alias("n"), F.max("reps").alias("reps"))
+        best = met.groupBy("id", "comp").agg(F.max_by(F.struct("to", "reps"), F.struct("n", -F.col("to"))).alias("best")).select("id", "comp", "best.*")
+        star = stored(best.select(F.col("id").alias("x"), F.explode(F.array_distinct("reps")).alias("y"), "comp", "to"), "jaccard-round")
+        found = stored(_verified(star.select("x", "y"), own, base), "jaccard-found")
+        links.append(found)
+        asked, linked = (df.select("x").distinct().count() for df in (star, found))
+        more = linked * ENOUGH > asked
+        if linked:
+            ends = found.join(star, ["x", "y"]).select("comp", "to")
+            low = ends.union(ends.select("to", "comp")).groupBy("comp").agg(F.least(F.min("to"), F.first("comp")).alias("low"))
+            rows = rows.join(stored(low, "jaccard-low"), "comp", "left").select("sig", "id", "first", F.coalesce("low", "comp").alias("comp"))
+            now = rows.select("first", "comp").distinct()
+            moved = stored(now if moved is None else now.union(moved.join(now.select("first"), "first", "left_anti")), "jaccard-labels")
+            rows = _crowded(rows) if more else rows
+    return links, moved
 
 
 def _open_pairs(rows: DataFrame) -> DataFrame:
@@ -251,10 +247,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = placed.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("sig")
     left = stored(placed.join(stored(split, "jaccard-split"), "sig"), "jaccard-open")
     done = star.select(F.col("x").alias("y"), F.col("y").alias("x")).select("x", "y").union(star.select("x", "y"))
-    extra, moved, done = _merge_crowds(left, done, small, known)
-    if extra is not None:
+    extra, moved = _merge_crowds(left, small, known)
+    if moved is not None:
         left = left.withColumnRenamed("comp", "first").join(moved, "first", "left").select("sig", "id", F.coalesce("comp", "first").alias("comp"))
-        links = links.union(extra)
+    for found in extra:
+        links = links.union(found)
     left = left.join(sets.select("id", "n", "fold"), "id").select("sig", "id", "comp", "n", *[F.col("fold")[i].alias(f"b{i}") for i in range(8)])
     open_pairs = _open_pairs(left).join(done, ["x", "y"], "left_anti")
     more = stored(_verified(open_pairs, small, known), "jaccard-more")
