@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import map_arrow
 
 CONTROL = re.compile(r"###|</turn>")
+LONE = re.compile("[\ud800-\udfff]")
 ESCAPED = re.compile(r"\\(###|</turn>)")
 END = "\n</turn>\n"
 #: Names of the three roles in common layouts.
@@ -85,15 +86,20 @@ _BY_PRINT = {fingerprint(s): x for x in LAYOUTS for s in x.paths()}
 
 
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    """A field as text: other values than strings as JSON; halves of surrogate pairs, which no text can hold, as U+FFFD."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return LONE.sub("\ufffd", text)
 
 
 def canonical(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
-    """(layout name, turns); no layout and no turns for what isn't JSON or matches no layout."""
+    """(layout name, turns); no layout and no turns for what isn't JSON, is nested too deeply to read or matches no layout."""
     try:
-        value = json.loads(record or "")
-    except ValueError:
+        return _canonical(json.loads(record or ""))
+    except (ValueError, RecursionError):
         return None, []
+
+
+def _canonical(value) -> tuple[str | None, list[tuple[str, str]]]:
     layout = _BY_PRINT.get(fingerprint(field_paths(value) & _KNOWN)) if isinstance(value, dict) else None
     if layout is None:
         return None, []

@@ -20,6 +20,7 @@ from plumbline.llm.common import map_arrow
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _WORDS = re.compile(r"[a-z]+")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")  # a slash that ends an unquoted value doesn't close the tag
 #: HTML element groups and words used in class, id and role attributes.
 RAW = set("script style noscript template textarea select svg iframe title object canvas annotation annotation-xml xmp".split())
 INLINE = set(
@@ -37,7 +38,7 @@ CHROME_WORDS = set(
     "related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond pagination pager "
     "toolbar tags tagcloud copyright legal disclaimer alert search form contentinfo complementary skip hidden".split()
 )
-BODY_WORDS = set("content article post entry story main articlebody".split())
+BODY_WORDS = set("content article post entry story main articlebody hentry".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 FEATURES = "chrome_tag chrome_word body heading paged words links words_before links_before words_after links_after".split()
@@ -81,6 +82,9 @@ LABELLED = """
 0 0 1 0 1  25 0.4  40 0.0  30 0.0  1
 0 0 1 0 1  12 0.5  40 0.0  30 0.0  1
 0 0 1 0 1   2 1.0  40 0.0   2 1.0  0
+0 0 1 0 1   3 1.0  40 0.0  30 0.0  1
+0 0 1 0 1   1 1.0  12 0.0   9 0.0  1
+0 0 1 0 1   6 1.0  70 0.1  60 0.0  1
 0 0 1 0 1   3 1.0  70 0.0   3 1.0  0
 0 0 1 0 1   6 0.95 30 0.0   5 1.0  0
 0 0 0 0 1   6 0.0   2 1.0   9 0.0  0
@@ -109,6 +113,8 @@ LABELLED = """
 0 0 0 0 0  18 0.0   2 0.0   5 0.0  1
 0 0 0 0 0  17 0.0   2 1.0   2 1.0  1
 0 0 0 0 0   3 0.0  24 0.0  24 0.0  1
+0 0 0 0 0   1 0.0  30 0.0  40 0.0  1
+0 0 0 0 0   2 0.0  50 0.0  18 0.0  1
 0 0 0 0 0   2 0.0  24 0.0   3 1.0  0
 0 0 0 0 0   2 0.0   3 1.0  24 0.0  0
 0 0 0 1 0   6 0.0   3 1.0  50 0.0  1
@@ -117,23 +123,37 @@ LABELLED = """
 """
 
 
-def _open(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
-    """What an element adds to its blocks: chrome tag, chrome words, body, heading."""
-    words, gone, hide = set(), False, r"display\s*:\s*none|visibility\s*:\s*hidden"
+def _open(name: str, attrs: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """What an element says: chrome tag, hidden, chrome words, body, surely body, heading.
+
+    An element is surely the body if its tag is main, or a class or id ends in a body word and holds no chrome word, or
+    it is an article without chrome words, and no class is a chrome word as a whole ("sidebar content"). Compounds beside
+    it then name states ("comments-open") and are not read.
+    """
+    words, whole, sure, gone, hide = set(), False, name == "main", False, r"display\s*:\s*none|visibility\s*:\s*hidden"
     if attrs and attrs.strip("/ "):
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("hidden", "style", "aria-hidden"):
                 gone |= key == "hidden" or (value.strip() == "true" if key == "aria-hidden" else bool(re.search(hide, value)))
             elif key in ("class", "id", "role", "aria-label"):
-                words |= set(_WORDS.findall(value))
-    chrome = gone or (bool(words & CHROME_WORDS) and name not in ("html", "body"))
-    return name in CHROME, chrome, name in BODY or (bool(words & BODY_WORDS) and name not in ("html", "body")), name in HEADINGS
+                for parts in map(_WORDS.findall, value.split()):
+                    words |= set(parts)
+                    whole |= len(parts) == 1 and parts[0] in CHROME_WORDS
+                    sure |= key != "aria-label" and bool(parts) and parts[-1] in BODY_WORDS and not CHROME_WORDS.intersection(parts)
+    page = name in ("html", "body")
+    sure = (sure or (name == "article" and not words & CHROME_WORDS)) and not page and not whole
+    chrome = bool(words & CHROME_WORDS) and not page and not sure
+    return name in CHROME, gone, chrome, name in BODY or (bool(words & BODY_WORDS) and not page), sure, name in HEADINGS
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """(text, features) of every non-empty text block, in page order."""
-    found, stack, flags = [], [], (False, False, False, False)
+    """(text, features) of every non-empty text block, in page order.
+
+    Chrome words of an element that holds the body don't count: "with-sidebar" around the article is no sidebar.
+    """
+    found, stack, flags = [], [], (False, False, (), False, False)
+    around, count = set(), 0  # elements with chrome words that hold the body; elements with chrome words so far
     parts, linked, in_link, at, n = [], 0, False, 0, len(page)
 
     def close() -> None:
@@ -172,7 +192,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         name, at = m[2].lower(), m.end()
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1] and not _CLOSED.search(m[3]):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             parts.append(" ")
@@ -197,11 +217,16 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if stack and stack[-1][0] in ("p", *HEADINGS):  # these end where the next block begins
             flags = stack.pop()[1]
-        if not m[3].endswith("/"):
+        if not _CLOSED.search(m[3]):
             stack.append((name, flags))
-            own = _open(name, m[3])
-            flags = (flags[0] or own[0], flags[1] or own[1], flags[2] or own[2], own[3])
+            tag, gone, chrome, body, sure, heading = _open(name, m[3])
+            if sure and not (flags[0] or flags[1]):
+                around.update(flags[2])
+            if chrome:
+                count += 1
+            flags = (flags[0] or tag, flags[1] or gone, (*flags[2], count) if chrome else flags[2], flags[3] or body, heading)
     close()
+    found = [(text, (f[0], f[1] or not around.issuperset(f[2]), f[3], f[4]), words, link) for text, f, words, link in found]
     paged = any(f[2] and not (f[0] or f[1]) for _, f, _, _ in found)  # a menu named "main" is no body element
     size = [0.0, *(float(w) for *_, w, _ in found), 0.0]
     link = [0.0, *(x for *_, x in found), 0.0]
@@ -242,7 +267,8 @@ def train(table: str = LABELLED) -> Tree:
     """Where ancestors or own links decide a labelled block, it holds beside any neighbours, so it is repeated with those of
     all rows. Blocks without such signs, on pages without a body element, are learnt with their own neighbours."""
     rows = np.array([line.split() for line in table.split("\n") if line.strip()], float)
-    decided = rows[:, [0, 1, 2, 4]].any(1) | (rows[:, 6] >= 0.5)
+    linked_body = (rows[:, 2] == 1) & ~rows[:, [0, 1]].any(1) & (rows[:, 6] >= 0.5)
+    decided = (rows[:, [0, 1, 2, 4]].any(1) | (rows[:, 6] >= 0.5)) & ~linked_body
     more = np.repeat(rows[decided], len(rows), axis=0)
     more[:, 7:11] = np.tile(rows[:, 7:11], (decided.sum(), 1))
     rows = np.vstack([np.repeat(rows[~decided], len(rows), axis=0), more])  # every labelled block has one weight
@@ -255,11 +281,14 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_out: str = "text") -> DataFrame:
-    """All columns of `pages` and the main text; a column of that name is replaced. Row by row, no shuffle."""
+    """All columns of `pages` and the main text; a column of that name is replaced. Row by row, no shuffle.
+
+    Null, empty and contentless pages give an empty text; repeated rows stay, an empty table gives none.
+    """
     pages = pages.drop(text_out) if text_out != html_col else pages
-    sent = pages.sparkSession.sparkContext.broadcast(train())
+    tree = train()  # a small tree, sent with the task's code
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.append_column(text_out, pa.array([main_text(x, sent.value) for x in batch.column(html_col).to_pylist()], pa.string()))
+        return batch.append_column(text_out, pa.array([main_text(x, tree) for x in batch.column(html_col).to_pylist()], pa.string()))
 
     return map_arrow(pages, run, StructType([*pages.schema.fields, StructField(text_out, StringType())]))

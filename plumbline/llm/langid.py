@@ -9,7 +9,7 @@ size.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +22,14 @@ from plumbline.llm.common import broadcast_if_small, map_arrow
 from plumbline.plans.ordering import top_n_per_group
 
 ORDERS, BITS, UNKNOWN = (1, 2, 3, 4), 16, "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
 def presence(text: str | None) -> np.ndarray | None:
-    """Buckets present in the whole text; None without any letter."""
-    if not text or not _LETTER.search(text):
+    """Buckets present in the whole text; None without any letter (Unicode category L)."""
+    if not text or not any(map(str.isalpha, text)):
         return None
     b = _FOLD[np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)]
     blank = b == 32
@@ -66,12 +65,18 @@ class LanguageModel:
         return names, scores
 
 
-def train(langs: list[str], sets: list[np.ndarray], landmarks: int = 48, ridge: float = 1e-3) -> LanguageModel:
-    """Kernel ridge regression on landmark features; the first texts of each language are its landmarks."""
+def train(langs: list[str], sets: list[np.ndarray], landmarks: int = 48, ridge: float = 1e-3, max_landmarks: int = 1024) -> LanguageModel:
+    """Kernel ridge regression on landmark features; the first texts of each language are its landmarks.
+
+    With many languages each gets fewer, so that all together stay within `max_landmarks` (one per language at least).
+    """
     labels = sorted(set(langs))
     if len(labels) < 2:
         return LanguageModel(labels, np.zeros((1 << BITS, len(labels)), np.float32))
-    marks = [i for x in labels for i in [j for j, y in enumerate(langs) if y == x][:landmarks]]
+    landmarks, own = min(landmarks, max(1, max_landmarks // len(labels))), {x: [] for x in labels}
+    for i, x in enumerate(langs):
+        own[x].append(i)
+    marks = [i for x in labels for i in own[x][:landmarks]]
     base = np.zeros((1 << BITS, len(marks)), np.float32)
     for c, i in enumerate(marks):
         base[sets[i], c] = 1 / np.sqrt(len(sets[i]))
@@ -81,20 +86,24 @@ def train(langs: list[str], sets: list[np.ndarray], landmarks: int = 48, ridge:
     z = kernel @ root
     z = np.hstack([z, np.ones((len(z), 1))])
     target = np.where(np.array(langs)[:, None] == np.array(labels)[None, :], 1.0, -1.0)
-    weight = 1 / np.sqrt(np.array([langs.count(x) for x in langs]))[:, None]  # rare languages count as much
+    count = Counter(langs)
+    weight = 1 / np.sqrt(np.array([count[x] for x in langs]))[:, None]  # rare languages count as much
     w = np.linalg.solve((z * weight).T @ (z * weight) + ridge * np.eye(z.shape[1]), (z * weight).T @ (target * weight))
     return LanguageModel(labels, (base @ (root @ w[:-1])).astype(np.float32))
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_rows: int = 16_000) -> LanguageModel:
     """Train on at most `per_language` texts of each language, chosen by a hash of their ids; whole texts.
 
+    With many languages each gives fewer, so that all together stay within `max_rows` (one per language at least).
+
     Rows without id, language or letters are not used; of rows that repeat an id and language one is. Only bucket lists
     of the sample come to the driver.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
     ids = known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).withColumn("__h", F.xxhash64("__id"))
     sizes = ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    per_language = min(per_language, max(1, max_rows // max(1, sizes.count())))
     ids = ids.join(broadcast_if_small(sizes, 100_000), "__lang")
     # a hot language is thinned by the hash before its rows meet; small ones come whole
     ids = ids.where((F.col("__n") <= 16 * per_language) | (F.pmod(F.col("__h"), F.lit(1 << 30)) < 2.0 * per_language * (1 << 30) / F.col("__n")))
@@ -114,12 +123,16 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns of `docs` plus language and score of the whole text; columns of these names are replaced."""
+    """All columns of `docs` plus language and score of the whole text; columns of these names are replaced.
+
+    Null and empty texts, texts without a letter, and all texts where nothing was learnt get `und` and 0. Repeated rows
+    stay; an empty table gives none. One pass, no shuffle.
+    """
     docs = docs.drop(*[c for c in (lang_out, score_out) if c != text_col])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size per language
+    sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.table))  # fixed size per language
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = sent.value.predict(batch.column(text_col).to_pylist())
+        names, scores = LanguageModel(*sent.value).predict(batch.column(text_col).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, lang_out, score_out])
 
     return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))

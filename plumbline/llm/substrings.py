@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import map_arrow, stored
+from plumbline.llm.common import free_name, map_arrow, stored
 
 WIDTH = 50
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -149,13 +149,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop(*[c for c in ("n_words", "n_removed") if c not in (id_col, text_col)])
     found = repeated_windows(docs, id_col, text_col, width)
-    found = found.select(F.col("id").alias("__id"), F.col("groups").alias("__groups"), F.col("windows").alias("__windows"))
-    joined = docs.join(found, docs[id_col].cast("bigint") == F.col("__id"), "left").drop("__id")
-    names = docs.columns
+    names, key = docs.columns, free_name(docs, "id")
+    groups_col, windows_col = free_name(docs, "groups"), free_name(docs, "windows")
+    found = found.select(F.col("id").alias(key), F.col("groups").alias(groups_col), F.col("windows").alias(windows_col))
+    joined = docs.join(found, docs[id_col].cast("bigint") == F.col(key), "left").drop(key)
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, removed = batch.column(text_col).to_pylist(), [], []
-        for i, (words, groups, windows) in enumerate(zip(_words(batch, text_col), _lists(batch.column("__groups")), _lists(batch.column("__windows")))):
+        for i, (words, groups, windows) in enumerate(zip(_words(batch, text_col), _lists(batch.column(groups_col)), _lists(batch.column(windows_col)))):
             n, gone = len(words), 0
             if n >= width and (len(groups) or len(windows)):
                 roll = Rolling(words)

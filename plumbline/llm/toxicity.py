@@ -65,8 +65,8 @@ class ToxicityModel:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
 
 
-def _telling(rows: DataFrame, least_z: float) -> np.ndarray:
-    """Buckets whose share of documents differs between the labels by at least `least_z` standard errors."""
+def _telling(rows: DataFrame, most: int) -> np.ndarray:
+    """The `most` buckets whose share of documents differs most between the labels, in standard errors (ties: smaller bucket)."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, owner = subwords(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
@@ -83,7 +83,8 @@ def _telling(rows: DataFrame, least_z: float) -> np.ndarray:
     )
     p = (F.col("a") + F.col("b")) / n
     z = (F.col("a") / n1 - F.col("b") / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
-    return np.sort(np.array([r.bucket for r in per.where(F.abs(z) > least_z).select("bucket").collect()], np.int64))
+    best = per.select("bucket", F.abs(z).alias("z")).orderBy(F.desc("z"), "bucket").limit(most)
+    return np.sort(np.array([r.bucket for r in best.collect()], np.int64))
 
 
 def _bags(rows: DataFrame, live: np.ndarray) -> list:
@@ -156,17 +157,18 @@ def train(
     return ToxicityModel(weights, float(bias[1] - bias[0]), prior)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, least_z: float = 6.0) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, max_buckets: int = 512) -> ToxicityModel:
     """Train on at most `max_rows` labelled documents, chosen by a hash of their ids, whole texts.
 
-    Rows with a null id or label are not used; several labels of one id count as their maximum. Only the buckets
-    that tell the labels apart, and the sample's bags of these, come to the driver.
+    Rows with a null id or label are not used; several labels of one id count as their maximum. Only the `max_buckets`
+    buckets that tell the labels apart best, whatever the size of the sample, and the sample's bags of these, come to
+    the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     pick = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))  # at most max_rows rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(pick, "__id")
     rows = stored(rows.select("text", (F.col("__label") > 0).cast("int").alias("label")), "toxicity-sample")
-    live = _telling(rows, least_z)
+    live = _telling(rows, max_buckets)
     got = sorted((r.ids, r.shares, r.label) for r in _bags(rows, live))
     bags = [(np.frombuffer(i, np.uint32), np.frombuffer(s, np.float32)) for i, s, _ in got]
     return train(np.array([y for _, _, y in got], int), bags, live)
@@ -178,11 +180,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     Null and empty texts get the training share. One pass, no shuffle.
     """
     docs = docs.drop(score_col) if score_col != text_col else docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: one number per bucket
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.prior))  # fixed size: one number per bucket
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(text_col).cast(pa.binary()).fill_null(b"").to_pylist()
-        return batch.append_column(score_col, pa.array(sent.value.score(texts)))
+        return batch.append_column(score_col, pa.array(ToxicityModel(*sent.value).score(texts)))
 
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     return map_arrow(docs, score, schema)

@@ -37,3 +37,16 @@ def test_tables(spark):
     assert read_back(format_chats(records_from_turns(spark.createDataFrame([], schema))), "conv_id").count() == 0
     odd = format_chats(spark.createDataFrame([(1, None, "old"), (2, '{"question": "q", "answer": "a"}', None)], "id int, record string, layout string"))
     assert {(r.id, r.layout, r.formatted != "") for r in odd.collect()} == {(1, None, False), (2, "question", True)}
+
+
+def test_broken_unicode_and_deep_nesting(spark):
+    from plumbline.llm.chat import canonical, format_chats, read_back
+
+    deep = '{"prompt": ' + "[" * 100_000 + "]" * 100_000 + ', "completion": "x"}'
+    rows = [(1, '{"prompt": "a \\\\ud83d b", "completion": "ok \\\\udc00"}'.replace("\\\\", "\\")), (2, deep), (3, '{"turns": [{"role": "\\ud800", "text": null}]}')]
+    assert canonical(deep) == (None, [])
+    out = {r.id: r for r in format_chats(spark.createDataFrame(rows, "id int, record string")).collect()}
+    assert out[1].formatted == "### user\na � b\n</turn>\n### assistant\nok �\n</turn>\n" and out[1].layout == "prompt"
+    assert (out[2].layout, out[2].formatted, out[2].loss_mask) == (None, "", [])
+    assert out[3].formatted == "### �\n\n</turn>\n"
+    assert read_back(format_chats(spark.createDataFrame(rows, "id int, record string")), "id").count() == 3

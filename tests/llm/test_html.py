@@ -75,3 +75,31 @@ def test_attribute_names_are_taken_whole():
 def test_math_is_text():
     math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>x=\\frac12</annotation></semantics></math>"
     assert main_text(f"<article><p>{PROSE} Here {math} holds.</article>", TREE) == f"{PROSE} Here x = 1 2 holds."
+
+
+WORDS = "Long paragraphs of the article tell the reader what happened on that day in the town, and they hold many words."
+WRAPS = [
+    '<article class="post hentry comments-open tag-search">{}</article>', '<div class="content has-sidebar">{}</div>', '<main class="with-sidebar">{}</main>',
+    '<div class="layout header-fixed"><div class="entry-content">{}</div></div>', '<div class="page with-menu"><article>{}</article></div>', '<article>{}</article>', '<div id="main">{}</div>',
+    '<div class="post-content">{}</div>', '<section class="story">{}</section>', "<div>{}</div>",
+]
+AROUND = [
+    '<div id="comments" class="comments-area"><article class="comment-body"><p>' + WORDS + " Nonsense, says a reader.</p></article></div>",
+    '<nav><ul class="main-nav"><li><a href=/a/>Home</a></li><li><a href=/b/>News</a></li></ul></nav>',
+    '<script src=/js/>var x = 1;</script><div class="sidebar"><p>' + WORDS + " Buy this now.</p></div>",
+]
+
+
+def test_thirty_layouts():
+    import pytest  # noqa: F401
+
+    from plumbline.llm.html import main_text, train
+
+    tree = train()
+    inner = "<h1>A title of the story</h1><p>{0}</p><p><a href='x'>One linked line</a></p><p>{0}</p><p>Yes.</p><p>{0}</p>".format(WORDS)
+    for wrap in WRAPS:
+        for around in AROUND:
+            page = f"<html><body class='has-menu'>{around}<div data-x=/a/></div>{wrap.format(inner)}</body></html>"
+            got = main_text(page, tree).split("\n")
+            want = [WORDS, WORDS, "Yes.", WORDS] if wrap == "<div>{}</div>" else [WORDS, "One linked line", WORDS, "Yes.", WORDS]
+            assert [x for x in got if x not in ("A title of the story", "One linked line" if wrap == "<div>{}</div>" else "")] == want, (wrap, around, got)

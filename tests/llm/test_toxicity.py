@@ -62,3 +62,34 @@ def test_subwords_stay_inside_words():
     b, _ = subwords([b"ab"])
     c, _ = subwords([b"cd"])
     assert sorted(a) == sorted(np.concatenate([b, c]))
+
+
+def test_sixty_labels_rank_held_out_texts(spark):
+    import numpy as np
+
+    from plumbline.llm import toxicity as T
+
+    rng = np.random.default_rng(9)
+    calm, rude = [f"calm{i} word" for i in range(60)], ["stupid idiot", "awful idiots", "stupidest fool", "foolish moron"]
+    make = lambda toxic: " ".join(list(rng.choice(calm, 12)) + ([str(rng.choice(rude))] if toxic else []))
+    rows = [(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    model = T.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    held = [make(i % 2) for i in range(40)] + ["calm3 word st_upid idi0ts foools"]
+    s = model.score([t.encode() for t in held])
+    assert len(set(np.round(s, 6))) > 20 and s[1:40:2].min() > s[0:40:2].max() and s[40] > np.median(s[0:40:2])
+
+
+def test_scores_are_the_average_over_every_subword():
+    import numpy as np
+
+    from plumbline.llm import toxicity as T
+
+    rng = np.random.default_rng(1)
+    model = T.ToxicityModel(rng.normal(size=1 << T.BITS), -0.3, 0.2)
+    texts = [b"Some words, here!", b"", b"a", b"x" * 50_000, b"Some words, here!"]
+    got = model.score(texts)
+    for t, g in zip(texts, got):
+        ids, _ = T.subwords([t])
+        want = 1 / (1 + np.exp(-(model.weights[ids].mean() + model.bias))) if len(ids) else model.prior
+        assert abs(g - want) < 1e-9
