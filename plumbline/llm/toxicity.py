@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from plumbline.llm.common import map_arrow, stored
 
 ORDERS, BITS, DIM = (3, 4, 5, 6), 17, 8
+BATCH = 1 << 20  # bytes of text at once: the n-grams of a batch take about fifty times its size
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -78,7 +79,7 @@ def _telling(rows: DataFrame, most: int) -> np.ndarray:
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < n1 < n:
         return np.zeros(0, np.int64)
-    per = map_arrow(rows, count, "label long, bucket long, docs long").groupBy("bucket").agg(
+    per = map_arrow(rows, count, "label long, bucket long, docs long", BATCH).groupBy("bucket").agg(
         F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("b")
     )
     p = (F.col("a") + F.col("b")) / n
@@ -105,7 +106,7 @@ def _bags(rows: DataFrame, live: np.ndarray) -> list:
             names=["label", "ids", "shares"],
         )
 
-    return map_arrow(rows, bag, "label int, ids binary, shares binary").collect()
+    return map_arrow(rows, bag, "label int, ids binary, shares binary", BATCH).collect()
 
 
 def train(
@@ -187,4 +188,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         return batch.append_column(score_col, pa.array(ToxicityModel(*sent.value).score(texts)))
 
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
-    return map_arrow(docs, score, schema)
+    return map_arrow(docs, score, schema, BATCH)
