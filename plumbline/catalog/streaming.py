@@ -11,6 +11,7 @@ from plumbline.streaming import streams as ST
 
 W = B.with_ctes
 DAY = 86400.0
+NONE = "0 seconds"  # the table is one file: nothing comes late, and nothing has to wait behind the last row
 
 
 def recursive(names, body):
@@ -63,7 +64,7 @@ def _(spark, d):
 
 @query("stream_token_bucket", _BUCKET)
 def _(spark, d):
-    s = L.token_bucket_stream(shaped(request_stream(spark, d)), "user_id", 3, 3, 43200.0)
+    s = L.token_bucket_stream(shaped(request_stream(spark, d)), "user_id", 3, 3, 43200.0, delay=NONE)
     return _limit_cols(ST.run_to_files(s, "token-bucket"))
 
 
@@ -92,6 +93,18 @@ def _(spark, d):
     return L.tiered_limit(events(spark, d), B.users(spark, d), "user_id", TIERS, DAY).select("seq", "allowed", "remaining")
 
 
+@query("stream_sliding_window", _window_sql("4"))
+def _(spark, d):
+    s = L.sliding_window_stream(shaped(request_stream(spark, d)), ["user_id"], 4, DAY, delay=NONE)
+    return ST.run_to_files(s, "sliding-window").select("seq", "allowed", "remaining")
+
+
+@query("stream_tiered_limit", _window_sql("CASE tier WHEN 'pro' THEN 5 WHEN 'enterprise' THEN 8 ELSE 3 END"))
+def _(spark, d):
+    s = L.tiered_stream(shaped(request_stream(spark, d)), B.users(spark, d), "user_id", TIERS, DAY, delay=NONE)
+    return ST.run_to_files(s, "tiered").select("seq", "allowed", "remaining")
+
+
 _LOG = recursive(
     "requests",
     _num("user_id") + """, w AS (SELECT seq, user_id, rn, [sec] AS log, true AS allowed, 3 AS remaining, 0e0 AS retry_after FROM n WHERE rn = 1
@@ -108,7 +121,7 @@ def _(spark, d):
 
 @query("stream_sliding_log", _LOG)
 def _(spark, d):
-    return _limit_cols(ST.run_to_files(L.sliding_log_stream(shaped(request_stream(spark, d)), "user_id", 4, DAY), "sliding-log"))
+    return _limit_cols(ST.run_to_files(L.sliding_log_stream(shaped(request_stream(spark, d)), "user_id", 4, DAY, delay=NONE), "sliding-log"))
 
 
 _TTL = recursive(
@@ -126,7 +139,7 @@ def _(spark, d):
 
 @query("stream_ttl_cache", _TTL)
 def _(spark, d):
-    return ST.run_to_files(L.ttl_cache_stream(shaped(request_stream(spark, d)), "cache_key", DAY), "ttl-cache").select("seq", "hit")
+    return ST.run_to_files(L.ttl_cache_stream(shaped(request_stream(spark, d)), "cache_key", DAY, delay=NONE), "ttl-cache").select("seq", "hit")
 
 
 _BREAK = recursive(
@@ -146,7 +159,7 @@ def _(spark, d):
 
 @query("stream_failure_breaker", _BREAK)
 def _(spark, d):
-    return ST.run_to_files(L.breaker_stream(shaped(request_stream(spark, d)), "adapter", 2, 3600.0), "breaker").select("seq", "proceeded", "state")
+    return ST.run_to_files(L.breaker_stream(shaped(request_stream(spark, d)), "adapter", 2, 3600.0, delay=NONE), "breaker").select("seq", "proceeded", "state")
 
 
 # --- built-in aggregation; a window is emitted once the watermark has passed its end
@@ -214,7 +227,7 @@ r AS (SELECT seq, adapter, rn, round(b - avg(score) OVER (PARTITION BY adapter O
 SELECT seq, adapter, dg > 0.01e0 AS alert FROM r WHERE rn >= 50"""),
 )
 def _(spark, d):
-    s = ST.stream_quality(scored(request_stream(spark, d)), "adapter", 50, 50, 50, 0.01)
+    s = ST.stream_quality(scored(request_stream(spark, d)), "adapter", 50, 50, 50, 0.01, delay=NONE)
     return ST.run_to_files(s, "quality").where("rows >= 50").select("seq", "adapter", "alert")
 
 
@@ -228,7 +241,7 @@ def _(spark, d):
     stats = {"mean": [r["mean"] for r in base], "std": [r["std"] for r in base]}
     s = ST.table_stream(spark, d, "embeddings.parquet", B.table(spark, d, "embeddings").schema).where("vec_id % 2 = 1")
     s = s.select(F.col("vec_id").alias("seq"), F.col("vec_id").cast("double").alias("sec"), B.adapter_of(F.col("label")).alias("adapter"), F.col("embedding").cast("array<double>").alias("v"))
-    return ST.run_to_files(ST.stream_drift(s, "adapter", stats, 20), "drift").select("seq", "adapter", "drift_score")
+    return ST.run_to_files(ST.stream_drift(s, "adapter", stats, 20, delay=NONE), "drift").select("seq", "adapter", "drift_score")
 
 
 @query(
@@ -244,4 +257,4 @@ def _(spark, d):
         F.lit("value").alias("metric"), F.col("event_id").alias("seq"), seconds("ts").alias("sec"), "value", F.col("event_type").alias("fingerprint")
     )
     rules = [Rule("high_value", "value", "value > 20", "warning", "'high'", 600)]
-    return ST.run_to_files(ST.stream_alerts(p, rules, window=14400.0), "alerts").select("seq", "firing", "sent")
+    return ST.run_to_files(ST.stream_alerts(p, rules, window=14400.0, delay=NONE), "alerts").select("seq", "firing", "sent")

@@ -8,17 +8,20 @@ to reset the state; a heavy key thus becomes many independent pieces.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from plumbline.plans.ordering import null_safe_join
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def reset_segments(
     df: DataFrame,
@@ -76,29 +79,80 @@ def fold_rows(
     return ready.mapInPandas(run, schema).drop(*[p for p in pieces if p in df.columns])
 
 
+class _EventTimeFold(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then folds them in order.
+
+    State per key: the rows that wait, the fold's state with the time of its last row. One timer stands at the earliest
+    row that waits, or where an idle key's state is worth a fresh one and goes.
+    """
+
+    def __init__(self, schema: T.StructType, start: Callable, step: Callable, outputs: Sequence[str], order: Sequence[int], ms: int, sec: int, expires: Callable):
+        self.schema, self.start, self.step, self.outputs, self.order, self.ms, self.sec, self.expires = schema, start, step, outputs, order, ms, sec, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.state = handle.getValueState("state", "state string, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r) for r in rows]  # at most a micro-batch, which the source's admission limit bounds
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(r[self.ms] for r in new) - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[self.ms] <= now), key=lambda r: tuple(r[i] for i in self.order))
+        stored = self.state.get() if self.state.exists() else None
+        state, last = (json.loads(stored[0]), stored[1]) if stored else (self.start(), None)
+        names, out = self.schema.fieldNames(), []
+        whole = Row(*names, *self.outputs)
+        for r in ready:
+            state, extra = self.step(state, Row(*names)(*r))
+            last = r[self.sec]
+            out.append(whole(*r, *extra))
+        late = [r for r in held if r[self.ms] > now]
+        if ready:
+            self.state.update((json.dumps(state), float(last)))
+            if late:
+                self.waiting.put(late)
+            else:
+                self.waiting.clear()
+        if late:
+            self.handle.registerTimer(min(r[self.ms] for r in late) - 1)
+        elif last is not None and (wait := self.expires(state)) is not None:
+            gone = math.ceil((last + wait) * 1000)
+            if gone <= now:
+                self.state.clear()
+            else:
+                self.handle.registerTimer(gone)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 def fold_stream(
-    sdf: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], dict],
-    step: Callable, outputs: str,
+    sdf: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], dict], step: Callable, outputs: str,
+    delay: str = "10 minutes", expires: Callable[[dict], float | None] = lambda state: None, seconds: str = "sec",
 ) -> DataFrame:
-    """The same step functions over a stream; state is kept per key between micro-batches."""
-    extra = T._parse_datatype_string(outputs)
-    schema = T.StructType([*sdf.schema.fields, *extra.fields])
-    names = extra.fieldNames()
+    """The same step functions over a stream, in event time: files may come in any order within `delay`.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(st.get[0]) if st.exists else start()
-        # a micro-batch is bounded by the source's admission limit
-        pdf = pd.concat(list(batches)).sort_values(list(order)).reset_index(drop=True)
-        rows = []
-        for row in pdf.itertuples(index=False, name="Row"):
-            state, out = step(state, row)
-            rows.append(out)
-        st.update((json.dumps(state),))
-        yield pd.concat([pdf, pd.DataFrame(rows, columns=names)], axis=1)
-
-    return sdf.groupBy(*keys).applyInPandasWithState(
-        run, schema, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+    A row is folded once the watermark (latest event time less `delay`) has reached it; rows that come later than that are
+    dropped and counted by the engine (`numRowsDroppedByWatermark`, see `run_counted`). `expires(state)` gives the seconds
+    after a key's last row from which on its state equals a fresh one and is removed; None keeps it. Needs the RocksDB
+    state store, which is set here for the session.
+    """
+    sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    extra = T._parse_datatype_string(outputs)
+    ms = F.ceil(F.col(seconds) * 1000).cast("bigint")
+    timed = sdf.withColumn("__ms", ms).withColumn("__time", F.timestamp_millis("__ms")).withWatermark("__time", delay)
+    fields = timed.schema.fieldNames()
+    fold = _EventTimeFold(timed.schema, start, step, extra.fieldNames(), [fields.index(c) for c in order], fields.index("__ms"), fields.index(seconds), expires)
+    out = timed.groupBy(*keys).transformWithState(fold, T.StructType([*timed.schema.fields, *extra.fields]), "Append", "EventTime")
+    return out.select(*sdf.columns, *extra.fieldNames())
 
 
 def affine_reverse_scan(

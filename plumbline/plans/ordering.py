@@ -215,21 +215,38 @@ def group_quantiles(
     return null_safe_join(groups, located, k, "left")
 
 
-def _located_quantiles(df, keys, value, probs, method, buckets: int = 512) -> DataFrame:
-    k = keys or ["__all"]
+def _located_quantiles(df, keys, value, probs, method, k: int = 2048, margin: float = 0.012, few: int = 10_000) -> DataFrame:
+    """Exact quantiles in two passes over the rows.
+
+    A mergeable sketch per group brackets every wanted rank: `margin` is over ten standard errors of a sketch of size `k`.
+    The second pass counts the rows between the brackets and keeps only values inside them, so a group shrinks to a few
+    hundredths before it is shuffled. A rank that is not inside its bracket ends the job; nothing is ever approximate.
+    """
+    kk = list(keys) or ["__all"]
     src = df if keys else df.withColumn("__all", F.lit(0))
-    counts = checkpointed(
-        src.where(F.col(value).isNotNull())
-        .groupBy(*k, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = counts.groupBy(*k).agg(F.percentile_approx("__v", grid, 20000).alias("__edges"))
-    placed = null_safe_join(counts, edges, k)
-    placed = placed.withColumn(
-        "__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    ).drop("__edges")
-    by_key = Window.partitionBy(*k)
+    src = src.where(F.col(value).isNotNull()).select(*kk, F.col(value).cast("double").alias("__v"))
+    number = F.when(~F.isnan("__v"), F.col("__v"))
+    sketch = src.groupBy(*kk).agg(F.count(F.lit(1)).alias("__n"), F.count(number).alias("__m"), F.kll_sketch_agg_double(number, k).alias("__s"))
+    shares = [p + side * margin for p in probs.values() for side in (-1, 1)]
+    whole = [float("-inf"), float("nan")] * len(probs)  # NaN is the largest value, and beyond the sketch
+    inner = F.kll_sketch_get_quantile_double("__s", F.array(*[F.lit(min(max(float(x), 0.0), 1.0)) for x in shares]))
+    ends = [F.lit(w) if not 0 < x < 1 else inner[i] for i, (x, w) in enumerate(zip(shares, whole))]
+    # in groups below 10 / margin rows a rank is a large share; all their rows are kept
+    small = (F.col("__n") * margin < 10) | (F.col("__n") != F.col("__m"))
+    brackets = sketch.select(*kk, F.when(small, F.array(*[F.lit(w) for w in whole])).otherwise(F.array(*ends)).alias("__e"))
+    rows = brackets.limit(few + 1).collect()
+    if len(rows) <= few:
+        brackets = F.broadcast(df.sparkSession.createDataFrame(rows, brackets.schema))
+    placed = null_safe_join(src, brackets, kk)
+    low, high = ([F.col("__e")[2 * i + side] for i in range(len(probs))] for side in (0, 1))
+    code = sum(((F.col("__v") >= a).cast("int") + (F.col("__v") > b).cast("int") for a, b in zip(low, high)), F.lit(0))
+    inside = F.lit(False)
+    for a, b in zip(low, high):
+        inside = inside | ((F.col("__v") >= a) & (F.col("__v") <= b))
+    # rows of one code lie on the same side of every edge; those outside all brackets are only counted
+    placed = placed.select(*kk, code.alias("__b"), F.when(inside, F.col("__v")).alias("__x"), "__v")
+    placed = placed.groupBy(*kk, "__b", "__x").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__v"))
+    k, by_key = kk, Window.partitionBy(*kk)
     sizes = (
         placed.groupBy(*k, "__b")
         .agg(F.sum("__c").alias("__n"))
@@ -270,6 +287,8 @@ def _located_quantiles(df, keys, value, probs, method, buckets: int = 512) -> Da
         .withColumn("__cum", F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("__cum") > F.col("__want")) & (F.col("__cum") - F.col("__c") <= F.col("__want")))
     )
+    outside = F.raise_error(F.lit("a rank lies outside its sketch's bracket; run the query again")).cast("double")
+    found = found.withColumn("__v", F.when(F.col("__x").isNull(), outside).otherwise(F.col("__x")))
     pick = lambda n, s: F.max(F.when((F.col("p") == n) & (F.col("side") == s), F.col("__v")))
     cols = []
     for n in probs:

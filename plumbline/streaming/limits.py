@@ -6,6 +6,7 @@ Rows carry `sec` (event time in seconds) and a unique `seq`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.plans.folds import fold_rows, fold_stream, reset_segments
+from plumbline.plans.jumps import greedy_marks
 from plumbline.plans.ordering import null_safe_join
 
 ORDER = ["sec", "seq"]
@@ -49,8 +51,10 @@ def token_bucket(events: DataFrame, key: str, rate: float = 10.0, capacity: floa
     return fold_rows(cut, [key], ORDER, bucket_start, bucket_step(rate, capacity, per), BUCKET_OUT)
 
 
-def token_bucket_stream(events: DataFrame, key: str, rate: float = 10.0, capacity: float = 100, per: float = 60.0) -> DataFrame:
-    return fold_stream(events, [key], ORDER, bucket_start, bucket_step(rate, capacity, per), BUCKET_OUT)
+def token_bucket_stream(events: DataFrame, key: str, rate: float = 10.0, capacity: float = 100, per: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """In event time; the state of a key goes once its bucket is full again."""
+    full = capacity * per / rate
+    return fold_stream(events, [key], ORDER, bucket_start, bucket_step(rate, capacity, per), BUCKET_OUT, delay, lambda state: full)
 
 
 # --- sliding window of sub-buckets
@@ -92,12 +96,15 @@ def sliding_window_limit(events: DataFrame, keys: Sequence[str], limit: str, win
 
 def tiered_limit(events: DataFrame, tiers: DataFrame, key: str, limits: Mapping[str, int] = TIER_LIMITS, window: float = 60.0) -> DataFrame:
     """The sliding window with each user's tier limit; unknown users and tiers are free."""
+    return sliding_window_limit(with_tier_limit(events, tiers, key, limits), [key], "limit_value", window).drop("limit_value")
+
+
+def with_tier_limit(events: DataFrame, tiers: DataFrame, key: str, limits: Mapping[str, int]) -> DataFrame:
     t = F.coalesce(F.col("tier"), F.lit("free"))
     n = F.lit(limits["free"])
     for name, lim in limits.items():
         n = F.when(t == name, lim).otherwise(n)
-    e = events.join(tiers.select(key, "tier"), key, "left").withColumn("limit_value", n)
-    return sliding_window_limit(e, [key], "limit_value", window).drop("limit_value")
+    return events.join(tiers.select(key, "tier"), key, "left").withColumn("limit_value", n)
 
 
 # --- exact trailing log
@@ -125,8 +132,43 @@ def sliding_log_limit(events: DataFrame, key: str, limit: int = 60, window: floa
     return fold_rows(cut, [key], ORDER, log_start, log_step(limit, window), LOG_OUT)
 
 
-def sliding_log_stream(events: DataFrame, key: str, limit: int = 60, window: float = 60.0) -> DataFrame:
-    return fold_stream(events, [key], ORDER, log_start, log_step(limit, window), LOG_OUT)
+def sliding_log_stream(events: DataFrame, key: str, limit: int = 60, window: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """In event time; the state of a key goes once its last row has left the window."""
+    return fold_stream(events, [key], ORDER, log_start, log_step(limit, window), LOG_OUT, delay, lambda state: window)
+
+
+# --- sliding window of sub-buckets as a stream
+
+
+def slot_step(window: float, precision: int, limit: str | int):
+    """Row by row: counts of allowed rows per sub-bucket of the last `precision` ones; `limit` is a number or a column."""
+    width = window / precision
+
+    def step(st, row):
+        slot = math.floor(row.sec / width)
+        most = limit if isinstance(limit, int) else int(getattr(row, limit))
+        live = [c for c in st["counts"] if c[0] > slot - precision]
+        total = sum(c[1] for c in live)
+        if total >= most:
+            return {"counts": live}, (False, 0)
+        if live and live[-1][0] == slot:
+            live[-1] = [slot, live[-1][1] + 1]
+        else:
+            live.append([slot, 1])
+        return {"counts": live}, (True, most - total - 1)
+
+    return step
+
+
+def sliding_window_stream(events: DataFrame, keys: Sequence[str], limit: str | int, window: float = 60.0, precision: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """`sliding_window_limit` over a stream, in event time; state is one count per occupied sub-bucket of the window."""
+    wait = window + window / precision
+    return fold_stream(events, list(keys), ORDER, window_start, slot_step(window, precision, limit), "allowed boolean, remaining long", delay, lambda state: wait)
+
+
+def tiered_stream(events: DataFrame, tiers: DataFrame, key: str, limits: Mapping[str, int] = TIER_LIMITS, window: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """`tiered_limit` over a stream: the tiers are a static table joined to each micro-batch."""
+    return sliding_window_stream(with_tier_limit(events, tiers, key, limits), [key], "limit_value", window, delay=delay).drop("limit_value")
 
 
 # --- response cache with a time to live
@@ -146,13 +188,17 @@ def cache_step(ttl: float):
 
 
 def ttl_cache_hits(events: DataFrame, key: str, ttl: float = 3600.0) -> DataFrame:
-    """Hit while younger than the last miss plus ttl; a hit does not refresh the entry."""
-    cut = reset_segments(events, [key], "sec", ttl)
-    return fold_rows(cut, [key], ORDER, cache_start, cache_step(ttl), "hit boolean")
+    """Hit while younger than the last miss plus ttl; a hit does not refresh the entry.
+
+    The misses of a key are its first event and, from each miss, the first event `ttl` or more later. They are found by
+    doubling jumps over all keys at once, so a key that never pauses is no task of its own.
+    """
+    return greedy_marks(events, [key], ORDER, ttl, "hit").withColumn("hit", ~F.col("hit"))
 
 
-def ttl_cache_stream(events: DataFrame, key: str, ttl: float = 3600.0) -> DataFrame:
-    return fold_stream(events, [key], ORDER, cache_start, cache_step(ttl), "hit boolean")
+def ttl_cache_stream(events: DataFrame, key: str, ttl: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """In event time; the state of a key goes when its entry ends."""
+    return fold_stream(events, [key], ORDER, cache_start, cache_step(ttl), "hit boolean", delay, lambda state: ttl)
 
 
 # --- circuit breaker
@@ -188,5 +234,7 @@ def failure_breaker(events: DataFrame, service: str, threshold: int = 5, recover
     return fold_rows(cut, [service], ORDER, breaker_start, breaker_step(threshold, recovery), BREAKER_OUT)
 
 
-def breaker_stream(events: DataFrame, service: str, threshold: int = 5, recovery: float = 60.0) -> DataFrame:
-    return fold_stream(events, [service], ORDER, breaker_start, breaker_step(threshold, recovery), BREAKER_OUT)
+def breaker_stream(events: DataFrame, service: str, threshold: int = 5, recovery: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """In event time; the state of a service goes while it is closed without failures, which is how it starts."""
+    fresh = lambda state: 0.0 if state["state"] == "closed" and not state["failures"] else None
+    return fold_stream(events, [service], ORDER, breaker_start, breaker_step(threshold, recovery), BREAKER_OUT, delay, fresh)

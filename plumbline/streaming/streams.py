@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,15 @@ def run_to_files(sdf: DataFrame, label: str, path: str | None = None) -> DataFra
     return spark.read.schema(sdf.schema).parquet(out)
 
 
+def run_counted(sdf: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Like `run_to_files`, with the number of rows that came behind the watermark and were dropped."""
+    spark, out = sdf.sparkSession, scratch_path(sdf.sparkSession, label)
+    q = sdf.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in json.loads(p.json)["stateOperators"])
+    return spark.read.schema(sdf.schema).parquet(out), late
+
+
 def for_each_batch(sdf: DataFrame, fn: Callable[[DataFrame, int], None], label: str, mode: str = "append"):
     """Hand each micro-batch to a callback: the hook for alert delivery and upserts."""
     state = scratch_path(sdf.sparkSession, label + "-state")
@@ -103,10 +113,11 @@ def quality_step(baseline_rows: int, window: int, min_rows: int, threshold: floa
     return step
 
 
-def stream_quality(scores: DataFrame, key: str = "adapter", baseline_rows: int = 500, window: int = 500, min_rows: int = 50, threshold: float = 0.1) -> DataFrame:
-    """`rows` counts the rows of a key so far, from 1; before the baseline is complete there is no alert."""
+def stream_quality(scores: DataFrame, key: str = "adapter", baseline_rows: int = 500, window: int = 500, min_rows: int = 50, threshold: float = 0.1, delay: str = "10 minutes") -> DataFrame:
+    """`rows` counts the rows of a key so far, from 1; before the baseline is complete there is no alert. In event time; the
+    baseline belongs to the key, so its state stays."""
     step = quality_step(baseline_rows, window, min_rows, threshold)
-    return fold_stream(scores, [key], ORDER, quality_start, step, "degradation double, alert boolean, rows bigint")
+    return fold_stream(scores, [key], ORDER, quality_start, step, "degradation double, alert boolean, rows bigint", delay)
 
 
 def drift_start() -> dict:
@@ -136,9 +147,10 @@ def drift_step(row_stats: Mapping[str, list[float]], min_rows: int):
     return step
 
 
-def stream_drift(vectors: DataFrame, key: str, baseline: Mapping[str, list[float]], min_rows: int = 100) -> DataFrame:
-    """Drift score after every vector of a key, against per-dimension baseline statistics."""
-    return fold_stream(vectors, [key], ORDER, drift_start, drift_step(baseline, min_rows), "drift_score double")
+def stream_drift(vectors: DataFrame, key: str, baseline: Mapping[str, list[float]], min_rows: int = 100, delay: str = "10 minutes") -> DataFrame:
+    """Drift score after every vector of a key, against per-dimension baseline statistics. In event time; the running sums
+    belong to the key, so its state stays."""
+    return fold_stream(vectors, [key], ORDER, drift_start, drift_step(baseline, min_rows), "drift_score double", delay)
 
 
 def alert_start() -> dict:
@@ -159,9 +171,11 @@ def alert_step(window: float):
     return step
 
 
-def stream_alerts(points: DataFrame, rules: list[Rule], key: str = "fingerprint", window: float = 300.0) -> DataFrame:
-    """Metric points (metric, sec, seq, value, fingerprint) to firing and sent alerts."""
+def stream_alerts(points: DataFrame, rules: list[Rule], key: str = "fingerprint", window: float = 300.0, delay: str = "10 minutes") -> DataFrame:
+    """Metric points (metric, sec, seq, value, fingerprint) to firing and sent alerts, in event time. The state
+    of a series that is not pending goes once the window after its last sent alert is over."""
     from plumbline.operators.alerts import rule_eval
 
     e = rule_eval(points, rules)
-    return fold_stream(e, ["rule", key], ORDER, alert_start, alert_step(window), "firing boolean, sent boolean")
+    quiet = lambda state: window if state["since"] is None else None
+    return fold_stream(e, ["rule", key], ORDER, alert_start, alert_step(window), "firing boolean, sent boolean", delay, quiet)

@@ -13,6 +13,7 @@ from plumbline.streaming import limits as L
 from plumbline.streaming import streams as S
 
 SCHEMA = "seq long, key string, sec double, success boolean"
+LATE, END = "1000000 seconds", (10**6, "end", 3e6, True)  # timelines of keys differ; the last row moves the watermark past all others
 
 
 @pytest.fixture(scope="module")
@@ -35,10 +36,10 @@ def files(spark, rows, tmp, parts=4):
 
 
 CASES = {
-    "bucket": (lambda e: L.token_bucket(e, "key", 20, 5, 60), lambda e: L.token_bucket_stream(e, "key", 20, 5, 60), ["allowed", "remaining", "retry_after"]),
-    "log": (lambda e: L.sliding_log_limit(e, "key", 6, 60), lambda e: L.sliding_log_stream(e, "key", 6, 60), ["allowed", "remaining", "retry_after"]),
-    "cache": (lambda e: L.ttl_cache_hits(e, "key", 100), lambda e: L.ttl_cache_stream(e, "key", 100), ["hit"]),
-    "breaker": (lambda e: L.failure_breaker(e, "key", 3, 60), lambda e: L.breaker_stream(e, "key", 3, 60), ["proceeded", "state"]),
+    "bucket": (lambda e: L.token_bucket(e, "key", 20, 5, 60), lambda e: L.token_bucket_stream(e, "key", 20, 5, 60, LATE), ["allowed", "remaining", "retry_after"]),
+    "log": (lambda e: L.sliding_log_limit(e, "key", 6, 60), lambda e: L.sliding_log_stream(e, "key", 6, 60, LATE), ["allowed", "remaining", "retry_after"]),
+    "cache": (lambda e: L.ttl_cache_hits(e, "key", 100), lambda e: L.ttl_cache_stream(e, "key", 100, LATE), ["hit"]),
+    "breaker": (lambda e: L.failure_breaker(e, "key", 3, 60), lambda e: L.breaker_stream(e, "key", 3, 60, LATE), ["proceeded", "state"]),
 }
 
 
@@ -50,8 +51,8 @@ def test_fold_batch_stream_and_unsplit_agree(spark, rows, tmp_path, name, monkey
     got = pick(batch(df))
     monkeypatch.setattr(L, "reset_segments", lambda e, *a, **k: e)  # one piece per key
     assert pick(batch(df)) == got
-    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(files(spark, rows, tmp_path))
-    assert pick(S.run_to_files(stream(src), name)) == got
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(files(spark, [*rows, END], tmp_path))
+    assert pick(S.run_to_files(stream(src), name).where("key <> 'end'")) == got
     assert len(set(v[0] for v in got.values())) == 2
 
 
@@ -150,8 +151,8 @@ def test_null_keys_stay(spark):
 
 
 def test_quality_counts_rows_of_uneven_keys(spark, rows, tmp_path):
-    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(files(spark, rows, tmp_path))
-    s = S.stream_quality(src.withColumn("score", F.col("success").cast("double")), "key", 50, 50, 50, 0.01)
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(files(spark, [*rows, END], tmp_path))
+    s = S.stream_quality(src.withColumn("score", F.col("success").cast("double")), "key", 50, 50, 50, 0.01, LATE)
     got = {r.seq: r.rows for r in S.run_to_files(s, "quality").collect()}
     seen = {}
     for seq, key, *_ in rows:
