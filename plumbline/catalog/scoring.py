@@ -298,6 +298,11 @@ def _(spark, d):
     return ME.rouge_n(B.pairs(spark, d))
 
 
+@query("rouge_1_2_stems")
+def _(spark, d):
+    return ME.rouge_n(B.pairs(spark, d), stems=True)
+
+
 @query("rouge_l")
 def _(spark, d):
     return ME.rouge_l(B.pairs(spark, d))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
+from plumbline.functions.stemming import porter_stem
 
 
 def exact_match(df: DataFrame, pred: str = "pred", ref: str = "ref", normalize: bool = True) -> DataFrame:
@@ -37,26 +39,35 @@ def tagged_grams(ws: Column, orders: list[int]) -> Column:
     return X.let(ws, lambda w: F.flatten(F.array(*[F.transform(X.ngrams(w, n), tag(n)) for n in orders])))
 
 
-def gram_matches(df: DataFrame, row_id: str, pred: Column, refs: Column, orders: list[int]) -> DataFrame:
-    """Per row and order n: matched (clipped), predicted and reference n-gram counts.
+def gram_bag(ws: Column, n: int) -> Column:
+    """The n-grams of an array of words as a set: each with the number of its occurrence.
 
-    `refs` is an array of texts; predicted counts are clipped by the largest count in any of
-    them. Grams are counted per row with map-side combine; nothing quadratic in text length.
+    The grams are sorted, and an occurrence is the distance from the start of its run, so two bags intersect like sets,
+    and a union keeps the largest count. Linear but for the sort.
     """
-    sides = F.concat(
-        F.array(F.struct(F.lit(-1).alias("side"), pred.alias("t"))),
-        F.transform(refs, lambda r, i: F.struct(i.cast("int").alias("side"), r.alias("t"))),
-    )
-    t = df.select(F.col(row_id).alias("id"), F.explode(sides).alias("s")).select("id", "s.side", X.words("s.t").alias("w"))
-    grams = tagged_grams(F.col("w"), orders)
-    e = t.select("id", "side", F.explode(grams).alias("x")).groupBy("id", "side", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
-    per = e.groupBy("id", "n", "g").agg(
-        F.coalesce(F.sum(F.when(F.col("side") < 0, F.col("c"))), F.lit(0)).alias("p"),
-        F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0)).alias("r"),
-    )
-    return per.groupBy("id", "n").agg(
-        F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("npred"), F.sum("r").alias("nref")
-    )
+
+    def numbered(s: Column) -> Column:
+        at = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        runs = lambda x, y: F.transform(F.sequence(F.lit(1), y - x), lambda k: F.concat_ws("\x00", k.cast("string"), F.get(s, x - 1)))
+        return F.when(F.size(s) > 0, F.flatten(X.let(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s) + 1)), runs)))).otherwise(F.array().cast("array<string>"))
+
+    return X.let(F.sort_array(X.ngrams(ws, n)), numbered)
+
+
+def gram_matches(df: DataFrame, pred: Column, refs: Column, orders: list[int], keep: Sequence[Column] = ()) -> DataFrame:
+    """`keep` and, per order n: h{n} matched (clipped), t{n} predicted and r{n} reference n-gram counts of each row.
+
+    `refs` is an array of texts; predicted counts are clipped by the largest count in any of them. All inside the row:
+    no gram is shuffled.
+    """
+    t = df.select(*keep, X.words(pred).alias("__p"), F.transform(refs, X.words).alias("__r"))
+    for n in orders:
+        own = gram_bag(F.col("__p"), n)
+        any_ref = F.aggregate("__r", F.array().cast("array<string>"), lambda acc, w: F.array_union(acc, gram_bag(w, n)))
+        t = t.withColumn("__o", own).withColumn("__a", any_ref)
+        t = t.withColumns({f"h{n}": F.size(F.array_intersect("__o", "__a")), f"t{n}": F.size("__o"), f"r{n}": F.size("__a")}).drop("__o", "__a")
+    return t.drop("__p", "__r")
 
 
 def _bleu(hits: list[Column], totals: list[Column], plen: Column, rlen: Column) -> Column:
@@ -76,15 +87,9 @@ def bleu(df: DataFrame, row_id: str = "id", pred: str = "pred", refs: Column | N
     and the closest reference length counts (shorter one on ties)."""
     refs = F.array("ref") if refs is None else refs
     orders = list(range(1, max_n + 1))
-    m = gram_matches(df, row_id, F.col(pred), refs, orders)
-    wide = m.groupBy("id").agg(
-        *[F.max(F.when(F.col("n") == n, F.col("hit"))).alias(f"h{n}") for n in orders],
-        *[F.max(F.when(F.col("n") == n, F.col("npred"))).alias(f"t{n}") for n in orders],
-    )
-    plen = X.word_count(pred)
-    lens = df.select(F.col(row_id).alias("id"), plen.alias("plen"), F.transform(refs, X.word_count).alias("rl"), F.col(pred).alias("__p"))
-    near = F.array_min(F.transform("rl", lambda x: F.struct(F.abs(x - F.col("plen")).alias("d"), x.alias("l"))))
-    s = lens.select("id", "plen", near["l"].alias("rlen")).join(wide, "id", "left")
+    near = lambda c: F.array_min(F.transform("rl", lambda x: F.struct(F.abs(x - c).alias("d"), x.alias("l"))))["l"]
+    s = gram_matches(df, F.col(pred), refs, orders, [X.word_count(pred).alias("plen"), F.transform(refs, X.word_count).alias("rl")])
+    s = s.withColumn("rlen", near(F.col("plen")))
     hs, ts = [F.col(f"h{n}") for n in orders], [F.col(f"t{n}") for n in orders]
     s = s.withColumn("b", _bleu(hs, ts, F.col("plen"), F.col("rlen")))
     # in the corpus sum an order a row cannot fill still counts one possible match
@@ -101,31 +106,31 @@ def rouge_tokens(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), " ")
 
 
-def stem_tokens(df: DataFrame, text: str, row_id: str, stemmer: Callable[[str], str]) -> DataFrame:
-    """Replace tokens by their stems; the stemmer sees every distinct token once."""
-    t = df.select(row_id, F.posexplode(X.words(rouge_tokens(F.col(text)))).alias("pos", "tok"))
+def stem_tokens(df: DataFrame, text: str, row_id: str = "id", stemmer: Callable[[str], str] = porter_stem, shortest: int = 1, cache: int = 1 << 17) -> DataFrame:
+    """Replace a text by its tokens' stems, joined by spaces; tokens under `shortest` letters stay, null gives an empty text.
+
+    `row_id` isn't needed, rows stay where they are. A task stems each distinct token once, as far as `cache` reaches. Row by row, no shuffle.
+    """
 
     @F.pandas_udf(T.StringType())
-    def stem(s: pd.Series) -> pd.Series:
-        return s.map(stemmer)
-
-    stems = t.select("tok").distinct().withColumn("stem", stem("tok"))
-    j = t.join(stems, "tok").groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("l"))
-    out = j.select(row_id, F.array_join(F.transform("l", lambda s: s["stem"]), " ").alias(text))
-    return df.drop(text).join(out, row_id, "left").fillna("", [text])
-
-
-def rouge_n(df: DataFrame, row_id: str = "id", pred: str = "pred", ref: str = "ref", tokenized: bool = False) -> DataFrame:
-    """Macro means of ROUGE-1/2 precision, recall and F (unstemmed unless stems are passed in)."""
-    tok = F.col if tokenized else (lambda c: rouge_tokens(F.col(c)))
-    m = gram_matches(df, row_id, tok(pred), F.array(tok(ref)), [1, 2])
-    p, r = F.coalesce(F.try_divide("hit", "npred"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "nref"), F.lit(0.0))
-    s = m.select("n", p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
-    sums = [F.coalesce(F.sum(F.when(F.col("n") == n, F.col(k))), F.lit(0.0)).alias(f"s{n}{k}") for n in (1, 2) for k in "fpr"]
-    total = df.agg(F.count(F.lit(1)).alias("k")).scalar()
-    return s.agg(*sums).withColumn("k", total).select(
-        *[F.coalesce(F.try_divide(f"s{n}{k}", "k"), F.lit(0.0)).alias(f"rouge{n}_{k}") for n in (1, 2) for k in "fpr"]
-    )
+    def stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = lru_cache(cache)(stemmer)
+        for texts in batches:
+            yield texts.map(lambda t: " ".join(known(w) if len(w) >= shortest else w for w in t.split()))
+
+    return df.withColumn(text, stem(F.coalesce(rouge_tokens(F.col(text)), F.lit(""))))
+
+
+def rouge_n(df: DataFrame, row_id: str = "id", pred: str = "pred", ref: str = "ref", stems: bool = False) -> DataFrame:
+    """Macro means of ROUGE-1/2 precision, recall and F over all rows, of Porter stems if wanted."""
+    if stems:
+        df = stem_tokens(stem_tokens(df, pred, shortest=4), ref, shortest=4)
+    s = gram_matches(df, rouge_tokens(F.col(pred)), F.array(rouge_tokens(F.col(ref))), [1, 2])
+    parts = {}
+    for n in (1, 2):
+        p, r = (F.coalesce(F.try_divide(f"h{n}", c), F.lit(0.0)) for c in (f"t{n}", f"r{n}"))
+        parts |= {f"rouge{n}_f": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), f"rouge{n}_p": p, f"rouge{n}_r": r}
+    return s.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(k) for k, c in parts.items()])
 
 
 @F.pandas_udf(T.IntegerType())

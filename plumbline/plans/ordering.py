@@ -249,7 +249,8 @@ def _located_quantiles(df, keys, value, probs, method, k: int = 2048, margin: fl
     k, by_key = kk, Window.partitionBy(*kk)
     sizes = (
         placed.groupBy(*k, "__b")
-        .agg(F.sum("__c").alias("__n"))
+        .agg(F.sum("__c").alias("__n"), F.min("__v").alias("__low"))  # the same columns as below, so the shuffle is reused
+        .where("__low is not null")
         .withColumn(
             "__from",
             F.coalesce(
