@@ -55,10 +55,11 @@ def rule_for_duration(evaluated: DataFrame, keys: Sequence[str], seconds: str) -
     """Add `island`, `pending_since` and `firing`: true only after `for_seconds` of unbroken truth.
 
     The island of a row is the running count of false outcomes before it; the running count is
-    spread over sort partitions, so a long series does not sit in one task.
+    spread over sort partitions, so a long series does not sit in one task. Of points in one second
+    those that are not met come first, so islands don't depend on the layout.
     """
     numbered = prefix_sums(
-        evaluated, [seconds], {"island": F.coalesce((~F.col("met")).cast("bigint"), F.lit(1))}, ["rule", *keys]
+        evaluated, [seconds, "met"], {"island": F.coalesce((~F.col("met")).cast("bigint"), F.lit(1))}, ["rule", *keys]
     )
     starts = numbered.where("met").groupBy("rule", *keys, "island").agg(F.min(seconds).alias("pending_since"))
     out = null_safe_join(numbered, starts, ["rule", *keys, "island"], "left")

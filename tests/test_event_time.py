@@ -123,3 +123,13 @@ def test_quantiles_are_exact_beyond_the_sketch(spark, method):
             assert got[k][n] == pytest.approx(want, rel=1e-12), (k, n)
     total = O.group_quantiles(df.where("k = 'hot'"), [], "v", {"m": 0.5}, method=method).first().m
     assert total == pytest.approx(np.quantile(big, 0.5) if method == "linear" else np.sort(big)[30_000])
+
+
+def test_points_of_one_second_have_one_order(spark):
+    rows = [("a", float(s), bool(m), 0.0) for s in range(40) for m in (True, False, True)]
+    got = set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "rule string, sec double, met boolean, for_seconds double").repartition(n, "met", "sec")
+        out = A.rule_for_duration(df, [], "sec").collect()
+        got.add(tuple(sorted((r.sec, r.met, r.island, r.pending_since or -1.0, r.firing) for r in out)))
+    assert len(got) == 1
