@@ -11,6 +11,9 @@ from pyspark.sql.types import StructType
 
 from plumbline.plans.runtime import scratch_path
 
+#: Bytes of one Arrow batch between the JVM and Python; the session's default of 64 MB is held several times over by each task.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a run of characters other than ASCII white space; `bytes.split()` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -52,11 +55,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, max_bytes: int = 4 << 20) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by `BATCH_BYTES`, unless it has a lower bound of its own.
+
+    The setting is read when a job runs, so it stays. It changes how rows are packed, never which rows there are.
+    """
+    now = spark.conf.get(_BATCH_SETTING)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """Apply `fn` to Arrow batches, each cut to about `max_bytes` so that a task's memory doesn't follow batch sizes.
 
     A single row beyond `max_bytes` forms a batch of its own.
     """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
