@@ -384,14 +384,17 @@ def _(spark, d):
     return hit.select("id", "key", F.lit(True).alias("reused")).union(todo.select("id", "key", F.lit(False)))
 
 
-@query("score_rows")
+@query(
+    "score_rows",
+    W("samples", "SELECT id, CASE WHEN coalesce(length(output) % 5, 0) = 0 THEN 0.5e0 ELSE least(1e0, length(output)/1000e0) END AS judge_score, CASE WHEN coalesce(length(output) % 5, 0) = 0 THEN 'fallback' ELSE 'judge' END AS judge_model FROM samples"),
+)
 def _(spark, d):
     def fn(q, r):
         if len(r) % 5 == 0:
             raise RuntimeError("no answer")
         return min(1.0, len(r) / 1000)
 
-    return J.score_rows(B.samples(spark, d).select("id", "instruction", "output"), fn, "instruction", "output").select("id", "judge_score", "judge_model")
+    return J.score_rows(B.samples(spark, d).select("id", "instruction", "output"), fn, "instruction", "output", in_flight=4).select("id", "judge_score", "judge_model")
 
 
 _JL = """WITH l AS (SELECT event_id // 4 AS item, event_id % 4 AS judge_no, ['a','b','c','d'][CAST(event_id % 4 AS INT)+1] AS judge, value/100 AS score, event_type AS feedback FROM events WHERE event_id % 9 <> 0),

@@ -27,6 +27,17 @@ def _(spark, d):
     return r.select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
 
 
+@query("read_json", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def _(spark, d):
+    """Orders as files that each hold one JSON array of about 1,000 objects, read back."""
+    path = scratch_path(spark, "json-arrays")
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    files = o.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("file")).agg(F.to_json(F.collect_list(F.struct(*o.columns))).alias("value"))
+    # one row per file of about 1,000 objects
+    files.write.partitionBy("file").text(path)
+    return RD.read_json(spark, path, o.schema)
+
+
 @query("read_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, d):
     path = scratch_path(spark, "csv")

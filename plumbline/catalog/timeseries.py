@@ -118,6 +118,16 @@ def _(spark, d):
     return T.grafana_series(B.metrics(spark, d), 86400)
 
 
+@query(
+    "grafana_blocks",
+    W("metrics", f""", p AS (SELECT name, (floor(epoch(ts)/3600)*3600)::BIGINT AS b, ((200*sum(round(value*100)::BIGINT) + count(*)) // (2*count(*)))/10000e0 AS v FROM metrics WHERE ts BETWEEN {_START} AND {_END} GROUP BY 1, 2),
+q AS (SELECT name AS target, (floor(b/86400)*86400)::BIGINT AS block_start, count(*) AS n, '[' || string_agg('[' || printf('%.4f', v) || ',' || b*1000 || ']', ',' ORDER BY b) || ']' AS datapoints FROM p GROUP BY 1, 2)
+SELECT target, row_number() OVER (PARTITION BY target ORDER BY block_start) - 1 AS block, block_start, n, datapoints FROM q"""),
+)
+def _(spark, d):
+    return T.grafana_blocks(B.metrics(spark, d), 3600, _range("2024-01-05"), _range("2024-01-20"), per_block=24)
+
+
 @query("metric_names", W("metrics", "SELECT DISTINCT name FROM metrics"))
 def _(spark, d):
     return T.metric_names(B.metrics(spark, d))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,26 +88,63 @@ def judge_cache_reuse(rows: DataFrame, cache: DataFrame, key: str) -> tuple[Data
     return rows.join(cache, key, "inner"), rows.join(cache.select(key), key, "left_anti")
 
 
+def _attempts(fn: Callable[[str, str], float], retries: int, backoff: float, deadline: float | None) -> Callable[[tuple], tuple[float, str]]:
+    """One row's score and mark: attempts with doubling pauses, as long as the row's deadline has not passed."""
+
+    def score(row: tuple) -> tuple[float, str]:
+        until = float("inf") if deadline is None else time.monotonic() + deadline
+        for attempt in range(retries):
+            if attempt and backoff:
+                pause = backoff * 2 ** (attempt - 1)
+                if time.monotonic() + pause >= until:
+                    break
+                time.sleep(pause)
+            try:
+                value = float(fn(*row))
+            except Exception:
+                value = None
+            if time.monotonic() >= until:
+                break
+            if value is not None:
+                return value, "judge"
+        return 0.5, "fallback"
+
+    return score
+
+
+def _in_order(score: Callable[[tuple], tuple[float, str]], rows: Iterable[tuple], pool: ThreadPoolExecutor, in_flight: int) -> Iterator[tuple[float, str]]:
+    """Results in the order of the rows; at most `in_flight` rows are handed over and not yet given back."""
+    waiting: deque = deque()
+    for row in rows:
+        if len(waiting) == in_flight:
+            yield waiting.popleft().result()
+        waiting.append(pool.submit(score, row))
+    while waiting:
+        yield waiting.popleft().result()
+
+
 def score_rows(
-    df: DataFrame, fn: Callable[[str, str], float], query: str, response: str, parallel: int | None = None, retries: int = 3
+    df: DataFrame, fn: Callable[[str, str], float], query: str, response: str, parallel: int | None = None, retries: int = 3,
+    in_flight: int = 1, backoff: float = 0.0, deadline: float | None = None,
 ) -> DataFrame:
-    """Score through a user function; `parallel` bounds the tasks if the judged service needs it. After failed retries
-    the row gets 0.5 and is marked as a fallback."""
+    """Score through a user function; failed rows get 0.5 and are marked as a fallback.
+
+    `parallel` bounds the tasks and `in_flight` the calls of one task that wait at the same time, so the judged service
+    sees at most parallel * in_flight calls. A failed call is tried again, `retries` attempts in all, after pauses of
+    `backoff` seconds that double. After `deadline` seconds a row is not tried again, and an answer that comes later is a
+    fallback. A running call isn't broken off: give `fn` a time limit of its own. With in_flight > 1 `fn` runs in
+    several threads. Rows keep their order inside a task; null texts are passed on as they are.
+    """
+    if in_flight < 1 or retries < 0:
+        raise ValueError("in_flight must be at least 1 and retries at least 0")
+    score = _attempts(fn, retries, backoff, deadline)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores, marks = [], []
-            for q, r in zip(pdf[query], pdf[response]):
-                value, mark = 0.5, "fallback"
-                for _ in range(retries):
-                    try:
-                        value, mark = float(fn(q, r)), "judge"
-                        break
-                    except Exception:
-                        continue
-                scores.append(value)
-                marks.append(mark)
-            yield pdf.assign(judge_score=scores, judge_model=marks)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                rows = zip(pdf[query], pdf[response])
+                found = list(map(score, rows) if in_flight == 1 else _in_order(score, rows, pool, in_flight))
+                yield pdf.assign(judge_score=[f[0] for f in found], judge_model=[f[1] for f in found])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     spread = df if parallel is None else df.repartition(parallel)

@@ -127,16 +127,55 @@ def complexity_distribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("adapter", "complexity").agg(F.count(F.lit(1)).alias("rows"), F.avg("confidence").alias("avg_confidence"))
 
 
-def grafana_series(points: DataFrame, interval: float) -> DataFrame:
-    """Per target the [value, ts_ms] pairs as JSON text; lists are built after downsampling."""
+def _panel_pairs(points: DataFrame, interval: int, start: Column | None, end: Column | None) -> DataFrame:
+    """(name, bucket, p): one [value, ts_ms] pair as JSON text per series and bucket of the time range.
+
+    The range is a condition on the stored timestamp, so it reaches the scan.
+    """
+    inside = points if start is None else points.where(F.col("ts") >= start)
+    inside = inside if end is None else inside.where(F.col("ts") <= end)
     b = F.floor(seconds("ts") / F.lit(float(interval))) * F.lit(int(interval))
     # printed numbers are averaged in exact decimals, so a tie does not depend on row order
     mean = F.round(F.avg(F.col("value").cast("decimal(18,6)")), 4)
-    p = points.groupBy("name", b.alias("bucket")).agg(mean.alias("value"))
+    p = inside.groupBy("name", b.alias("bucket")).agg(mean.alias("value"))
     pair = F.concat(F.lit("["), F.col("value").cast("string"), F.lit(","), (F.col("bucket") * 1000).cast("string"), F.lit("]"))
-    listed = F.sort_array(F.collect_list(F.struct("bucket", pair.alias("p"))))
-    text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["p"]), ","), F.lit("]"))
-    return p.groupBy(F.col("name").alias("target")).agg(text.alias("datapoints"))
+    return p.select("name", "bucket", pair.alias("p"))
+
+
+def _joined_pairs() -> Column:
+    listed = F.sort_array(F.collect_list(F.struct("bucket", "p")))
+    return F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["p"]), ","), F.lit("]"))
+
+
+def grafana_series(points: DataFrame, interval: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Per target the [value, ts_ms] pairs as JSON text; lists are built after downsampling.
+
+    One row per series: for panels, whose range and interval bound the buckets. `grafana_blocks` has no such row.
+    """
+    p = _panel_pairs(points, interval, start, end)
+    return p.groupBy(F.col("name").alias("target")).agg(_joined_pairs().alias("datapoints"))
+
+
+def grafana_blocks(
+    points: DataFrame, interval: int, start: Column | None = None, end: Column | None = None, per_block: int = 1000
+) -> DataFrame:
+    """(target, block, block_start, n, datapoints): a series in time order, cut into lists of at most `per_block` buckets.
+
+    Blocks lie on a fixed grid of interval * per_block seconds, so they don't depend on the range; `block` numbers those of a
+    series that hold points from 0, in time order. Rows meet per (target, block): neither a long series nor a hot one is a
+    list or a task of its own. Points without a time or value are left out, and so is a series without any.
+    """
+    width = int(interval) * per_block
+    at = F.floor(F.col("bucket") / F.lit(width)) * F.lit(width)
+    p = _panel_pairs(points, interval, start, end).where("p is not null")
+    blocks = p.groupBy(F.col("name").alias("target"), at.cast("bigint").alias("block_start")).agg(
+        F.count(F.lit(1)).alias("n"), _joined_pairs().alias("datapoints")
+    )
+    # only the numbers of blocks go through the window, not their lists
+    numbers = ranked(blocks.select("target", "block_start"), ["block_start"], ["target"])
+    numbers = numbers.select(F.col("target").alias("t"), F.col("block_start").alias("s"), (F.col("rank") - 1).alias("block"))
+    same = F.col("target").eqNullSafe(F.col("t")) & (F.col("block_start") == F.col("s"))
+    return blocks.join(numbers, same).select("target", "block", "block_start", "n", "datapoints")
 
 
 def metric_names(points: DataFrame) -> DataFrame:
