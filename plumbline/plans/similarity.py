@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions import vectors as V
 from plumbline.plans.ordering import first_per_key
 from plumbline.plans.runtime import checkpointed
 
 SMALL_BUCKET = 64
+FIRST_BLOCK, BLOCK_GROWTH = 4, 4  # undecided rows of a frequent token that others are compared with in round one; growth per round
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -28,8 +30,9 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     keep-first rule, computed exactly. Identical sets are merged first. Two sets can only
     reach the threshold if they share a token among their rarest ones (prefix filter), so rows
     meet per rare token. Tokens with few rows yield pairs directly, a bounded number per row;
-    on frequent tokens rows are compared with one kept row per round only, so a large group of
-    near copies collapses in linear work.
+    on frequent tokens they are compared with the first few undecided rows, four times as many each
+    round: a large group of near copies collapses in linear work, and k unlike rows under one token
+    take log k rounds. `leader` is the earliest kept row among those compared.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t"))
     # the sets are read several times below, the text they come from only here
@@ -67,23 +70,22 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     )
     edges = checkpointed(_verified(pairs, reps, threshold))
     todo = checkpointed(reps.select("id"))
-    found = []
+    found, block = [], FIRST_BLOCK
     while not todo.isEmpty():
-        live = edges.join(todo.withColumnRenamed("id", "a"), "a", "left_semi")
-        live = live.join(todo.withColumnRenamed("id", "b"), "b", "left_semi")
         queue = hot.join(todo, "id", "left_semi")
-        heads = queue.groupBy("tok").agg(F.min("id").alias("head"))
-        faced = queue.join(heads, "tok")
-        blocked = live.select(F.col("b").alias("id")).union(faced.where("head < id").select("id")).distinct()
-        kept = checkpointed(todo.join(blocked, "id", "left_anti"))
-        cand = faced.join(kept.select(F.col("id").alias("head")), "head", "left_semi").where("head < id")
-        cand = cand.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        hit = live.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").union(
-            _verified(cand, reps, threshold)
-        )
-        dropped = checkpointed(hit.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))
-        found += [kept.select("id", F.col("id").alias("leader")), dropped]
-        todo = checkpointed(todo.join(kept, "id", "left_anti").join(dropped, "id", "left_anti"))
+        place = F.row_number().over(Window.partitionBy("tok").orderBy("id"))
+        heads = checkpointed(queue.withColumn("place", place).where(F.col("place") <= block).select("tok", "id"))
+        waiting = checkpointed(queue.join(heads, ["tok", "id"], "left_anti").select("id").distinct())
+        faced = queue.join(heads.select("tok", F.col("id").alias("head")), "tok").where("head < id")
+        pairs = faced.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+        live = edges.join(todo.withColumnRenamed("id", "a"), "a", "left_semi").join(todo.withColumnRenamed("id", "b"), "b", "left_semi")
+        edges = checkpointed(live.select("a", "b").union(_verified(pairs, reps, threshold)).distinct())
+        kept, gone = _keep_first(todo, edges, waiting)
+        leaders = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi")
+        leaders = leaders.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+        found += [kept.select("id", F.col("id").alias("leader")), checkpointed(leaders)]
+        todo = checkpointed(todo.join(kept, "id", "left_anti").join(gone, "id", "left_anti"))
+        block *= BLOCK_GROWTH
     lead = None
     for f in found:
         lead = f if lead is None else lead.union(f)
@@ -97,6 +99,26 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     return out.select(F.col("id").alias(row_id), "leader")
 
 
+def _keep_first(todo: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) ids that the links (a < b) known so far decide.
+
+    The lexicographically first independent set in parallel steps: a row is kept once none of its earlier partners is
+    undecided, and dropped once one of them is kept. A row in `waiting` has not met all earlier rows and can only be dropped.
+    """
+    left, live = todo, edges
+    kept, gone = todo.limit(0), todo.limit(0)
+    while True:
+        free = left.join(waiting, "id", "left_anti").join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        free = checkpointed(free)
+        if free.isEmpty():
+            return kept, gone
+        out = checkpointed(live.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        kept, gone = kept.union(free), gone.union(out)
+        left = checkpointed(left.join(free, "id", "left_anti").join(out, "id", "left_anti"))
+        live = live.join(left.withColumnRenamed("id", "a"), "a", "left_semi")
+        live = checkpointed(live.join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     left = reps.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = reps.select(F.col("id").alias("b"), F.col("t").alias("tb"))
