@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.plans.runtime import scratch_path
+from plumbline.plans.runtime import stored  # noqa: F401
 
 #: Bytes of one Arrow batch between the JVM and Python; the session's default of 64 MB is held several times over by each task.
 BATCH_BYTES = 4 << 20
@@ -23,16 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to a fresh Parquet table below the shared checkpoint folder and read it back.
-
-    It cuts lineage like a reliable checkpoint, survives lost executors, and is columnar and compressed.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast when a count proves the bound; beyond it the optimiser picks a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

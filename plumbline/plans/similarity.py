@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +15,12 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import vectors as V
 from plumbline.plans.ordering import first_per_key
-from plumbline.plans.runtime import checkpointed
+from plumbline.plans.runtime import checkpointed, stored
 
 SMALL_BUCKET = 64
-FIRST_BLOCK, BLOCK_GROWTH = 4, 4  # undecided rows of a frequent token that others are compared with in round one; growth per round
+FIRST_BLOCK, BLOCK_GROWTH = 4, 4  # undecided rows of a crowded place that others are compared with in round one; growth per round
+SKETCH, BAND, PART = 512, 1.5, 2048  # bits of a sketch; largest by smallest size of a band; rows of a numpy step
+LEAST_BLOCKED = 0.7  # below this threshold blocks are too small to tell sets apart
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -28,47 +33,31 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
 
     A row is kept (its own leader) when no earlier kept row is that similar: the sequential
     keep-first rule, computed exactly. Identical sets are merged first. Two sets can only
-    reach the threshold if they share a token among their rarest ones (prefix filter), so rows
-    meet per rare token. Tokens with few rows yield pairs directly, a bounded number per row;
-    on frequent tokens they are compared with the first few undecided rows, four times as many each
-    round: a large group of near copies collapses in linear work, and k unlike rows under one token
+    reach the threshold if they agree on a whole block of tokens (see `_profiles`; for low thresholds: on a token
+    among their rarest ones), so rows meet there. Places with few rows yield pairs directly, a bounded number per row;
+    at crowded ones rows are compared with the first few undecided rows, four times as many each
+    round: a large group of near copies collapses in linear work, and k unlike rows at one place
     take log k rounds. `leader` is the earliest kept row among those compared.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t"))
     # the sets are read several times below, the text they come from only here
-    signed = checkpointed(base.withColumn("sig", F.md5(F.array_join(F.sort_array("t"), "\u0001"))))
+    signed = stored(base.withColumn("sig", F.md5(F.array_join(F.sort_array("t"), "\u0001"))), "sets")
     owner = signed.groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = checkpointed(
-        first_per_key(signed, [F.col("sig")], ["id"]).select("id", "t", F.size("t").alias("n")).where("n > 0")
-    )
-    # rows meet on 64-bit token hashes and are verified on the tokens; one spare prefix place
-    # (the + 2 below) covers two tokens of a row sharing a hash
-    tok = reps.select("id", "n", F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("tok"))
-    freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 2
-    rare = (
-        tok.join(freq, "tok")
-        .where("f > 1")
-        .groupBy("id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("o"), F.count(F.lit(1)).alias("shared"))
-        # tokens of one row only sort first and take up prefix places without any partner
-        .withColumn("left", keep - (F.col("n") - F.col("shared")))
-        .where("left > 0")
-    )
-    posts = checkpointed(
-        rare.select("id", F.explode(F.slice("o", F.lit(1), F.col("left").cast("int"))).alias("o")).select("id", "o.tok")
-    )
-    size = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k"))
-    sized = posts.join(size, "tok").where("k > 1")
+    hashed = signed.select("id", "sig", F.size("t").alias("n"), F.transform("t", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
+    # only small profiles move from here on; tokens follow for the pairs that a sketch can't tell apart
+    reps = stored(first_per_key(_profiles(hashed, threshold), [F.col("sig")], ["id"]), "set-profiles")
+    posts = _prefix_posts(hashed, reps, threshold) if threshold < LEAST_BLOCKED else reps.select("id", F.explode("blocks").alias("tok"))
+    size = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sized = stored(posts.join(size, "tok"), "set-posts")
     small = sized.where(F.col("k") <= SMALL_BUCKET).select("id", "tok")
-    hot = checkpointed(sized.where(F.col("k") > SMALL_BUCKET).select("id", "tok"))
+    hot = sized.where(F.col("k") > SMALL_BUCKET).select("id", "tok")
     pairs = (
         small.alias("a")
         .join(small.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id")))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
-    edges = checkpointed(_verified(pairs, reps, threshold))
+    edges = checkpointed(_verified(pairs, reps, signed, threshold))
     todo = checkpointed(reps.select("id"))
     found, block = [], FIRST_BLOCK
     while not todo.isEmpty():
@@ -79,7 +68,7 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
         faced = queue.join(heads.select("tok", F.col("id").alias("head")), "tok").where("head < id")
         pairs = faced.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
         live = edges.join(todo.withColumnRenamed("id", "a"), "a", "left_semi").join(todo.withColumnRenamed("id", "b"), "b", "left_semi")
-        edges = checkpointed(live.select("a", "b").union(_verified(pairs, reps, threshold)).distinct())
+        edges = checkpointed(live.select("a", "b").union(_verified(pairs, reps, signed, threshold)).distinct())
         kept, gone = _keep_first(todo, edges, waiting)
         leaders = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi")
         leaders = leaders.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
@@ -119,12 +108,100 @@ def _keep_first(todo: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[
         live = checkpointed(live.join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    left = reps.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = reps.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    fits = F.least(F.size("ta"), F.size("tb")) >= F.greatest(F.size("ta"), F.size("tb")) * F.lit(threshold) - 1e-9
-    return both.where(fits & (jaccard(F.col("ta"), F.col("tb")) > F.lit(threshold))).select("a", "b")
+def _most_apart(size_sum, threshold: float):
+    """Largest symmetric difference of two sets of this size in sum with a similarity above the threshold."""
+    return size_sum * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _profiles(hashed: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, sig, n, h) to (id, sig, n, sketch, blocks): parity sketch of `SKETCH` bits, block sums.
+
+    Sets above the threshold differ in at most k tokens. Tokens are dealt by hash over k + 1 blocks, so one block at
+    least holds the same tokens in both; each block's sum of hashes is a place to meet. k depends on the size, so blocks
+    belong to size bands, and a set that has partners in the next band enters it as a guest. Empty blocks count.
+    """
+    ratio = max(BAND, 1.0 / threshold if threshold > 0 else 2.0)
+    fields = [f for f in hashed.schema.fields if f.name in ("id", "sig", "n")]
+    more = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "blocks")]
+
+    def mix(x: np.ndarray, salt: int) -> np.ndarray:
+        x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+    def profile(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = part.column("h")
+        h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, count = np.repeat(np.arange(len(n)), n), len(n)
+        bits = np.bincount(rows * SKETCH + (mix(h, 5) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=count * SKETCH) & 1
+        sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+        band = np.floor(np.log(n) / np.log(ratio) + 1e-9).astype(np.int64)
+        owners, sums = [], []
+        for guest in (0, 1) if threshold >= LEAST_BLOCKED else ():
+            b = band + guest
+            high = np.ceil(ratio ** (b + 1.0) + 1e-6)  # a bound on the sizes of the band
+            k = np.floor(_most_apart(2 * high, threshold)).astype(np.int64)
+            use = (n > threshold * ratio ** b.astype(float) * (1 - 1e-6)) if guest else np.ones(count, bool)
+            m = np.where(use & (_most_apart(n + n / threshold, threshold) >= 1), k + 1, 0)  # sets too small to differ at all meet nobody
+            start = np.cumsum(m) - m
+            pick = m[rows] > 0
+            at, x = rows[pick], h[pick]
+            total = np.zeros(int(m.sum()), np.uint64)
+            block = (mix(x, 3) >> np.uint64(33)).astype(np.int64) % m[at]
+            np.add.at(total, start[at] + block, mix(x, 7))
+            own = np.repeat(np.arange(count), m)
+            place = (np.arange(len(total)) - start[own]) + (b[own] << 32)
+            owners.append(own)
+            sums.append(mix(total + mix(place.astype(np.uint64), 11), 13))
+        own, tok = (np.concatenate(owners), np.concatenate(sums)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.argsort(own, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=count))))
+        cells = [
+            pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * (SKETCH // 64), pa.int32()), pa.array(sketch)),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok[order].view(np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], *cells], names=[*[f.name for f in fields], "sketch", "blocks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART):
+                yield profile(batch.slice(i, PART))
+
+    return hashed.mapInArrow(run, T.StructType([*fields, *more]))
+
+
+def _prefix_posts(hashed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, tok): the rarest tokens per set, by 64-bit hash; for low thresholds, where blocks would hold hardly a token."""
+    tok = hashed.join(reps.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"]).select("id", "n", F.explode("h").alias("tok"))
+    freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    # one spare place (the + 2) covers two tokens of a row sharing a hash
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 2
+    rare = (
+        tok.join(freq, "tok")
+        .where("f > 1")
+        .groupBy("id", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("o"), F.count(F.lit(1)).alias("shared"))
+        # tokens of one row only sort first and take up prefix places without any partner
+        .withColumn("left", keep - (F.col("n") - F.col("shared")))
+        .where("left > 0")
+    )
+    return rare.select("id", F.explode(F.slice("o", F.lit(1), F.col("left").cast("int"))).alias("o")).select("id", "o.tok")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Those of the distinct pairs (a < b) above the threshold: sizes and sketches first, then the tokens."""
+    for c in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")), c)
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9
+    apart = sum((F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    near = stored(pairs.where(fits & (apart <= _most_apart(F.col("na") + F.col("nb"), threshold))).select("a", "b", "sa", "sb"), "set-pairs")
+    asked = near.select(F.col("sa").alias("sig")).union(near.select("sb")).distinct()
+    sets = signed.select("sig", "t").join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("t").alias("t"))
+    left = sets.select(F.col("sig").alias("sa"), F.col("t").alias("ta"))
+    right = sets.select(F.col("sig").alias("sb"), F.col("t").alias("tb"))
+    both = near.join(left, "sa").join(right, "sb")
+    return both.where(jaccard(F.col("ta"), F.col("tb")) > F.lit(threshold)).select("a", "b")
 
 
 # --- distance joins
