@@ -32,6 +32,7 @@ from plumbline.plans.graphs import connected_components
 
 SHINGLE, SINGLES, MISS = 5, 96, 30.0
 CROWD, REPS, ENOUGH = 16, 4, 16  # components that make a signature crowded; members a document is compared with per round; a round that links fewer than one document in so many is the last
+FOLD = 2048  # bits of the sketch that open pairs are compared by
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -108,9 +109,11 @@ def distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def folded(x: bytes) -> np.ndarray:
-    """A sketch folded to 512 bits, as 8 integers; distances only shrink by folding."""
-    return np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 8), axis=0)
+def folded(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles on each of `FOLD` bits, as 64-bit integers. Wide enough that sets of a few thousand
+    shingles in all still tell apart by it; a bounded width travels with every open row."""
+    bits = np.bincount((_mix(s, 5) & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _profiles(base: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -125,7 +128,7 @@ def _profiles(base: DataFrame, frequent: np.ndarray) -> DataFrame:
             bits = sketch(s) if some else None
             row = (
                 len(s), int(_mix(s, 11).sum().view(np.int64)) if some else None, int(np.bitwise_xor.reduce(_mix(s, 13)).view(np.int64)) if some else None,
-                bits, folded(bits) if some else None, signatures(s, sent.value).view(np.int64) if some else None,
+                bits, folded(s) if some else None, signatures(s, sent.value).view(np.int64) if some else None,
             )
             for c, x in zip(cols, row):
                 c.append(x)
@@ -212,7 +215,7 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     cols = [c for c in rows.columns if c != "sig"]
     one = rows.select("sig", size.alias("size"), *[F.col(c).alias(f"{c}_x") for c in cols])
     two = rows.select("sig", F.explode(F.array(size, size - 1)).alias("size"), *[F.col(c).alias(f"{c}_y") for c in cols])
-    apart = sum((F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(8)), F.lit(0))
+    apart = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLD // 64)), F.lit(0))
     larger = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
     alike = larger & (100 * F.col("n_x") >= 75 * F.col("n_y")) & (7 * apart <= F.col("n_x") + F.col("n_y"))
     met = one.join(two, ["sig", "size"]).where((F.col("comp_x") != F.col("comp_y")) & alike)
@@ -252,7 +255,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left = left.withColumnRenamed("comp", "first").join(moved, "first", "left").select("sig", "id", F.coalesce("comp", "first").alias("comp"))
     for found in extra:
         links = links.union(found)
-    left = left.join(sets.select("id", "n", "fold"), "id").select("sig", "id", "comp", "n", *[F.col("fold")[i].alias(f"b{i}") for i in range(8)])
+    left = left.join(sets.select("id", "n", "fold"), "id").select("sig", "id", "comp", "n", "fold")
     open_pairs = _open_pairs(left).join(done, ["x", "y"], "left_anti")
     more = stored(_verified(open_pairs, small, known), "jaccard-more")
     groups = connected_components(links.union(more).union(equal), "x", "y")

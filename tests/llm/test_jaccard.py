@@ -97,3 +97,16 @@ def test_columns_of_any_name_and_table_of_copies(spark):
     df = spark.createDataFrame([(i, f"same words in each of these texts {i % 2}", i) for i in range(40)], "doc_id int, text string, __gone int")
     kept = drop_near_copies(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} in ({0, 1}, {0})
+
+
+def test_open_pairs_tell_long_texts_apart(spark):
+    """Long texts under common signatures, too unlike to link: a narrow sketch is full and lets all their pairs through."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import jaccard as J
+
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(1500 + i))) for i in range(12)]
+    texts.append((20, texts[0][1] + " one more"))
+    sets = J._profiles(spark.createDataFrame(texts, "id long, text string"), np.zeros(0, np.uint64))
+    rows = sets.select(F.lit(1).cast("long").alias("sig"), "id", F.col("id").alias("comp"), "n", "fold")
+    assert [(r.x, r.y) for r in J._open_pairs(rows).collect()] == [(0, 20)]
