@@ -206,7 +206,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, signed: DataFrame, threshold: f
 
 # --- distance joins
 
-BLOCK = 4096
+BLOCK = 8192
+CHUNK = 256  # rows of a block whose distances are held at once
 MAX_PIVOTS = 256
 
 
@@ -250,31 +251,38 @@ def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kerne
     """Bring each query row (id, v, reach) together with every member it can have within reach.
 
     Members lie in the cell of their nearest pivot. A cell is visited only if its pivot is at
-    most reach + cell radius away (triangle inequality). Cells are cut into blocks of about
-    BLOCK members and the visits of a cell into groups of about BLOCK rows, so both sides of a
+    most reach + cell radius away (triangle inequality). Small cells are packed into bins of up to
+    BLOCK members, so that a query goes out once per bin and not once per cell; large cells are cut into blocks of about
+    BLOCK members, and the visits of a bin into groups of about BLOCK rows, so both sides of a
     task stay bounded however many rows share a cell. Pairs live only inside a numpy block.
     """
     shape = placed.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
     radius = np.full(len(pivots), -np.inf)
-    blocks = np.zeros(len(pivots), dtype="int64")
-    for row in shape:
+    bins, held = np.zeros(len(pivots), dtype="int32"), [0]
+    for row in sorted(shape, key=lambda r: r["cell"]):
         radius[row["cell"]] = row["r"]
-        blocks[row["cell"]] = -(-row["n"] // BLOCK)
+        if held[-1] and held[-1] + row["n"] > BLOCK:
+            held.append(0)
+        bins[row["cell"]] = len(held) - 1
+        held[-1] += row["n"]
+    blocks = -(-np.array(held, dtype="int64") // BLOCK)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def cells(v: pd.Series, reach: pd.Series) -> pd.Series:
         d = _distances(_matrix(v), pivots)
         near = d - radius[None, :] <= reach.to_numpy()[:, None] + 1e-6
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+        return pd.Series([np.unique(bins[row]).astype("int32") for row in near])
 
+    # from here on a cell is a bin
     visits = queries.withColumn("cell", F.explode(cells("v", "reach")))
     counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
-    groups = np.ones(len(pivots), dtype="int64")
+    groups = np.ones(len(held), dtype="int64")
     for row in counted:
         groups[row["cell"]] = -(-row["n"] // BLOCK)
     n_blocks = F.element_at(F.lit(blocks), F.col("cell") + 1)
     n_groups = F.element_at(F.lit(groups), F.col("cell") + 1)
     own = F.xxhash64("id")
+    placed = placed.withColumn("cell", F.element_at(F.lit(bins if len(bins) else np.zeros(1, dtype="int32")), F.col("cell") + 1))
     first = F.lit(0).cast("bigint")
     # both sides may come from one table, so every column gets a name of its own
     members = placed.select(
@@ -300,10 +308,14 @@ def pairs_within(df: DataFrame, row_id: str, vec: str, radius: float) -> DataFra
             return empty
         x, y = _matrix(q["qv"]), _matrix(m["mv"])
         ids, other = q["qid"].to_numpy(), m["mid"].to_numpy()
-        i, j = np.nonzero((_distances(x, y) <= radius + 1e-6) & (ids[:, None] < other[None, :]))
-        dist = _exact(x[i], y[j])
-        ok = dist <= radius
-        return pd.DataFrame({"a": ids[i][ok], "b": other[j][ok], "dist": dist[ok]})
+        found = []
+        for at in range(0, len(x), CHUNK):
+            part, mine = x[at : at + CHUNK], ids[at : at + CHUNK]
+            i, j = np.nonzero((_distances(part, y) <= radius + 1e-6) & (mine[:, None] < other[None, :]))
+            dist = _exact(part[i], y[j])
+            ok = dist <= radius
+            found.append(pd.DataFrame({"a": mine[i][ok], "b": other[j][ok], "dist": dist[ok]}))
+        return pd.concat(found, ignore_index=True)
 
     queries = pts.withColumn("reach", F.lit(float(radius)))
     return _block_join(placed, queries, pivots, kernel, "a bigint, b bigint, dist double")
@@ -333,12 +345,15 @@ def nearest_other(df: DataFrame, row_id: str, vec: str) -> DataFrame:
         if len(m):
             x, y = _matrix(q["qv"]), _matrix(m["mv"])
             ids, other = out["id"], m["mid"].to_numpy()
-            d = _distances(x, y)
-            d[ids[:, None] == other[None, :]] = np.inf
             order = np.argsort(other, kind="stable")
-            best = order[d[:, order].argmin(1)]
-            out["neighbour"], out["dist"] = other[best], _exact(x, y[best])
-            out["dist"][np.isinf(d[np.arange(len(q)), best])] = np.inf
+            y, other = y[order], other[order]
+            for at in range(0, len(x), CHUNK):
+                to = slice(at, at + CHUNK)
+                d = _distances(x[to], y)
+                d[ids[to, None] == other[None, :]] = np.inf
+                best = d.argmin(1)
+                out["neighbour"][to] = other[best]
+                out["dist"][to] = np.where(np.isinf(d[np.arange(len(d)), best]), np.inf, _exact(x[to], y[best]))
         return pd.DataFrame(out)
 
     found = _block_join(placed, lone.select("id", "v", F.col("ub").alias("reach")), pivots, kernel, "id bigint, neighbour bigint, dist double")
