@@ -50,7 +50,8 @@ def hybrid_select(
     strategy: str = "entropy",
 ) -> DataFrame:
     """Weighted sum of uncertainty and diversity, each over its maximum."""
-    s = pool.select(row_id, uncertainty_score(F.col(probs), strategy).alias("u")).join(diversity, row_id)
+    # the maxima and the scores read the same rows; the diversity behind them is dear
+    s = checkpointed(pool.select(row_id, uncertainty_score(F.col(probs), strategy).alias("u")).join(diversity, row_id))
     top = s.agg(F.struct(F.max("u").alias("u"), F.max("diversity").alias("d")).alias("m")).scalar()
     s = s.withColumn("__m", top)
     over = lambda c, m: F.when(m > 0, c / m).otherwise(c)
