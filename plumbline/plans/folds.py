@@ -7,12 +7,15 @@ to reset the state; a heavy key thus becomes many independent pieces.
 
 from __future__ import annotations
 
-import json
+import heapq
 import math
+import pickle
+import zlib
 from collections.abc import Callable, Iterator, Sequence
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +24,8 @@ from pyspark.sql.window import Window
 from plumbline.plans.ordering import null_safe_join
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a stream fold that are sorted at once, rows of a block of state, rows kept beside a key's state, rows of a result frame.
+RUN, BLOCK, SMALL, FRAME = 65_536, 1_024, 512, 8_192
 
 
 def reset_segments(
@@ -82,58 +87,163 @@ def fold_rows(
 class _EventTimeFold(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then folds them in order.
 
-    State per key: the rows that wait, the fold's state with the time of its last row. One timer stands at the earliest
-    row that waits, or where an idle key's state is worth a fresh one and goes.
+    What waits is kept as sorted runs, cut into blocks of `BLOCK` rows that are state entries of their own; up to `SMALL` rows
+    stay beside the fold's state. A timer merges the runs block by block and hands results on in frames, so a task holds one
+    run that is being sorted, or one block per run. One timer stands at the earliest row that waits, or where an idle key's
+    state is worth a fresh one and goes.
     """
 
-    def __init__(self, schema: T.StructType, start: Callable, step: Callable, outputs: Sequence[str], order: Sequence[int], ms: int, sec: int, expires: Callable):
-        self.schema, self.start, self.step, self.outputs, self.order, self.ms, self.sec, self.expires = schema, start, step, outputs, order, ms, sec, expires
+    def __init__(self, names: Sequence[str], used: int, masks: Sequence[Sequence[str]], start: Callable, step: Callable, out: T.StructType, outputs: int, order: Sequence[int], ms: int, sec: int, expires: Callable):
+        self.names, self.used, self.masks, self.start, self.step, self.out, self.outputs = names, used, masks, start, step, out, outputs
+        self.order, self.ms, self.sec, self.expires = order, ms, sec, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.state = handle.getValueState("state", "state string, last double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r) for r in rows]  # at most a micro-batch, which the source's admission limit bounds
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(r[self.ms] for r in new) - 1)
-        return iter(())
+        self.state = handle.getValueState("state", "data binary")
+        self.blocks = handle.getMapState("blocks", "run int, block int", "data binary")
+        self.key = itemgetter(*self.order) if len(self.order) > 1 else lambda r: (r[self.order[0]],)
+        self.view = type("Row", (tuple,), {name: property(itemgetter(i)) for i, name in enumerate(self.names)})
+        self.bits = [(self.names.index(c), m, 1 << i) for m, group in enumerate(self.masks, len(self.names)) for i, c in enumerate(group)]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in held if r[self.ms] <= now), key=lambda r: tuple(r[i] for i in self.order))
+    def _load(self) -> dict | None:
         stored = self.state.get() if self.state.exists() else None
-        state, last = (json.loads(stored[0]), stored[1]) if stored else (self.start(), None)
-        names, out = self.schema.fieldNames(), []
-        whole = Row(*names, *self.outputs)
-        for r in ready:
-            state, extra = self.step(state, Row(*names)(*r))
-            last = r[self.sec]
-            out.append(whole(*r, *extra))
-        late = [r for r in held if r[self.ms] > now]
-        if ready:
-            self.state.update((json.dumps(state), float(last)))
-            if late:
-                self.waiting.put(late)
+        return pickle.loads(zlib.decompress(bytes(stored[0]))) if stored else None
+
+    def _save(self, kept: dict) -> None:
+        self.state.update((zlib.compress(pickle.dumps(kept), 1),))
+
+    def _add_run(self, kept: dict, rows: list[tuple]) -> None:
+        rows.sort(key=self.key)
+        number = kept["next"]
+        blocks = range(0, len(rows), BLOCK)
+        for i, a in enumerate(blocks):
+            self.blocks.updateValue((number, i), (zlib.compress(pickle.dumps(list(zip(*rows[a : a + BLOCK]))), 1),))
+        kept["next"] = number + 1
+        kept["runs"].append({"run": number, "block": 0, "blocks": len(blocks), "at": 0, "head": self.key(rows[0]), "ms": rows[0][self.ms]})
+
+    def _wake(self, kept: dict, ms: int) -> None:
+        if kept["timer"] is None or ms < kept["timer"]:
+            self.handle.registerTimer(ms)
+            kept["timer"] = ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = self._load() or {"state": None, "last": None, "small": [], "runs": [], "next": 0, "timer": None}
+        new, kept["small"] = kept["small"], []
+        first = None
+        for frame in rows:
+            cols = [frame.iloc[:, i].tolist() for i in range(self.used)]
+            first = min(cols[self.ms]) if first is None else min(first, min(cols[self.ms]))
+            new.extend(zip(*cols))
+            if len(new) >= RUN:
+                self._add_run(kept, new)
+                new = []
+        if len(new) > SMALL:
+            self._add_run(kept, new)
+        else:
+            kept["small"] = sorted(new, key=self.key)
+        if first is not None:
+            self._wake(kept, first - 1)
+        self._save(kept)
+        return iter(())
+
+    def _rows(self, run: dict, small: list[tuple]) -> Iterator[tuple]:
+        """The rows of a run from where it stands; a block leaves the state once it has been read through."""
+        while run["block"] < run["blocks"]:
+            at = (run["run"], run["block"])
+            rows = small if run["run"] is None else list(zip(*pickle.loads(zlib.decompress(bytes(self.blocks.getValue(at)[0])))))
+            for i in range(run["at"], len(rows)):
+                run["at"] = i
+                yield rows[i]
+            if run["run"] is not None:
+                self.blocks.removeKey(at)
+            run["block"], run["at"] = run["block"] + 1, 0
+
+    def _ready(self, kept: dict, now: int) -> Iterator[tuple]:
+        """The rows up to `now` in order. A run is opened when the merge reaches its first row; `kept` is left with the rest."""
+        small, runs = kept["small"], kept["runs"]
+        if small:
+            runs = [*runs, {"run": None, "block": 0, "blocks": 1, "at": 0, "head": self.key(small[0]), "ms": small[0][self.ms]}]
+        heap = [(run["head"], i, None, None) for i, run in enumerate(runs) if run["ms"] <= now]
+        heapq.heapify(heap)
+        while heap:
+            _, i, row, rest = heap[0]
+            if row is None:
+                rest = self._rows(runs[i], small)
+                row = next(rest)
+            if row[self.ms] > now:
+                runs[i].update(head=self.key(row), ms=row[self.ms])
+                heapq.heappop(heap)
+                continue
+            yield row
+            row = next(rest, None)
+            if row is None:
+                heapq.heappop(heap)
             else:
-                self.waiting.clear()
-        if late:
-            self.handle.registerTimer(min(r[self.ms] for r in late) - 1)
+                heapq.heapreplace(heap, (self.key(row), i, row, rest))
+        left = [run for run in runs if run["block"] < run["blocks"]]
+        kept["runs"] = [run for run in left if run["run"] is not None]
+        kept["small"] = next((small[run["at"] :] for run in left if run["run"] is None), [])
+
+    def _seen(self, row: tuple):
+        """The row as the step function sees it: numbers that came as null are None again."""
+        if not any(row[len(self.names) : len(self.names) + len(self.masks)]):
+            return self.view(row)
+        plain = list(row)
+        for i, mask, bit in self.bits:
+            if row[mask] & bit:
+                plain[i] = None
+        return self.view(plain)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        cols = list(zip(*rows))
+        cols += [[x is None for x in c] for c in cols[len(cols) - self.outputs :]]
+        stamp = (T.TimestampType, T.TimestampNTZType)
+        return pd.DataFrame({f.name: pd.Series(list(c), dtype=None if isinstance(f.dataType, stamp) else object) for f, c in zip(self.out.fields, cols)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, kept = timerValues.getCurrentWatermarkInMs(), self._load()
+        if kept is None:
+            return
+        if kept["timer"] is not None and kept["timer"] <= expiredTimerInfo.getExpiryTimeInMs():
+            kept["timer"] = None
+        state, last = (kept["state"], kept["last"]) if kept["last"] is not None else (self.start(), None)
+        out, cut = [], len(self.names) + len(self.masks)
+        for row in self._ready(kept, now):
+            state, extra = self.step(state, self._seen(row))
+            last = row[self.sec]
+            out.append((*row[:cut], *extra))
+            if len(out) >= FRAME:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+        if last is not None:
+            kept.update(state=state, last=float(last))
+        waits = [*(run["ms"] for run in kept["runs"]), *(r[self.ms] for r in kept["small"][:1])]
+        if waits:
+            self._wake(kept, min(waits) - 1)
         elif last is not None and (wait := self.expires(state)) is not None:
             gone = math.ceil((last + wait) * 1000)
             if gone <= now:
                 self.state.clear()
-            else:
-                self.handle.registerTimer(gone)
-        return iter(out)
+                return
+            self._wake(kept, gone)
+        self._save(kept)
 
     def close(self) -> None:
         pass
 
 
+def _plain_key(df: DataFrame, name: str) -> Column:
+    """A column as a group key that pandas keeps apart from null."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0).cast(kind)  # one zero
+    return c if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.BinaryType)) else c.cast("string")
+
+
 def fold_stream(
     sdf: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], dict], step: Callable, outputs: str,
     delay: str = "10 minutes", expires: Callable[[dict], float | None] = lambda state: None, seconds: str = "sec",
@@ -141,18 +251,40 @@ def fold_stream(
     """The same step functions over a stream, in event time: files may come in any order within `delay`.
 
     A row is folded once the watermark (latest event time less `delay`) has reached it; rows that come later than that are
-    dropped and counted by the engine (`numRowsDroppedByWatermark`, see `run_counted`). `expires(state)` gives the seconds
-    after a key's last row from which on its state equals a fresh one and is removed; None keeps it. Needs the RocksDB
-    state store, which is set here for the session.
+    dropped and counted by the engine (`numRowsDroppedByWatermark`, see `run_counted`). `order` begins with the event time.
+    `expires(state)` gives the seconds after a key's last row from which on its state equals a fresh one and is removed; None
+    keeps it. Needs the RocksDB state store, which is set here for the session.
     """
+    if order[0] != seconds:
+        raise ValueError("the order begins with the event time")
     sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     extra = T._parse_datatype_string(outputs)
+    real, whole = (T.FloatType, T.DoubleType), (T.IntegralType, T.BooleanType)
+    marked = [f.name for f in sdf.schema.fields if isinstance(f.dataType, (*real, *whole, T.TimestampType, T.TimestampNTZType))]
+    masks = [marked[i : i + 60] for i in range(0, len(marked), 60)]  # pandas can't tell null numbers: bits say which are
+    bit = lambda m, i: F.col(f"__null{m}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
     ms = F.ceil(F.col(seconds) * 1000).cast("bigint")
-    timed = sdf.withColumn("__ms", ms).withColumn("__time", F.timestamp_millis("__ms")).withWatermark("__time", delay)
-    fields = timed.schema.fieldNames()
-    fold = _EventTimeFold(timed.schema, start, step, extra.fieldNames(), [fields.index(c) for c in order], fields.index("__ms"), fields.index(seconds), expires)
-    out = timed.groupBy(*keys).transformWithState(fold, T.StructType([*timed.schema.fields, *extra.fields]), "Append", "EventTime")
-    return out.select(*sdf.columns, *extra.fieldNames())
+    fill = {f.name: F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)) for f in sdf.schema.fields if isinstance(f.dataType, whole)}
+    bits = [sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(g)), F.lit(0).cast("bigint")) for g in masks]
+    timed = sdf.withColumn("__time", F.timestamp_millis(ms)).withWatermark("__time", delay).select(
+        *[fill.get(c, F.col(c)).alias(c) for c in sdf.columns], *[b.alias(f"__null{m}") for m, b in enumerate(bits)],
+        ms.alias("__ms"), "__time", *[_plain_key(sdf, k).alias(f"__key{i}") for i, k in enumerate(keys)],
+    )
+    at, n = timed.columns.index, len(sdf.columns) + len(masks)
+    nones = [T.StructField(f"__none{i}", T.BooleanType()) for i in range(len(extra.fields))]
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in timed.schema.fields[:n]), *extra.fields, *nones])
+    fold = _EventTimeFold(sdf.columns, n + 1, masks, start, step, out, len(extra.fields), [at(c) for c in order], at("__ms"), at(seconds), expires)
+    done = timed.groupBy(*[f"__key{i}" for i in range(len(keys))]).transformWithStateInPandas(fold, out, "Append", "EventTime")
+
+    def back(f: T.StructField, null: Column) -> Column:
+        value = F.coalesce(F.col(f.name), F.lit(float("nan")).cast(f.dataType)) if isinstance(f.dataType, real) else F.col(f.name)
+        return F.when(~null, value).alias(f.name)
+
+    null = {c: bit(m, i) for m, group in enumerate(masks) for i, c in enumerate(group)}
+    return done.select(
+        *[back(f, null[f.name]) if f.name in null else F.col(f.name) for f in sdf.schema.fields],
+        *[back(f, F.col(f"__none{i}")) for i, f in enumerate(extra.fields)],
+    )
 
 
 def affine_reverse_scan(
