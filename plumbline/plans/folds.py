@@ -131,6 +131,8 @@ class _EventTimeFold(StatefulProcessor):
         new, kept["small"] = kept["small"], []
         first = None
         for frame in rows:
+            if frame.iloc[:, self.ms].isna().any():
+                raise ValueError("a row without event time")
             cols = [frame.iloc[:, i].tolist() for i in range(self.used)]
             first = min(cols[self.ms]) if first is None else min(first, min(cols[self.ms]))
             new.extend(zip(*cols))

@@ -4,6 +4,7 @@ import random
 import uuid
 
 import pandas as pd
+import pytest
 from pyspark.sql import types as T
 
 from plumbline.plans import folds
@@ -69,6 +70,14 @@ def test_a_busy_key_is_merged_block_by_block(spark, monkeypatch):
     assert not fold.blocks.rows and not fold.state.exists() and not handle.timers
 
 
+def test_a_row_without_event_time_is_an_error(spark):
+    out = T._parse_datatype_string("sec double, seq long, __null0 long, n int, __none0 boolean")
+    fold = folds._EventTimeFold(["sec", "seq"], 4, [["seq"]], dict, None, out, 1, [0, 1], 3, 0, lambda st: None)
+    fold.init(handle := Handle())
+    with pytest.raises(ValueError, match="event time"):
+        fold.handleInputRows(("k",), iter([pd.DataFrame([(1.0, 1, 0, 1000.0), (None, 2, 0, None)])]), handle)
+
+
 def test_null_numbers_and_null_keys_come_through(spark, tmp_path):
     schema = "seq long, key long, sec double, success boolean, note string, x double"
     rows = [(2**60 + i, None if i % 3 else 2**55 + i % 2, i + 1.0, None if i % 5 == 0 else i % 2 == 0, None if i % 4 else "n", [None, float("nan"), 1.5][i % 3]) for i in range(30)]
