@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import small_batches, stored
 
 TOKENS, PART, SPREAD, CUT = 4_000_000, 3_000_000, 4096, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -40,6 +40,16 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.frombuffer(b if d == "<u8" else zlib.decompress(b), d) for d, b in pickle.loads(blob)]
 
 
+def _planes(numbers: np.ndarray) -> list[np.ndarray]:
+    """Numbers below 2^32 byte by byte: the high bytes deflate to nothing."""
+    code = numbers.astype(np.uint32, copy=False)
+    return [((code >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8) for k in range(4)]
+
+
+def _joined(planes: list[np.ndarray]) -> np.ndarray:
+    return sum(p.astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
+
+
 def discounts(counts_of: np.ndarray) -> np.ndarray:
     """d(0..CUT) from the numbers of n-grams seen 1..CUT+1 times: Katz's formula, or (r - 1/2) / r where it is undefined.
 
@@ -78,10 +88,9 @@ def code_chunks(docs: DataFrame) -> DataFrame:
         number = np.empty(len(vocab), np.uint32)
         number[rank] = np.arange(len(vocab), dtype=np.uint32)
         code = number[at]
-        planes = [((code >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8) for k in range(4)]
         train = np.bincount(at[np.repeat(~np.array(held), sizes)], minlength=len(vocab)).astype(np.int32)
         kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        row = (uuid.uuid4().hex, len(flat), ids, held, sizes, _pack(*planes, rank.astype(np.int32)), _pack(vocab, train))
+        row = (uuid.uuid4().hex, len(flat), ids, held, sizes, _pack(*_planes(code), rank.astype(np.int32)), _pack(vocab, train))
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["chunk", "n_tokens", "ids", "held", "sizes", "tokens", "vocab"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +118,22 @@ def _rows(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, schema.split(", "))], names=names)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row; a batch is let go before its last row is worked on."""
+    for batch in batches:
+        rows = batch.to_pylist()[::-1]
+        del batch
+        while rows:
+            yield rows.pop()
+
+
 def _send(df: DataFrame, split, parts: int) -> DataFrame:
     """(part, chunk, blob) from `split(row) -> iterator of (part, blob)`."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                for p, blob in split(row):
-                    yield _rows("part int, chunk string, blob binary", [p], [row["chunk"]], [blob])
+        for row in _each(batches):
+            for p, blob in split(row):
+                yield _rows("part int, chunk string, blob binary", [p], [row["chunk"]], [blob])
 
     return df.mapInArrow(run, "part int, chunk string, blob binary").repartition(parts, "part")
 
@@ -185,22 +202,28 @@ class Coded:
     """A chunk with its words' training counts: tokens, histories and distinct bigrams in sending order."""
 
     def __init__(self, row: dict, parts: int, uni: Unigrams):
-        *planes, rank = _unpack(row["tokens"])
-        code = sum(p.astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
-        vocab, _ = _unpack(row["vocab"])
-        self.count = np.concatenate([_unpack(x["blob"])[0] for x in sorted(row["counts"], key=lambda x: x["part"])])
+        *planes, rank = _unpack(row.pop("tokens"))
+        vocab, _ = _unpack(row.pop("vocab"))
+        self.count = np.concatenate([_unpack(x["blob"])[0] for x in sorted(row.pop("counts"), key=lambda x: x["part"])])
         self.sizes = np.array(row["sizes"])
         self.held = np.array(row["held"], bool)
-        self.token = rank[code].astype(np.int64)
+        self.token = rank[_joined(planes)]
         first = np.cumsum(self.sizes) - self.sizes
         start = len(vocab)
-        history = np.concatenate(([start], self.token[:-1]))
-        history[first] = start
-        pair = history * (start + 1) + self.token
-        self.pairs, self.at = np.unique(pair, return_inverse=True)
+        pair = np.concatenate(([start], self.token[:-1].astype(np.int64)))  # histories first
+        pair[first] = start
+        pair *= start + 1
+        pair += self.token
+        order = np.argsort(pair)  # np.unique with an inverse, in less memory
+        pair = pair[order]
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
+        self.pairs = pair[new]
+        del pair
+        self.at = np.empty(len(order), np.int32)  # a chunk has far fewer than 2^31 tokens
+        self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order, new
         self.mine = np.bincount(self.at[np.repeat(~self.held, self.sizes)], minlength=len(self.pairs)).astype(np.int32)
         self.u, self.w = self.pairs // (start + 1), self.pairs % (start + 1)
-        self.history = history
         self.hash = np.append(vocab, START)
         common = np.append(self.count, (~self.held).sum()) * SPREAD > uni.n
         common[start] = True
@@ -223,21 +246,23 @@ def count_bigrams(chunks: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
         for p, i, head in x.groups():
             runs = np.diff(np.append(head, len(i))).astype(np.int32)
             u = x.u[i][head]
-            yield p, _pack(x.hash[u], x.common[u].astype(np.uint8), runs, x.hash[x.w[i]], x.mine[i], x.count[x.w[i]].astype(np.int64))
+            w, own = np.unique(x.w[i], return_inverse=True)  # a word's hash and count go once per part, its pairs name it by number
+            yield p, _pack(x.hash[u], x.common[u].astype(np.uint8), runs, x.hash[w], x.count[w].astype(np.int64), x.mine[i], *_planes(own))
 
     def meet(part, names, blobs):
         got = [_unpack(b) for b in blobs]
+        got = [(*g[:6], _joined(g[6:])) for g in got]
         u = np.concatenate([np.repeat(g[0], g[2]) for g in got])
-        w = np.concatenate([g[3] for g in got])
+        w = np.concatenate([g[3][g[6]] for g in got])
         order = np.lexsort((w, u))
         su, sw = u[order], w[order]
         new = np.concatenate(([True], (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])))
         at = np.empty(len(u), np.int64)
         at[order] = np.cumsum(new) - 1
-        total = np.bincount(at, np.concatenate([g[4] for g in got])).astype(np.int64)
+        total = np.bincount(at, np.concatenate([g[5] for g in got])).astype(np.int64)
         word = su[new]
         known = np.empty(len(total), np.int64)
-        known[at] = np.concatenate([g[5] for g in got])
+        known[at] = np.concatenate([g[4][g[6]] for g in got])
         words, own = np.unique(word, return_inverse=True)
         seen = total > 0
         hist = np.stack([np.bincount(own, seen & (total == r)) for r in range(1, CUT + 1)]).astype(np.int64)
@@ -245,7 +270,7 @@ def count_bigrams(chunks: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
         q = np.bincount(own, np.where(seen, uni.p(known), 0.0))
         out, a = [], 0
         for g in got:
-            b, k = a + len(g[3]), np.searchsorted(words, g[0])
+            b, k = a + len(g[5]), np.searchsorted(words, g[0])
             out.append(_pack(total[at[a:b]], hist[:, k], tail[k], q[k]))
             a = b
         yield _counted(part, names, out)
@@ -273,35 +298,37 @@ def score_chunks(chunks: DataFrame, parts: int, uni: Unigrams, d: np.ndarray, co
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     sent = chunks.sparkSession.sparkContext.broadcast(common)  # at most SPREAD histories
 
+    def one(row):  # its arrays are gone before the next chunk is opened
+        x = Coded(row, parts, uni)
+        total = np.zeros(len(x.pairs), np.int64)
+        m = len(x.hash)
+        hist, tail, q = np.zeros((CUT, m), np.int64), np.zeros(m, np.int64), np.zeros(m)
+        back = {b["part"]: b["blob"] for b in row.pop("pairs")}
+        for p, i, head in x.groups():
+            t, h, s, v = _unpack(back[p])
+            u = x.u[i][head]
+            total[i], tail[u], q[u] = t, s, v
+            hist[:, u] = h.reshape(CUT, -1)
+        for k in np.flatnonzero(x.common):
+            if (known := sent.value.get(int(x.hash[k]))) is not None:
+                hist[:, k], tail[k], q[k] = known[:CUT], known[CUT], known[CUT + 1]
+        t_u, a_u = backoff(hist, tail, q, d)
+        c = x.count
+        p1 = np.log10(uni.p(c))
+        seen = total > 0
+        pair = np.where(seen, np.log10(np.where(seen, _discounted(total, d), 1.0)) - np.log10(t_u)[x.u], np.log10(np.maximum(a_u, 1e-300))[x.u] + p1[x.w])
+        owner = np.repeat(np.arange(len(x.sizes), dtype=np.int32), x.sizes)
+        n = len(x.sizes)
+        base = np.log10((c + 1) / (uni.n + uni.v + 1))[x.token]
+        cols = [
+            pa.array(row["ids"], pa.int64()), pa.array(x.held), pa.array(x.sizes), pa.array(np.bincount(owner, (c > 0)[x.token], n).astype(np.int64)),
+            pa.array(np.full(n, uni.n)), pa.array(np.bincount(owner, base, n)), pa.array(np.bincount(owner, pair[x.at], n)),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
+
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Coded(row, parts, uni)
-                total = np.zeros(len(x.pairs), np.int64)
-                m = len(x.hash)
-                hist, tail, q = np.zeros((CUT, m), np.int64), np.zeros(m, np.int64), np.zeros(m)
-                back = {b["part"]: b["blob"] for b in row["pairs"]}
-                for p, i, head in x.groups():
-                    t, h, s, v = _unpack(back[p])
-                    u = x.u[i][head]
-                    total[i], tail[u], q[u] = t, s, v
-                    hist[:, u] = h.reshape(CUT, -1)
-                for k in np.flatnonzero(x.common):
-                    if (known := sent.value.get(int(x.hash[k]))) is not None:
-                        hist[:, k], tail[k], q[k] = known[:CUT], known[CUT], known[CUT + 1]
-                t_u, a_u = backoff(hist, tail, q, d)
-                c = x.count
-                p1 = np.log10(uni.p(c))
-                seen = total > 0
-                pair = np.where(seen, np.log10(np.where(seen, _discounted(total, d), 1.0)) - np.log10(t_u)[x.u], np.log10(np.maximum(a_u, 1e-300))[x.u] + p1[x.w])
-                owner = np.repeat(np.arange(len(x.sizes)), x.sizes)
-                n = len(x.sizes)
-                base = np.log10((c[x.token] + 1) / (uni.n + uni.v + 1))
-                cols = [
-                    pa.array(row["ids"], pa.int64()), pa.array(x.held), pa.array(x.sizes), pa.array(np.bincount(owner, c[x.token] > 0, n).astype(np.int64)),
-                    pa.array(np.full(n, uni.n)), pa.array(np.bincount(owner, base, n)), pa.array(np.bincount(owner, pair[x.at], n)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
+        for row in _each(batches):
+            yield one(row)
 
     return chunks.mapInArrow(run, schema)
 
@@ -317,6 +344,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     `held_out` is a boolean column; rows where it isn't true train the model. Null texts count as empty: one end token.
     Without any training row every word is unseen, with probability 1 for the one class. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = stored(code_chunks(base), "katz-chunks")
     parts = max(4, int((chunks.agg(F.sum("n_tokens")).first()[0] or 0) // PART + 1))

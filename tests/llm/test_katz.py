@@ -73,3 +73,20 @@ def test_no_training_rows_and_empty_table(spark):
     r = katz_scores(one, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
     assert katz_scores(spark.createDataFrame([], SCHEMA), F.lit(False)).count() == 0
+
+
+def test_a_batch_is_let_go_before_its_rows_are_worked_on():
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.llm import katz
+
+    batches = [pa.RecordBatch.from_pydict({"a": [1, 2, 3]})]
+    first = weakref.ref(batches[0])
+    rows = katz._each(batches.pop() for _ in range(1))
+    assert next(rows)["a"] == 1 and first() is None
+    assert [r["a"] for r in rows] == [2, 3]
+    numbers = np.array([0, 255, 256, 70_000, 2**32 - 1])
+    assert (katz._joined(katz._planes(numbers)) == numbers).all()
