@@ -1,6 +1,6 @@
 import numpy as np
 
-from plumbline.llm.jaccard import allowed, distance, drop_near_copies, shingles, signatures, sketch, similar_groups
+from plumbline.llm.jaccard import _open_pairs, allowed, distance, drop_near_copies, folded, shingles, signatures, sketch, similar_groups
 
 SCHEMA = "doc_id long, text string, sketch string, n int"
 NONE = np.zeros(0, np.uint64)
@@ -110,3 +110,29 @@ def test_open_pairs_tell_long_texts_apart(spark):
     sets = J._profiles(spark.createDataFrame(texts, "id long, text string"), np.zeros(0, np.uint64))
     rows = sets.select(F.lit(1).cast("long").alias("sig"), "id", F.col("id").alias("comp"), "n", "fold")
     assert [(r.x, r.y) for r in J._open_pairs(rows).collect()] == [(0, 20)]
+
+
+def test_open_pairs_are_compared_in_compiled_code(spark):
+    """Unlike sets on one signature: the pairs found by plain counting, in a method that the JVM compiles (8000 bytes at most)."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - i % 9], rng.integers(1, 1 << 62, i % 5, dtype=np.uint64)])) for i in range(20)]
+    sets += [rng.integers(1, 1 << 62, 58, dtype=np.uint64) for _ in range(20)]
+    rows = [(7, i, i, len(s), folded(s).tolist()) for i, s in enumerate(sets)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = _open_pairs(spark.createDataFrame(rows, "sig long, id long, comp long, n long, fold array<long>"))
+        code = pairs._jdf.queryExecution().debug().codegenToSeq()
+        got = sorted(map(tuple, pairs.collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+
+    def close(a, b):
+        apart = int(np.bitwise_count((folded(a) ^ folded(b)).view(np.uint64)).sum())
+        return 100 * min(len(a), len(b)) >= 75 * max(len(a), len(b)) and 7 * apart <= len(a) + len(b)
+
+    assert got == [(i, j) for i in range(40) for j in range(i + 1, 40) if close(sets[i], sets[j])] and len(got) > 20
