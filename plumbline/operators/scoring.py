@@ -14,7 +14,7 @@ from plumbline.functions import vectors as V
 from plumbline.plans.graphs import connected_components
 from plumbline.plans.ordering import first_per_key
 from plumbline.plans.runtime import checkpointed
-from plumbline.plans.similarity import pairs_within
+from plumbline.plans.similarity import core_links, weights_within
 
 # Word and phrase lists of the scorers.
 STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "to", "of", "and", "in"]
@@ -248,22 +248,17 @@ def density_clusters(df: DataFrame, row_id: str, vec: str, eps: float = 0.3, min
     sig = df.select(row_id, vec).withColumn("__sig", F.md5(F.array_join(F.col(vec), ",")))
     owner = sig.groupBy("__sig").agg(F.min(row_id).alias("p"), F.count(F.lit(1)).alias("w"))
     pts = checkpointed(first_per_key(sig, [F.col("__sig")], [row_id]).join(owner, "__sig").select("p", vec, "w"))
-    near = checkpointed(pairs_within(pts, "p", vec, eps).select("a", "b"))
-    both = near.union(near.select("b", "a"))
-    weights = pts.select(F.col("p").alias("b"), "w")
-    reach = both.join(weights, "b").groupBy(F.col("a").alias("p")).agg(F.sum("w").alias("nw"))
+    held = pts.groupBy("p").agg(F.sum("w").alias("w"))
+    points = pts.where(F.col("p").isNotNull()).select(F.col("p").cast("bigint").alias("id"), "p", V.as_double(F.col(vec)).alias("v"))
+    reach = weights_within(points.join(held, "p").select("id", "v", "w"), eps).withColumnRenamed("id", "p")
     core = checkpointed(
         pts.join(reach, "p", "left").where(F.col("w") + F.coalesce("nw", F.lit(0)) >= min_points).select("p")
     )
-    cc = near.join(core.withColumnRenamed("p", "a"), "a", "left_semi").join(core.withColumnRenamed("p", "b"), "b", "left_semi")
-    comp = connected_components(cc, "a", "b").withColumnRenamed("node", "p")
-    in_core = core.join(comp, "p", "left").select("p", F.coalesce("component", "p").alias("cluster"))
-    border = (
-        both.join(in_core.withColumnRenamed("p", "b"), "b")
-        .join(core.withColumnRenamed("p", "a"), "a", "left_anti")
-        .groupBy(F.col("a").alias("p"))
-        .agg(F.min("cluster").alias("cluster"))
-    )
+    marked = points.join(core.distinct().withColumn("core", F.lit(True)), "p", "left").select("id", "v", F.coalesce("core", F.lit(False)).alias("core"))
+    near = checkpointed(core_links(checkpointed(marked), eps))
+    comp = connected_components(near.where("core"), "a", "b").withColumnRenamed("node", "p")
+    in_core = checkpointed(core.join(comp, "p", "left").select("p", F.coalesce("component", "p").alias("cluster")))
+    border = near.where("not core").join(in_core.withColumnRenamed("p", "b"), "b").groupBy(F.col("a").alias("p")).agg(F.min("cluster").alias("cluster"))
     return sig.join(owner, "__sig").join(in_core.union(border), "p").select(row_id, "cluster")
 
 

@@ -244,28 +244,29 @@ def _in_cells(pts: DataFrame, pivots: np.ndarray) -> DataFrame:
         other = np.where(d <= 1e-6, np.inf, d).min(1) if len(d) else np.zeros(0)
         return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell], "ub": other})
 
-    return pts.withColumn("__c", assign("v")).select("id", "v", "__c.cell", "__c.d", "__c.ub")
+    return pts.withColumn("__c", assign("v")).select(*pts.columns, "__c.cell", "__c.d", "__c.ub")
 
 
-def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kernel, schema: str) -> DataFrame:
+def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kernel, schema: str, block: int = BLOCK) -> DataFrame:
     """Bring each query row (id, v, reach) together with every member it can have within reach.
 
     Members lie in the cell of their nearest pivot. A cell is visited only if its pivot is at
     most reach + cell radius away (triangle inequality). Small cells are packed into bins of up to
-    BLOCK members, so that a query goes out once per bin and not once per cell; large cells are cut into blocks of about
-    BLOCK members, and the visits of a bin into groups of about BLOCK rows, so both sides of a
-    task stay bounded however many rows share a cell. Pairs live only inside a numpy block.
+    `block` members, so that a query goes out once per bin and not once per cell; large cells are cut into blocks of about
+    `block` members, and the visits of a bin into groups of about `block` rows, so both sides of a
+    task stay bounded however many rows share a cell. Pairs live only inside a numpy block. Columns beyond those named
+    go along, as q<name> and m<name>.
     """
     shape = placed.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
     radius = np.full(len(pivots), -np.inf)
     bins, held = np.zeros(len(pivots), dtype="int32"), [0]
     for row in sorted(shape, key=lambda r: r["cell"]):
         radius[row["cell"]] = row["r"]
-        if held[-1] and held[-1] + row["n"] > BLOCK:
+        if held[-1] and held[-1] + row["n"] > block:
             held.append(0)
         bins[row["cell"]] = len(held) - 1
         held[-1] += row["n"]
-    blocks = -(-np.array(held, dtype="int64") // BLOCK)
+    blocks = -(-np.array(held, dtype="int64") // block)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def cells(v: pd.Series, reach: pd.Series) -> pd.Series:
@@ -278,7 +279,7 @@ def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kerne
     counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
     groups = np.ones(len(held), dtype="int64")
     for row in counted:
-        groups[row["cell"]] = -(-row["n"] // BLOCK)
+        groups[row["cell"]] = -(-row["n"] // block)
     n_blocks = F.element_at(F.lit(blocks), F.col("cell") + 1)
     n_groups = F.element_at(F.lit(groups), F.col("cell") + 1)
     own = F.xxhash64("id")
@@ -287,11 +288,12 @@ def _block_join(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, kerne
     # both sides may come from one table, so every column gets a name of its own
     members = placed.select(
         F.col("id").alias("mid"), F.col("v").alias("mv"), F.col("cell").alias("mc"), F.pmod(own, n_blocks).alias("mb"),
-        F.explode(F.sequence(first, n_groups - 1)).alias("mp"),
+        F.explode(F.sequence(first, n_groups - 1)).alias("mp"), *[F.col(c).alias(f"m{c}") for c in placed.columns if c not in ("id", "v", "cell", "d", "ub")],
     )
     asked = visits.select(
         F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("cell").alias("qc"),
         F.explode(F.sequence(first, n_blocks - 1)).alias("qb"), F.pmod(own, n_groups).alias("qp"),
+        *[F.col(c).alias(f"q{c}") for c in queries.columns if c not in ("id", "v", "reach", "cell")],
     )
     return asked.groupBy("qc", "qb", "qp").cogroup(members.groupBy("mc", "mb", "mp")).applyInPandas(kernel, schema)
 
@@ -321,6 +323,98 @@ def pairs_within(df: DataFrame, row_id: str, vec: str, radius: float) -> DataFra
     return _block_join(placed, queries, pivots, kernel, "a bigint, b bigint, dist double")
 
 
+def _near_chunks(q: pd.DataFrame, m: pd.DataFrame, radius: float):
+    """(first row, boolean matrix) per chunk of `q`: members within `radius` under another id. Distances near the radius
+    are taken again without cancellation."""
+    if q.empty or m.empty:
+        return
+    x, y = _matrix(q["qv"]), _matrix(m["mv"])
+    ids, other = q["qid"].to_numpy(), m["mid"].to_numpy()
+    order = np.argsort(other, kind="stable")
+    lo, hi = (np.searchsorted(other[order], ids, side) for side in ("left", "right"))
+    sx, sy = (x * x).sum(1), (y * y).sum(1)
+    slack = 1e-12 * sum(s[np.isfinite(s)].max(initial=0.0) for s in (sx, sy)) + 2e-6 * radius + 1e-12
+    step = max(1, CHUNK * BLOCK // len(y))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        sq = sx[at : at + step, None] + sy[None, :] - 2.0 * (part @ y.T)
+        near = sq <= radius * radius + slack
+        i, j = np.nonzero(near & (sq >= radius * radius - slack))
+        for k in range(0, len(i), BLOCK):
+            a, b = i[k : k + BLOCK], j[k : k + BLOCK]
+            near[a, b] = _exact(part[a], y[b]) <= radius
+        for row in range(at, at + len(part)):
+            near[row - at, order[lo[row] : hi[row]]] = False
+        yield at, near
+
+
+def _block_rows(pts: DataFrame) -> int:
+    """Rows of a block that gives off few rows: a sixth of the points, so that a point travels no more often with more of them, up to
+    64 MB of vectors; beyond that the copies of a point grow with the points."""
+    n, dim = pts.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    return max(1024, min(n // 6, (64 << 20) // (8 * max(dim, 1))))
+
+
+def weights_within(pts: DataFrame, radius: float) -> DataFrame:
+    """(id, nw) per id of points (id, v, w) that has others at distance <= radius: their summed w. No pair leaves a block."""
+
+    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        nw, w = np.zeros(len(q), dtype="int64"), m["mw"].to_numpy(dtype="int64")
+        heavy = np.flatnonzero(w != 1)
+        for at, near in _near_chunks(q, m, radius):
+            nw[at : at + len(near)] = np.count_nonzero(near, axis=1) + near[:, heavy] @ (w[heavy] - 1)
+        return pd.DataFrame({"id": q["qid"].to_numpy(dtype="int64"), "nw": nw})[nw > 0]
+
+    pivots, queries = _pivots(pts), pts.select("id", "v", F.lit(float(radius)).alias("reach"))
+    found = _block_join(_in_cells(pts, pivots), queries, pivots, kernel, "id bigint, nw bigint", _block_rows(pts))
+    return found.groupBy("id").agg(F.sum("nw").alias("nw"))
+
+
+def core_links(pts: DataFrame, radius: float) -> DataFrame:
+    """(a, b, core): links among points (id, v, core) at distance <= radius that connect what all such pairs connect.
+
+    A block gives off a spanning forest of its core points (core is true), and for any other point `a` one core point `b` of each tree
+    that it touches, so the rows follow the points and not the pairs.
+    """
+
+    def kernel(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        other, tree, out = m["mid"].to_numpy(), np.arange(len(m)), []
+        for core in (True, False):
+            rows = q[q["qcore"].to_numpy(dtype=bool) == core]
+            ids = rows["qid"].to_numpy()
+            for at, near in _near_chunks(rows, m, radius):
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                root = tree[j]
+                if not core:
+                    row, root = divmod(np.unique(i * len(m) + root), len(m))
+                    out.append((ids[at + row], other[root], core))
+                    continue
+                start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+                low = np.minimum.reduceat(root, start)
+                out.append((ids[at + i[start]], other[low], core))
+                low = np.repeat(low, np.diff(np.append(start, len(i))))
+                apart = root != low
+                for a, b in zip(*(x.tolist() for x in divmod(np.unique(root[apart] * len(m) + low[apart]), len(m)))):
+                    while tree[a] != a:
+                        a = tree[a]
+                    while tree[b] != b:
+                        b = tree[b]
+                    tree[max(a, b)] = min(a, b)
+                while not np.array_equal(tree, up := tree[tree]):
+                    tree = up
+        cut = np.flatnonzero(tree != np.arange(len(tree)))
+        out.append((other[cut], other[tree[cut]], True))
+        kinds = {"a": "int64", "b": "int64", "core": "bool"}
+        return pd.concat([pd.DataFrame({"a": a, "b": b, "core": c}).astype(kinds) for a, b, c in out], ignore_index=True)
+
+    pivots = _pivots(pts)
+    members = _in_cells(pts.where("core").select("id", "v"), pivots)
+    queries = pts.select("id", "v", "core", F.lit(float(radius)).alias("reach"))
+    return _block_join(members, queries, pivots, kernel, "a bigint, b bigint, core boolean", _block_rows(pts))
+
+
 def nearest_other(df: DataFrame, row_id: str, vec: str) -> DataFrame:
     """(row_id, neighbour, dist) to the nearest other row, exact; ties go to the smaller id.
 
