@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +34,6 @@ def token_f1(df: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
     return d.agg(mean(p).alias("precision"), mean(r).alias("recall"), mean(f).alias("f1"))
 
 
-def tagged_grams(ws: Column, orders: list[int]) -> Column:
-    """All n-grams of the given orders as struct(n, g)."""
-
-    def tag(n: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
-
-    return X.let(ws, lambda w: F.flatten(F.array(*[F.transform(X.ngrams(w, n), tag(n)) for n in orders])))
-
-
 def gram_bag(ws: Column, n: int) -> Column:
     """The n-grams of an array of words as a set: each with the number of its occurrence.
 
@@ -164,17 +159,75 @@ def perplexity(df: DataFrame, loglik: str, length: str) -> DataFrame:
     return s.select(F.when(F.coalesce("n", F.lit(0)) == 0, inf).otherwise(F.exp(-F.col("l") / F.col("n"))).alias("perplexity"))
 
 
+# Buckets of grams (a task holds one bucket at a time) and the bytes of text whose grams are made distinct in one go.
+GRAM_BUCKETS = 1024
+GRAM_CHUNK = 32 << 20
+
+
+def _text(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
+def _bucketed_grams(docs: list[pa.Array]) -> pa.RecordBatch:
+    """Distinct 1- and 2-grams of the documents' words: one row per bucket, grams joined by a line break, which no word holds.
+
+    The first row has the numbers of all occurrences. A gram's bucket depends on its words alone.
+    """
+    ends = np.cumsum([len(d) for d in docs])
+    coded = pa.concat_arrays(docs).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    hashed = np.fromiter((zlib.crc32(w.as_buffer()) for w in words.cast(pa.large_binary())), np.uint64, len(words))
+    joins = np.ones(max(len(code) - 1, 0), bool)  # neighbours in one document
+    joins[ends[:-1] - 1] = False
+    pairs = (code[:-1] * len(words) + code[1:])[joins]
+    first, second = np.divmod(pc.unique(pa.array(pairs)).to_numpy(), max(len(words), 1))
+    mixed = hashed[first] * np.uint64(0x9E3779B97F4A7C15) + hashed[second] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def joined(bucket: np.ndarray, grams: Callable[[np.ndarray], pa.Array]) -> pa.Array:
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        starts = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=GRAM_BUCKETS))))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), grams(order)), _text("\n"))
+
+    of_two = lambda at: pc.binary_join_element_wise(words.take(pa.array(first[at])), words.take(pa.array(second[at])), _text(" "))
+    once = np.arange(GRAM_BUCKETS) == 0
+    return pa.record_batch({
+        "bucket": pa.array(np.arange(GRAM_BUCKETS, dtype=np.int32)),
+        "g1": joined(hashed % GRAM_BUCKETS, lambda at: words.take(pa.array(at))), "g2": joined((mixed >> np.uint64(32)) % GRAM_BUCKETS, of_two),
+        "t1": pa.array(once * len(code)), "t2": pa.array(once * len(pairs)),
+    })
+
+
+def _grams_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs, held = [], 0
+    for b in batches:
+        for t in b.column(0).cast(pa.binary()):
+            if t.is_valid and (words := t.as_py().decode("utf-8", "replace").split()):
+                docs.append(pa.array(words, pa.large_string()))
+                if (held := held + len(t.as_buffer())) >= GRAM_CHUNK:
+                    yield _bucketed_grams(docs)
+                    docs, held = [], 0
+    if docs:
+        yield _bucketed_grams(docs)
+
+
+def _distinct_in_bucket(t: pa.Table) -> pa.Table:
+    sums = {f"t{n}": [pc.sum(t[f"t{n}"]).as_py()] for n in (1, 2)}
+    for n in (1, 2):
+        grams = t[f"g{n}"].cast(pa.large_string())
+        grams = grams.filter(pc.not_equal(grams, _text("")))
+        sums[f"u{n}"] = [len(pc.list_flatten(pc.split_pattern(grams, "\n")).unique())]
+    return pa.table(sums, pa.schema([(c, pa.int64()) for c in ("u1", "t1", "u2", "t2")]))
+
+
 def distinct_n(df: DataFrame, text: str) -> DataFrame:
-    """Corpus distinct-1 and distinct-2. Grams are counted first, so copies combine early."""
-    w = df.select(X.words(text).alias("w"))
-    grams = tagged_grams(F.col("w"), [1, 2])
-    c = w.select(F.explode(grams).alias("x")).groupBy("x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
-    s = c.groupBy("n").agg(F.count(F.lit(1)).alias("u"), F.sum("c").alias("t"))
-    pick = lambda n, k: F.coalesce(F.max(F.when(F.col("n") == n, F.col(k))), F.lit(0))
-    return s.agg(
-        (pick(1, "u") / F.greatest(pick(1, "t"), F.lit(1))).alias("distinct_1"),
-        (pick(2, "u") / F.greatest(pick(2, "t"), F.lit(1))).alias("distinct_2"),
-        pick(1, "u").alias("unique_unigrams"), pick(2, "u").alias("unique_bigrams"),
+    """Corpus distinct-1 and distinct-2, exact. Tasks make the grams of many texts distinct in Arrow arrays and deal them out by
+    bucket as few long strings; a bucket then counts its distinct grams."""
+    made = df.select(F.col(text).cast("string")).mapInArrow(_grams_in_buckets, "bucket int, g1 string, g2 string, t1 long, t2 long")
+    s = made.groupBy("bucket").applyInArrow(_distinct_in_bucket, "u1 long, t1 long, u2 long, t2 long")
+    s = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in s.columns])
+    return s.select(
+        *[(F.col(f"u{n}") / F.greatest(f"t{n}", F.lit(1))).alias(f"distinct_{n}") for n in (1, 2)],
+        F.col("u1").alias("unique_unigrams"), F.col("u2").alias("unique_bigrams"),
     )
 
 

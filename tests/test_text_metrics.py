@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,25 @@ def test_no_gram_is_shuffled(spark):
     for out in (M.bleu(df), M.rouge_n(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "hashpartitioning" not in plan
+
+
+def test_distinct_grams_are_dealt_out_in_buckets(spark, monkeypatch):
+    rng = random.Random(9)
+    some = ["\u2003".join(rng.choice("a b é ï c\x00 dd ü-x 1".split(" ")) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", " \x1c\n", "one"]
+    want = {n: grams("", n) for n in (1, 2)}
+    for t in some:
+        for n in want:
+            want[n] += grams(t, n)
+    df = spark.createDataFrame([(t,) for t in some], "text string").repartition(5)
+    got = M.distinct_n(df, "text")
+    u, t = ({n: f(want[n]) for n in want} for f in (len, lambda c: sum(c.values())))
+    assert [tuple(r) for r in got.collect()] == [(u[1] / t[1], u[2] / t[2], u[1], u[2])]
+    assert got.dtypes == [("distinct_1", "double"), ("distinct_2", "double"), ("unique_unigrams", "bigint"), ("unique_bigrams", "bigint")]
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no gram is a row of its own
+    assert [tuple(r) for r in M.distinct_n(df.where("text is null"), "text").collect()] == [(0.0, 0.0, 0, 0)]
+    # many chunks in one task: a gram keeps its bucket
+    monkeypatch.setattr(M, "GRAM_CHUNK", 200)
+    made = pa.Table.from_batches(M._grams_in_buckets([pa.record_batch({"text": some[:100]}), pa.record_batch({"text": some[100:]})]))
+    assert made.num_rows > 20 * M.GRAM_BUCKETS
+    parts = [M._distinct_in_bucket(made.filter(pc.equal(made["bucket"], k))).to_pylist()[0] for k in range(M.GRAM_BUCKETS)]
+    assert {c: sum(p[c] for p in parts) for c in parts[0]} == {"u1": u[1], "t1": t[1], "u2": u[2], "t2": t[2]}
