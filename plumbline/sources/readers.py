@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# File suffixes.
+from plumbline.sources import checksums as CS
+
+# File suffixes; those of Hadoop's codecs.
 SUFFIXES = {".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd|lzo|lzo_deflate|xz|br|z)$"
 BAD_RECORD = "_corrupt_record"
 
 
@@ -85,11 +88,26 @@ def load(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
 
 def object_inventory(spark: SparkSession, path: str, prefix: str = "", max_results: int | None = None, checksum: bool = True) -> DataFrame:
     """Name, size, modification time and md5 of the files below a path; side-car metadata is left out.
-    Without a checksum the contents are not read."""
+    Without a checksum the contents are not read. With it, files beyond `HASH_PART` are hashed in parts (those whose suffix
+    names a codec excepted: Spark's splittable reader would unpack them)."""
     base = f"{path.rstrip('/')}/{prefix}".rstrip("/")
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     cols = [F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
-    if checksum:
-        cols.append(F.md5("content").alias("md5"))
-    out = r.where(~F.col("path").endswith(".meta.json")).select(*cols)
+    r = r.where(~F.col("path").endswith(".meta.json"))
+    if not checksum:
+        out = r.select(*cols)
+    else:
+        # file metadata, unlike columns, keeps files from being read
+        size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path")
+        large = (size > CS.HASH_PART) & ~F.lower(file).rlike(PACKED) & ~file.endswith(".meta.json")
+        files = r.where(large).select(file.alias("file"), "length")
+        longest, count = files.agg(F.max("length"), F.count(F.lit(1))).first()
+        if not count or CS.openssl() is None:
+            out = r.select(*cols, F.md5("content").alias("md5"))
+        else:
+            text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(base).where(large)
+            lines = text.select(file.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("content"))
+            sums = CS.large_md5(lines, files, longest, count)
+            out = r.where(~large).select(*cols, F.md5("content").alias("md5"))
+            out = out.unionByName(r.where(large).select(*cols, file.alias("file")).join(sums, "file").drop("file"))
     return out if max_results is None else out.orderBy("path").limit(max_results)

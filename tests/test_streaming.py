@@ -132,6 +132,39 @@ def test_inventory_and_reports(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "prom")).collect()] == ["a", "b"]
 
 
+@pytest.mark.parametrize("split", ["1000", "7001"])
+def test_large_files_are_hashed_in_parts(spark, tmp_path, monkeypatch, split):
+    import hashlib
+    import random
+
+    from plumbline.sources import checksums as CS
+
+    rng = random.Random(4)
+    noise = lambda n: bytes(rng.choice(b"\n\r\x00\xff\xfeab\xef\xbb\xbf") for _ in range(n))
+    whole = {
+        "a b.bin": noise(40_000), "mark.bin": CS.MARK + noise(9_000) + b"x", "mark_break.bin": CS.MARK + noise(9_000) + b"\n", "breaks.bin": b"\n" * 9_001,
+        "one_line.bin": b"y" * 30_000, "no_last.bin": noise(20_000) + b"z", "part.bin": noise(4_096), "small%20.bin": noise(100),
+        "packed.gz": noise(9_000), "w.bin.meta.json": noise(9_000), "crlf.txt": b"a\r\nb\r\n" * 2_000,
+    }
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, b in whole.items():
+        (tmp_path / "in" / "deep" / name).write_bytes(b)
+    del whole["w.bin.meta.json"]
+    monkeypatch.setattr(CS, "HASH_PART", 4096)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        # a row never holds a file beyond the part size, but for packed ones
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "9000")
+        inv = R.object_inventory(spark, str(tmp_path / "in"))
+        got = {r["name"]: (r["size_bytes"], r["md5"]) for r in inv.collect()}
+        plain = R.object_inventory(spark, str(tmp_path / "in"), checksum=False).columns
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {k: (len(b), hashlib.md5(b).hexdigest()) for k, b in whole.items()} and inv.columns == [*plain, "md5"]
+
+
 def test_partition_refresh_keeps_other_days(spark, tmp_path):
     from plumbline.operators.sqlviews import refresh_partitions
 
