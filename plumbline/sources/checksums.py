@@ -7,13 +7,15 @@ import ctypes.util
 import hashlib
 import sys
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.runtime import checkpointed, scratch_path
+from plumbline.plans.runtime import scratch_path, stored
 
 # Bytes of a file that one task hashes, about; the mark that Hadoop's line reader leaves out at the start of a file.
 HASH_PART = 128 << 20
@@ -61,10 +63,14 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines of each split put together again, numbered; every line gets a break, also a last one that had none."""
     last, seq = None, 0
     for b in batches:
-        for at, lines in groupby(zip(*(b.column(c).to_pylist() for c in ("file", "start", "content"))), lambda r: r[:2]):
+        files, starts = b.column("file").dictionary_encode(), b.column("start").to_numpy()
+        lines = b.column("content").cast(pa.large_binary())
+        turns = np.flatnonzero(np.diff(files.indices.to_numpy()) | np.diff(starts)) + 1
+        for i, j in pairwise([0, *turns.tolist(), b.num_rows] if b.num_rows else []):
+            at = (files[i].as_py(), int(starts[i]))
             last, seq = at, seq + 1 if at == last else 0
-            content = b"".join(x for line in lines for x in (line[2], b"\n"))
-            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((*at, seq, content), _PIECE)], schema=_PIECE)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), lines[i:j]), pa.scalar(b"\n", pa.large_binary()))
+            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((*at, seq, joined[0].as_py() + b"\n"), _PIECE)], schema=_PIECE)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +113,10 @@ def large_md5(lines: DataFrame, files: DataFrame, longest: int, count: int) -> D
     pieces.withColumn("part", F.floor(F.col("start") / HASH_PART).cast("int")).write.partitionBy("part").parquet(path)
     kept = spark.read.schema(f"{PIECE}, held long, part int").parquet(path)
     states = files.join(kept.groupBy("file").agg(F.sum("held").alias("held")), "file", "left")
-    states = checkpointed(states.selectExpr("file", "length", "held", "0L AS fed", "CAST(NULL AS binary) AS state", "CAST(NULL AS string) AS md5"))
+    states = stored(states.selectExpr("file", "length", "held", "0L AS fed", "CAST(NULL AS binary) AS state", "CAST(NULL AS string) AS md5"), "file-states")
     for part in range((longest - 1) // HASH_PART + 1):
         rows = states.withColumn("start", F.lit(-1)).unionByName(kept.where(F.col("part") == part).drop("part", "held"), allowMissingColumns=True)
         dealt = rows.repartition(4 * count, "file").sortWithinPartitions("file", "start", "seq")
-        states = checkpointed(dealt.mapInArrow(_hashed, STATE))
+        states = stored(dealt.mapInArrow(_hashed, STATE), "file-states")
     broken = F.raise_error(F.concat(F.lit("read other bytes than the file's length says: "), "file"))
     return states.select("file", F.coalesce("md5", broken).alias("md5"))
