@@ -161,7 +161,7 @@ def perplexity(df: DataFrame, loglik: str, length: str) -> DataFrame:
 
 # Buckets of grams (a task holds one bucket at a time) and the bytes of text whose grams are made distinct in one go.
 GRAM_BUCKETS = 1024
-GRAM_CHUNK = 32 << 20
+GRAM_CHUNK = 8 << 20
 
 
 def _text(s: str) -> pa.Scalar:
