@@ -147,11 +147,10 @@ def _(spark, d):
 SELECT node, min(c) AS component FROM r GROUP BY node""",
 )
 def _(spark, d):
-    """Components of near-copy documents: each row is linked to the row that displaced it."""
+    """Components of near-copy documents over all pairs above the threshold."""
     from plumbline.plans.graphs import connected_components
 
-    lead = DD.fuzzy_leaders(docs(spark, d), "doc_id", "text").where("doc_id <> leader")
-    return connected_components(lead, "doc_id", "leader")
+    return connected_components(DD.fuzzy_links(docs(spark, d), "doc_id", "text"), "a", "b")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Keep-first deduplication: exact, by digest, by word-set similarity."""
+"""Keep-first deduplication: exact, by digest, by word-set similarity; links of near copies."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.plans.ordering import first_per_key
-from plumbline.plans.similarity import similar_leaders
+from plumbline.plans.similarity import similar_leaders, similar_links
 
 
 def dedup_exact(df: DataFrame, fields: Sequence[str], order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -31,6 +31,12 @@ def fuzzy_leaders(df: DataFrame, row_id: str, text: str, threshold: float = 0.9)
     return similar_leaders(t, row_id, "__t", threshold)
 
 
+def fuzzy_links(df: DataFrame, row_id: str, text: str, threshold: float = 0.9) -> DataFrame:
+    """(a, b): links that connect all rows whose word sets are more similar than the threshold, dropped rows included."""
+    t = df.select(row_id, X.word_set(text).alias("__t"))
+    return similar_links(t, row_id, "__t", threshold)
+
+
 def dedup_fuzzy(df: DataFrame, row_id: str, text: str, threshold: float = 0.9) -> DataFrame:
     """Drop a row when its word set is more similar than the threshold to an earlier kept row."""
     lead = fuzzy_leaders(df, row_id, text, threshold)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions import vectors as V
+from plumbline.plans.graphs import connected_components
 from plumbline.plans.ordering import first_per_key
 from plumbline.plans.runtime import checkpointed, stored
 
@@ -21,6 +22,9 @@ SMALL_BUCKET = 64
 FIRST_BLOCK, BLOCK_GROWTH = 4, 4  # undecided rows of a crowded place that others are compared with in round one; growth per round
 SKETCH, BAND, PART = 512, 1.5, 2048  # bits of a sketch; largest by smallest size of a band; rows of a numpy step
 LEAST_BLOCKED = 0.7  # below this threshold blocks are too small to tell sets apart
+STAR_ROUNDS, ENOUGH = 8, 16  # rounds of one partner a row; a round that links fewer than one row in so many is the last
+WIDE, LARGE = 4096, 1024  # bits of the second sketch that sets of at least so many tokens have, as they fill up the first
+MEETING = 2048  # rows of a crowded place that meet under one join key
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,16 +43,8 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     round: a large group of near copies collapses in linear work, and k unlike rows at one place
     take log k rounds. `leader` is the earliest kept row among those compared.
     """
-    base = df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t"))
-    # the sets are read several times below, the text they come from only here
-    signed = stored(base.withColumn("sig", F.md5(F.array_join(F.sort_array("t"), "\u0001"))), "sets")
+    signed, reps, sized = _places(df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t")), threshold)
     owner = signed.groupBy("sig").agg(F.min("id").alias("rep"))
-    hashed = signed.select("id", "sig", F.size("t").alias("n"), F.transform("t", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
-    # only small profiles move from here on; tokens follow for the pairs that a sketch can't tell apart
-    reps = stored(first_per_key(_profiles(hashed, threshold), [F.col("sig")], ["id"]), "set-profiles")
-    posts = _prefix_posts(hashed, reps, threshold) if threshold < LEAST_BLOCKED else reps.select("id", F.explode("blocks").alias("tok"))
-    size = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    sized = stored(posts.join(size, "tok"), "set-posts")
     small = sized.where(F.col("k") <= SMALL_BUCKET).select("id", "tok")
     hot = sized.where(F.col("k") > SMALL_BUCKET).select("id", "tok")
     pairs = (
@@ -88,6 +84,83 @@ def similar_leaders(df: DataFrame, row_id: str, tokens: str, threshold: float) -
     return out.select(F.col("id").alias(row_id), "leader")
 
 
+def similar_links(df: DataFrame, row_id: str, tokens: str, threshold: float) -> DataFrame:
+    """(a, b): rows whose token sets are more similar than `threshold` (below 1), enough of these links to connect
+    whatever all such pairs connect, kept rows or not.
+
+    Empty sets are like nothing, rows without an id take no part, and rows of one id are one node. Identical sets are linked to their
+    first row. Others meet at the places of `similar_leaders`. In rounds, a row is compared with one row of another
+    component, the head it meets at most places, so a group of near copies falls together in linear work. What is still apart
+    is compared pair by pair wherever it meets, sizes and sketches first, so no pair above the threshold is missed.
+    """
+    base = df.select(F.col(row_id).alias("id"), F.col(tokens).alias("t")).where(F.col("id").isNotNull())
+    signed, reps, sized = _places(base, threshold)
+    some = signed.where(F.size("t") > 0).select("id", "sig")
+    first = some.groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("sig", "rep")
+    links = some.join(first, "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    rows = _open_places(sized.select("tok", "id", F.col("id").alias("comp")), 0)
+    for turn in range(1, STAR_ROUNDS + 1):
+        met = rows.where("comp <> of").groupBy("id", "head").agg(F.count(F.lit(1)).alias("c"), F.max("comp").alias("comp"), F.max("of").alias("of"))
+        most = F.shiftleft("c", 32) + F.shiftrightunsigned(F.xxhash64("head", F.lit(turn - 1)), 32)
+        star = met.groupBy("id").agg(*[F.max_by(c, most).alias(c) for c in ("head", "comp", "of")])
+        star = stored(star, "set-star")
+        found = stored(_verified(star.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, signed, threshold), "set-links")
+        links = links.union(found)
+        asked, linked = star.count(), found.select("a").distinct().count()
+        if linked:
+            ends = found.select(F.col("a").alias("id")).join(star, "id").select("comp", "of")
+            label = connected_components(ends, "comp", "of").select(F.col("node").alias("comp"), "component")
+            rows = rows.join(label, "comp", "left").select("tok", "id", F.coalesce("component", "comp").alias("comp"))
+            rows = _open_places(rows, turn)
+        if linked * ENOUGH <= asked:
+            break
+    return links.union(stored(_verified(_apart_pairs(rows, reps, threshold), reps, signed, threshold), "set-links"))
+
+
+def _open_places(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows (tok, id, comp) of the places that more than one component meets at, with a head of the place, its component `of`, and
+    the number `k` of rows there. The head is the same at all places that the same rows share."""
+    by = F.xxhash64("id", F.lit(turn))
+    head = [F.max_by("id", by).alias("head"), F.max_by("comp", by).alias("of"), F.count(F.lit(1)).alias("k")]
+    place = rows.groupBy("tok").agg(*head, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return stored(rows.join(place.drop("low", "high"), "tok"), "set-open")
+
+
+def _apart_pairs(rows: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet and whose sizes and sketches allow a similarity above the threshold.
+
+    A crowded place is cut into blocks of about `MEETING` rows and its pairs of blocks are spread over tasks.
+    """
+    lanes = [f"f{i}" for i in range(SKETCH // 64)]
+    blocks = F.ceil(F.col("k") / MEETING)
+    sets = reps.select("id", "n", *[F.coalesce(F.get("sketch", F.lit(i)), F.lit(0)).alias(f) for i, f in enumerate(lanes)])
+    own = F.pmod(F.xxhash64("id"), blocks)
+    full = stored(rows.select("tok", "id", "comp", own.alias("own"), blocks.alias("blocks")).join(sets, "id"), "set-apart")
+    spans = {"x": (F.col("own"), F.explode(F.sequence("own", F.col("blocks") - 1))), "y": (F.explode(F.sequence(F.lit(0).cast("bigint"), "own")), F.col("own"))}
+    sides = [
+        full.select("tok", lo.alias("lo"), hi.alias("hi"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", *lanes)])
+        for s, (lo, hi) in spans.items()
+    ]
+    fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * F.lit(threshold) - 1e-9
+    apart = sum((F.bit_count(F.col(f"{f}_x").bitwiseXOR(F.col(f"{f}_y"))) for f in lanes), F.lit(0))
+    near = fits & (apart <= _most_apart(F.col("n_x") + F.col("n_y"), threshold))
+    once = (F.col("lo") < F.col("hi")) | (F.col("id_x") < F.col("id_y"))
+    met = sides[0].join(sides[1], ["tok", "lo", "hi"]).where(once & (F.col("comp_x") != F.col("comp_y")) & near)
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _places(base: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the digest `sig` of their set, profiles of distinct sets that are not empty, places (tok, id, k) where k > 1 of these meet)."""
+    # the sets are read several times later on, the text they come from only here
+    signed = stored(base.withColumn("sig", F.md5(F.array_join(F.sort_array("t"), "\u0001"))), "sets")
+    hashed = signed.select("id", "sig", F.size("t").alias("n"), F.transform("t", lambda w: F.xxhash64(w)).alias("h")).where("n > 0")
+    # only small profiles move from here on; tokens follow for the pairs that a sketch can't tell apart
+    reps = stored(first_per_key(_profiles(hashed, threshold), [F.col("sig")], ["id"]), "set-profiles")
+    posts = _prefix_posts(hashed, reps, threshold) if threshold < LEAST_BLOCKED else reps.select("id", F.explode("blocks").alias("tok"))
+    size = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return signed, reps, stored(posts.join(size, "tok"), "set-posts")
+
+
 def _keep_first(todo: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) ids that the links (a < b) known so far decide.
 
@@ -114,7 +187,7 @@ def _most_apart(size_sum, threshold: float):
 
 
 def _profiles(hashed: DataFrame, threshold: float) -> DataFrame:
-    """Rows (id, sig, n, h) to (id, sig, n, sketch, blocks): parity sketch of `SKETCH` bits, block sums.
+    """Rows (id, sig, n, h) to (id, sig, n, sketch, wide, blocks): parity sketches of `SKETCH` and (large sets, else none) `WIDE` bits, block sums.
 
     Sets above the threshold differ in at most k tokens. Tokens are dealt by hash over k + 1 blocks, so one block at
     least holds the same tokens in both; each block's sum of hashes is a place to meet. k depends on the size, so blocks
@@ -122,20 +195,32 @@ def _profiles(hashed: DataFrame, threshold: float) -> DataFrame:
     """
     ratio = max(BAND, 1.0 / threshold if threshold > 0 else 2.0)
     fields = [f for f in hashed.schema.fields if f.name in ("id", "sig", "n")]
-    more = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "blocks")]
+    more = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "wide", "blocks")]
 
     def mix(x: np.ndarray, salt: int) -> np.ndarray:
         x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(32))
 
+    def parity(own: np.ndarray, x: np.ndarray, count: int, bits: int) -> np.ndarray:
+        odd = np.bincount(own * bits + (x & np.uint64(bits - 1)).astype(np.int64), minlength=count * bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
     def profile(part: pa.RecordBatch) -> pa.RecordBatch:
         lists = part.column("h")
         h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         rows, count = np.repeat(np.arange(len(n)), n), len(n)
-        bits = np.bincount(rows * SKETCH + (mix(h, 5) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=count * SKETCH) & 1
-        sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+        x = mix(h, 5)
+        sketch = parity(rows, x, count, SKETCH)
+        large, at, wide = np.flatnonzero(n >= LARGE), np.full(count, -1), [np.zeros(0, np.int64)]
+        at[large] = np.arange(len(large))
+        for i in range(0, len(large), CHUNK):
+            few = large[i : i + CHUNK]
+            span = slice(*np.searchsorted(rows, [few[0], few[-1] + 1]))
+            pick = at[rows[span]] >= 0
+            wide.append(parity(at[rows[span]][pick] - i, x[span][pick], len(few), WIDE))
+        filled = np.concatenate(([0], np.cumsum(np.where(n >= LARGE, WIDE // 64, 0))))
         band = np.floor(np.log(n) / np.log(ratio) + 1e-9).astype(np.int64)
         owners, sums = [], []
         for guest in (0, 1) if threshold >= LEAST_BLOCKED else ():
@@ -159,9 +244,10 @@ def _profiles(hashed: DataFrame, threshold: float) -> DataFrame:
         ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=count))))
         cells = [
             pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * (SKETCH // 64), pa.int32()), pa.array(sketch)),
+            pa.ListArray.from_arrays(pa.array(filled, pa.int32()), pa.array(np.concatenate(wide))),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok[order].view(np.int64))),
         ]
-        return pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], *cells], names=[*[f.name for f in fields], "sketch", "blocks"])
+        return pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], *cells], names=[*[f.name for f in fields], *[f.name for f in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +278,14 @@ def _prefix_posts(hashed: DataFrame, reps: DataFrame, threshold: float) -> DataF
 def _verified(pairs: DataFrame, reps: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Those of the distinct pairs (a < b) above the threshold: sizes and sketches first, then the tokens."""
     for c in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")), c)
+        pairs = pairs.join(reps.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"), F.col("wide").alias(f"w{c}")), c)
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9
     apart = sum((F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    near = stored(pairs.where(fits & (apart <= _most_apart(F.col("na") + F.col("nb"), threshold))).select("a", "b", "sa", "sb"), "set-pairs")
+    most = _most_apart(F.col("na") + F.col("nb"), threshold)
+    far = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    tell = (F.size("wa") > 0) & (F.size("wb") > 0)
+    fits = fits & (apart <= most) & F.when(tell, far <= most).otherwise(True)
+    near = stored(pairs.where(fits).select("a", "b", "sa", "sb"), "set-pairs")
     asked = near.select(F.col("sa").alias("sig")).union(near.select("sb")).distinct()
     sets = signed.select("sig", "t").join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("t").alias("t"))
     left = sets.select(F.col("sig").alias("sa"), F.col("t").alias("ta"))
