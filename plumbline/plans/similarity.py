@@ -24,6 +24,7 @@ SKETCH, BAND, PART = 512, 1.5, 2048  # bits of a sketch; largest by smallest siz
 LEAST_BLOCKED = 0.7  # below this threshold blocks are too small to tell sets apart
 STAR_ROUNDS, ENOUGH = 8, 16  # rounds of one partner a row; a round that links fewer than one row in so many is the last
 WIDE, LARGE = 4096, 1024  # bits of the second sketch that sets of at least so many tokens have, as they fill up the first
+ASKED_BITS = 1 << 24  # bits of the map of asked sets that goes to all tasks
 MEETING = 2048  # rows of a crowded place that meet under one join key
 
 
@@ -287,7 +288,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, signed: DataFrame, threshold: f
     fits = fits & (apart <= most) & F.when(tell, far <= most).otherwise(True)
     near = stored(pairs.where(fits).select("a", "b", "sa", "sb"), "set-pairs")
     asked = near.select(F.col("sa").alias("sig")).union(near.select("sb")).distinct()
-    sets = signed.select("sig", "t").join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("t").alias("t"))
+    # a bounded map of bits tells most sets that no pair asks for before any tokens move; the join that follows is exact (an inner one,
+    # since a semi join would be pushed below the map)
+    bit = F.pmod(F.xxhash64("sig"), F.lit(ASKED_BITS))
+    asked_map = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    some = signed.select("sig", "t", F.shiftright(bit, 6).alias("word"), bit.alias("bit")).join(F.broadcast(asked_map), "word")
+    some = some.where(F.expr("shiftright(bits, int(bit & 63)) & 1L") == 1)
+    sets = some.select("sig", "t").join(asked, "sig").groupBy("sig").agg(F.first("t").alias("t"))
     left = sets.select(F.col("sig").alias("sa"), F.col("t").alias("ta"))
     right = sets.select(F.col("sig").alias("sb"), F.col("t").alias("tb"))
     both = near.join(left, "sa").join(right, "sb")
